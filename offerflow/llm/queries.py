@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import chat, decontaminate, warc
 from .common import read_table
 from .jpeg import jpeg_media
 from .packing import pack
 from .rans import token_digests
 from .tokencount import count_tokens
 from .tokens import vocabulary_path
+from .toxicity import toxicity
 
 
 def op1_jpeg_media(spark, sf_dir):
@@ -18,6 +20,10 @@ def op2_rans_tokens(spark, sf_dir):
     return token_digests(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=2)
 
 
+def op4_minhash_containment(spark, sf_dir):
+    return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
@@ -26,5 +32,17 @@ def op6_mixture_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op5_token_counts, op6_mixture_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op7_toxicity(spark, sf_dir):
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op8_perspectives(spark, sf_dir):
+    return chat.rotate_perspectives(read_table(spark, sf_dir, "conversations"))
+
+
+def op9_warc_chunks(spark, sf_dir):
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks)}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE}
