@@ -10,29 +10,36 @@ size is fixed by its parameters.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, utf8, word_hashes
+from .common import id_and_text, slices, utf8, words
 
 #: Rows that the model is fitted on at most: those with the smallest hash of their id.
 TRAIN_ROWS = 16_000
 #: Distinct terms that a text gives to training at most, those with the smallest hash. Scoring takes all.
 TRAIN_TERMS = 4_000
 BITS = 18
+#: Bytes of the beginnings of words that are terms too.
+STEMS = (4, 6)
 FACTORS = 4
-#: A term needs so many training texts to get weights.
-LEAST_TEXTS = 5
+#: A term needs so many training texts, and a count of toxic ones so many deviations from what is expected, to get weights.
+LEAST_TEXTS = 4
+LEAST_DEVIATION = 3.0
 THRESHOLD = 0.3
 
 
 def terms(data: bytes, bits: int = BITS) -> np.ndarray:
-    """Distinct hashed words of a whole text, without punctuation at their ends."""
-    clean = data.translate(_LETTERS)
-    return np.unique(word_hashes(clean) >> np.uint64(64 - bits)).astype(np.int64)
+    """Distinct hashed words of a whole text, and the beginnings of longer ones, which stand for their stems."""
+    found = set(words(data.translate(_LETTERS)))
+    stems = {b"%d:%b" % (n, w[:n]) for n in STEMS for w in found if len(w) > n}
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, chain(found, stems)), np.uint64, len(found) + len(stems))
+    return np.unique(hashed >> np.uint64(64 - bits)).astype(np.int64)
 
 
 #: ASCII other than letters and digits separates terms.
@@ -61,17 +68,20 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 2e-3, batch: int = 64, seed: int = 7, bits: int = BITS, factors: int = FACTORS, least: int = LEAST_TEXTS) -> FactorizationMachine:
-    """Minibatch AdaGrad on the logistic loss. The same input gives the same model; no rows give probability 0.5."""
-    texts = np.zeros(1 << bits, np.int64)
-    for x in lists:
+def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-3, batch: int = 64, seed: int = 7, bits: int = BITS, factors: int = FACTORS, least: int = LEAST_TEXTS, deviation: float = LEAST_DEVIATION) -> FactorizationMachine:
+    """Minibatch AdaGrad on the logistic loss, over distinct texts. The same input gives the same model; no rows give probability 0.5."""
+    first = list({(x.tobytes(), y): k for k, (x, y) in reversed(list(enumerate(zip(lists, labels))))}.values())[::-1]
+    lists, labels = [lists[k] for k in first], labels[first]
+    texts, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
+    for x, y in zip(lists, labels):
         texts[x] += 1
-    used = np.flatnonzero(texts >= least)
+        toxic[x] += y
+    share = (labels.sum() + 1) / (len(labels) + 2)
+    used = np.flatnonzero((texts >= least) & (np.abs(toxic - texts * share) >= deviation * np.sqrt(texts * share * (1 - share))))
     slot = np.zeros(1 << bits, np.int32)
     slot[used] = np.arange(1, len(used) + 1)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(used) + 1), rng.normal(0, 0.01, (len(used) + 1, factors))
-    share = (labels.sum() + 1) / (len(labels) + 2)
     bias, gw, gv, gb = float(np.log(share / (1 - share))), np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
     rows = [slot[x][slot[x] > 0] for x in lists]
     for _ in range(epochs):
