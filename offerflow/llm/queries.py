@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import chat, decontaminate, warc
 from .common import read_table
+from .hyperminhash import near_duplicates
 from .jpeg import jpeg_media
 from .packing import pack
 from .rans import token_digests
@@ -20,6 +21,10 @@ def op2_rans_tokens(spark, sf_dir):
     return token_digests(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_hyperminhash(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_containment(spark, sf_dir):
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +49,5 @@ def op9_warc_chunks(spark, sf_dir):
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks)}
+QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks)}
 ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE}
