@@ -108,17 +108,21 @@ def contained_items(docs: DataFrame, items: DataFrame, block_shingles: int = BLO
     return spark.createDataFrame([], schema) if found is None else found
 
 
+def _hit(shared):
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(shared.value.matches(shingles(t, WIDTH))) for t in utf8(texts)], pa.bool_())
+
+    return hit
+
+
 def flag_contaminated(docs: DataFrame, items: DataFrame, column: str = "contaminated", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs`` with a boolean column: whether any item is contained. All rows and columns stay."""
     flag = F.lit(False)
     for block in item_blocks(items, block_shingles):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        @F.arrow_udf("boolean")
-        def hit(texts: pa.Array, shared=shared) -> pa.Array:
-            return pa.array([bool(shared.value.matches(shingles(t, WIDTH))) for t in utf8(texts)], pa.bool_())
-
-        flag = flag | hit(F.coalesce(F.col("text"), F.lit("")))
+        flag = flag | _hit(shared)(F.coalesce(F.col("text"), F.lit("")))
     return docs.withColumn(column, flag)
 
 

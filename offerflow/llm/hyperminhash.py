@@ -4,8 +4,9 @@ A document's distinct 5-word shingles are hashed into 256 buckets; a register
 keeps, of a bucket's smallest hash, the count of leading zeros (6 bits) and the
 10 bits of mantissa after them. Empty buckets borrow from a filled one that a
 fixed probe order names (optimal densification), so that short texts match as
-long ones do. Registers are banded 32 times 8: two sets of Jaccard similarity
-0.85 share no band with probability 4e-5, at 0.9 2e-8.
+long ones do. Registers are banded 32 times 8 for a threshold of 85 of 100 and
+42 times 6 below it: sets just at 0.85 share no band with probability 4e-5, at
+0.9 2e-8, and with the second shape at 0.8 3e-6.
 
 Documents with equal sets are one class from the start. Sharing a band ties
 classes into clusters; each cluster is then resolved exactly. Its classes lie in
@@ -33,7 +34,6 @@ WIDTH = 5
 BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-BANDS, ROWS = 32, 8
 #: Deviations by which an estimate may fall short before a pair is ruled out.
 MARGIN = 5.0
 #: Of shingles, with ``BLOCK_EXTRA`` more for each class, in a block.
@@ -41,7 +41,7 @@ BLOCK_WEIGHT, BLOCK_EXTRA = 1 << 19, 2048
 
 _EDGES = np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 _PROBES = (mix(np.arange(1024 * BUCKETS, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64).reshape(1024, BUCKETS)
-_BAND_MULTIPLIERS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
+_BAND_MULTIPLIERS = mix(np.arange(1, BUCKETS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def registers(sorted_hashes: np.ndarray) -> np.ndarray:
@@ -67,9 +67,16 @@ def registers(sorted_hashes: np.ndarray) -> np.ndarray:
     return value
 
 
-def band_keys(value: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of 8 registers."""
-    return mix((value.astype(np.uint64).reshape(BANDS, ROWS) * _BAND_MULTIPLIERS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def band_rows(percent: int) -> int:
+    """Registers in a band for a threshold."""
+    return 8 if percent >= 85 else 6 if percent >= 75 else 4
+
+
+def band_keys(value: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` registers."""
+    bands = BUCKETS // rows
+    product = value.astype(np.uint64) * _BAND_MULTIPLIERS
+    return mix(product[: bands * rows].reshape(bands, rows).sum(axis=1) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 @lru_cache(maxsize=4096)
@@ -91,7 +98,7 @@ def estimate(agreeing, size: int):
     return (agreeing - chance) / (1 - chance)
 
 
-def local_links(nodes: list, sets: list[np.ndarray], side: np.ndarray) -> list[tuple]:
+def local_links(nodes: list, sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple]:
     """Spanning links ``(u, v)`` among the classes of two blocks (``side`` 0 and 1), or of one (all 0)."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sizes = np.array([len(s) for s in sets])[order]
@@ -108,14 +115,14 @@ def local_links(nodes: list, sets: list[np.ndarray], side: np.ndarray) -> list[t
     links = []
     candidates = []
     for i in range(len(order) - 1):
-        last = np.searchsorted(sizes, sizes[i] * 100 // PERCENT, side="right")  # |A| / |B| bounds the similarity
+        last = np.searchsorted(sizes, sizes[i] * 100 // percent, side="right")  # |A| / |B| bounds the similarity
         if last <= i + 1:
             continue
         others = np.arange(i + 1, last)
         if crossing:
             others = others[side[i + 1 : last] != side[i]]
         agreeing = (value[others] == value[i]).mean(axis=1)
-        j = PERCENT / 100
+        j = percent / 100
         least = j - MARGIN * np.sqrt(j * (1 - j) * (1 / BUCKETS + 1 / sizes[i]))
         guess = estimate(agreeing, int(sizes[i]))
         keep = guess >= least
@@ -127,15 +134,16 @@ def local_links(nodes: list, sets: list[np.ndarray], side: np.ndarray) -> list[t
         x, y = sets[order[i]], sets[order[k]]
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         shared = int((y[at] == x).sum())
-        if 100 * shared >= PERCENT * (len(x) + len(y) - shared):
+        if 100 * shared >= percent * (len(x) + len(y) - shared):
             parent[b] = a
             links.append((nodes[order[i]], nodes[order[k]]))
     return links
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, digest, bands`` of each row; without words the last two are null."""
     names = ["doc_id", "n_shingles", "digest", "bands"]
+    rows = band_rows(percent)
 
     def run(batches):
         for batch in slices(batches):
@@ -144,7 +152,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 s = shingles(text, WIDTH)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_keys(registers(s)) if len(s) else None)
+                bands.append(band_keys(registers(s), rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names)
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
@@ -171,12 +179,12 @@ def block_members(members: DataFrame) -> DataFrame:
     return placed.select("root", "node", "doc_id", "n_shingles", F.floor(place / BLOCK_WEIGHT).alias("block"), F.floor((F.col("all") - 1) / BLOCK_WEIGHT).alias("last_block"))
 
 
-def verified_links(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+def verified_links(docs: DataFrame, blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``u, v``: spanning links within clusters, from full sets of their classes' texts."""
     # A block meets only those whose set sizes allow the similarity.
     ranges = blocks.groupBy("root", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     a, b = ranges.alias("a"), ranges.alias("b")
-    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.block") <= F.col("b.block"))).filter(F.col("b.low") * PERCENT <= F.col("a.high") * 100)
+    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.block") <= F.col("b.block"))).filter(F.col("b.low") * percent <= F.col("a.high") * 100)
     pairs = pairs.select(F.col("a.root").alias("root"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     texts = id_and_text(docs).withColumnRenamed("doc_id", "of_id").join(blocks.filter("doc_id is not null or n_shingles > 0"), F.col("of_id").eqNullSafe(F.col("doc_id")))
@@ -187,7 +195,7 @@ def verified_links(docs: DataFrame, blocks: DataFrame) -> DataFrame:
         key, nodes, sets, side = None, [], [], []
 
         def links():
-            return local_links(nodes, sets, np.array(side)) if len(nodes) > 1 else []
+            return local_links(nodes, sets, np.array(side), percent) if len(nodes) > 1 else []
 
         out = lambda found: pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["u", "v"])
         for batch in slices(batches):
@@ -211,21 +219,21 @@ def verified_links(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
-    Texts are linked at ``100 * shared >= 85 * united`` distinct shingles. Fewer
+    Texts are linked at ``100 * shared >= percent * united`` distinct shingles. Fewer
     than five words are one shingle; null, empty and wordless texts have none
     and are linked with nothing. ``component_id`` is the smallest id reachable;
     rows that repeat an id and its text are one document, all kept or none. A
     null id is passed over by the minimum. No rows: no rows.
     """
-    sketched = cut(sketch(docs))
+    sketched = cut(sketch(docs, percent))
     classes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     clusters = candidate_clusters(classes)
     members = clusters.join(classes.select(F.col("digest").alias("node"), "doc_id", "n_shingles"), "node")
     blocks = cut(block_members(cut(members)))
-    found = connected_components(verified_links(docs, blocks))
+    found = connected_components(verified_links(docs, blocks, percent))
     named = classes.select("digest", "doc_id").join(found, F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(smallest, "root").select("digest", "component_id")

@@ -7,6 +7,7 @@ from .common import read_table
 from .hyperminhash import near_duplicates
 from .jpeg import jpeg_media
 from .packing import pack
+from .ppm import lm_scores
 from .rans import token_digests
 from .tokencount import count_tokens
 from .tokens import vocabulary_path
@@ -49,5 +50,9 @@ def op9_warc_chunks(spark, sf_dir):
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks)}
+def op10_ppm_scores(spark, sf_dir):
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks, op10_ppm_scores)}
 ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE}
