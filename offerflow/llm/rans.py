@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import crc32, id_and_text, new_table_path, slices
 from .tokens import encoder
 
-SCALE = 22
+SCALE = 20
 LOW = 1 << 31
 BLOCK_TOKENS = 1 << 18
 LANES = 1024
@@ -138,25 +138,46 @@ def unpack_block(data: bytes, model: Model) -> tuple[list, np.ndarray, np.ndarra
     return [d if k else None for d, k in zip(ids, known)], lengths, decode_block(data[12 + size : -4], model)
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """Counts of all ids over all whole texts; each task sends a row for each id it saw, summed before they meet."""
+def stage_tokens(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """Encode every whole text once. Rows of kind 0 have a document's packed ids, one of kind 1 for each task the counts of its ids."""
+    names = ["kind", "doc_id", "tie", "data"]
+    row = lambda kind, ids, ties, data: pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.int8()), ids, pa.array(ties, pa.int64()), pa.array(data, pa.binary())], names)
+
     def run(batches):
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            enc = encoder(path)
-            for text in batch.column(1).to_pylist():
-                found = np.bincount(np.frombuffer(enc.encode(text), enc.dtype), minlength=len(total))
-                found[: len(total)] += total
-                total = found
-            total = np.concatenate([total, np.zeros(max(0, end_id + 1 - len(total)), np.int64)])
-            total[end_id] += batch.num_rows
+        enc = encoder(path)
+        end = np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(max(enc.vocabulary, end_id + 1), np.int64)
+        for batch in slices(batches):
+            ids = [enc.encode(text) + end for text in batch.column(1).to_pylist()]
+            total += np.bincount(np.frombuffer(b"".join(ids), enc.dtype), minlength=len(total))
+            yield row(0, batch.column(0), [crc32(x) for x in ids], [zlib.compress(x, 1) for x in ids])
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+        if len(seen):
+            yield row(1, pa.nulls(1, pa.int64()), [0], [np.stack([seen, total[seen]]).astype("<i8").tobytes()])
 
-    rows = id_and_text(docs).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
-    counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts
+    target = new_table_path(docs.sparkSession, "staged-tokens")
+    id_and_text(docs).mapInArrow(run, "kind byte, doc_id long, tie long, data binary").write.option("compression", "none").parquet(target)
+    return docs.sparkSession.read.parquet(target)
+
+
+def token_counts(staged: DataFrame) -> DataFrame:
+    """``id, n`` over all texts: a row for each id that a task saw, summed before they meet."""
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(data, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
+
+    return staged.filter("kind = 1").select("data").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def count_vector(counts: DataFrame) -> np.ndarray:
+    """The counts on the driver: a number for each vocabulary entry."""
+    rows = counts.toArrow()
+    ids, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "n"))
+    vector = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+    vector[ids] = n
+    return vector
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, target: str) -> None:
@@ -166,53 +187,49 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, target: str) -> N
     Only the counts (a row for each vocabulary entry) come to the driver.
     """
     spark = docs.sparkSession
-    counts = token_counts(docs, path, end_id)
-    spark.createDataFrame([(int(k), int(counts[k])) for k in np.flatnonzero(counts)], "id long, n long").coalesce(1).write.parquet(f"{target}/counts")
-    shared = spark.sparkContext.broadcast(counts)
+    staged = stage_tokens(docs, path, end_id)
+    token_counts(staged).coalesce(1).write.parquet(f"{target}/counts")
+    shared = spark.sparkContext.broadcast(count_vector(spark.read.parquet(f"{target}/counts")))
+    dtype = np.dtype(encoder(path).dtype)
 
     def run(batches):
-        model, enc = Model(frequencies(shared.value)), encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
+        model = Model(frequencies(shared.value))
         file_no, block_no, first = TaskContext.get().partitionId(), 0, 0
         doc_ids, parts, size = [], [], 0
 
         def flush():
             nonlocal doc_ids, parts, size, block_no, first
-            lengths = np.array([len(p) // enc.dtype.itemsize for p in parts], np.int64)
-            payload = pack_block(doc_ids, lengths, np.frombuffer(b"".join(parts), enc.dtype).astype(np.int64), model)
+            lengths = np.array([len(p) // dtype.itemsize for p in parts], np.int64)
+            payload = pack_block(doc_ids, lengths, np.frombuffer(b"".join(parts), dtype).astype(np.int64), model)
             row = pa.RecordBatch.from_arrays([pa.array([file_no], pa.int64()), pa.array([block_no], pa.int64()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], ["file_no", "block_no", "first_token", "n_tokens", "payload"])
             first, block_no = first + size, block_no + 1
             doc_ids, parts, size = [], [], 0
             return row
 
-        for batch in slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + end
+        for batch in slices(batches, "data"):
+            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                ids = zlib.decompress(data)
                 doc_ids.append(doc_id)
                 parts.append(ids)
-                size += len(ids) // enc.dtype.itemsize
+                size += len(ids) // dtype.itemsize
                 if size >= BLOCK_TOKENS:
                     yield flush()
         if doc_ids:
             yield flush()
 
-    tie = F.xxhash64("text")
-    ordered = id_and_text(docs).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    ordered = staged.filter("kind = 0").select("doc_id", "tie", "data").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.mapInArrow(run, "file_no long, block_no long, first_token long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{target}/blocks")
 
 
 def read_token_files(spark, source: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of each document, in any order of rows; ``start`` counts the ids of all documents before it."""
-    counts = spark.read.parquet(f"{source}/counts").toPandas()
     blocks = spark.read.parquet(f"{source}/blocks")
     totals = sorted((r[0], r[1]) for r in blocks.groupBy("file_no").agg(F.sum("n_tokens")).collect())  # a row for each file
     before, total = {}, 0
     for file_no, n in totals:
         before[file_no] = total
         total += n
-    table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
-    table[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast((table, before))
+    shared = spark.sparkContext.broadcast((count_vector(spark.read.parquet(f"{source}/counts")), before))
 
     def run(batches):
         table, before = shared.value
