@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: Only where the session names no folder, as in tests on one machine.
+OWN_FOLDER = "file:///tmp/checkpoints/offerflow"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file:///tmp/checkpoints/offerflow"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
