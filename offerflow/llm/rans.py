@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32, id_and_text, new_table_path, slices
-from .tokens import encoder
+from .tokens import encoder, id_type
 
 SCALE = 20
 LOW = 1 << 31
@@ -190,7 +190,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, target: str) -> N
     staged = stage_tokens(docs, path, end_id)
     token_counts(staged).coalesce(1).write.parquet(f"{target}/counts")
     shared = spark.sparkContext.broadcast(count_vector(spark.read.parquet(f"{target}/counts")))
-    dtype = np.dtype(encoder(path).dtype)
+    dtype = id_type(path)
 
     def run(batches):
         model = Model(frequencies(shared.value))

@@ -51,6 +51,14 @@ class _Seen(dict):
         return ids
 
 
+def id_type(path: str) -> np.dtype:
+    """How a file's ids are stored. The driver asks this and loads no tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    last = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
+    return np.dtype("<u2" if last < 1 << 16 else "<u4")
+
+
 class Encoder:
     """``encode(text)``: the ids as little-endian bytes of ``dtype``."""
 
@@ -62,7 +70,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocabulary = self.library.get_vocab_size()
-        self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.dtype = id_type(path)
         self.code = "HI"[self.dtype.itemsize == 4]
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]

@@ -70,8 +70,10 @@ class FactorizationMachine:
 
 def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-3, batch: int = 64, seed: int = 7, bits: int = BITS, factors: int = FACTORS, least: int = LEAST_TEXTS, deviation: float = LEAST_DEVIATION) -> FactorizationMachine:
     """Minibatch AdaGrad on the logistic loss, over distinct texts. The same input gives the same model; no rows give probability 0.5."""
-    first = list({(x.tobytes(), y): k for k, (x, y) in reversed(list(enumerate(zip(lists, labels))))}.values())[::-1]
-    lists, labels = [lists[k] for k in first], labels[first]
+    first: dict = {}
+    for k, (x, y) in enumerate(zip(lists, labels)):
+        first.setdefault((xxhash.xxh3_128_digest(x), y), k)
+    lists, labels = [lists[k] for k in first.values()], labels[list(first.values())]
     texts, toxic = np.zeros(1 << bits, np.int64), np.zeros(1 << bits)
     for x, y in zip(lists, labels):
         texts[x] += 1
@@ -126,8 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factori
 
     found = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, toxic int, terms binary")
     # A repeated id may give more rows than ids; the bound holds for them as well.
-    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(rows).toArrow()
-    lists = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("terms").to_pylist()]
+    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(rows).select("toxic", "terms").toArrow()
+    lists = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("terms")]  # views of the table, no copies
     return fit(lists, np.array(table.column("toxic").to_pylist() or np.zeros(0), np.float64))
 
 
