@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc32, cut, new_table_path, slices
-from .tokens import encoder
+from .tokens import encoder, id_type
 
 #: Documents in a task that orders a part of a queue.
 PART_DOCUMENTS = 20_000
@@ -66,8 +66,10 @@ def fill_windows(placed: DataFrame, n_windows: int) -> DataFrame:
     wide = "cast({} as decimal(38,0))"
     window_of = lambda x: f"cast(({wide.format(x)} + 1) * {n_windows} - 1 as decimal(38,0)) div total"
     sent = lambda w: f"cast({wide.format('total')} * ({w}) div {n_windows} as bigint)"
+    # A queue of fewer tokens than windows has none in most of them: there the windows are those of its tokens.
+    windows = f"if(total < {n_windows}, array_distinct(transform(sequence(a, a + n_tokens - 1), t -> {window_of('t')})), sequence({window_of('a')}, {window_of('a + n_tokens - 1')}))"
     return (
-        placed.withColumn("window", F.explode(F.expr(f"sequence({window_of('a')}, {window_of('a + n_tokens - 1')})")))
+        placed.withColumn("window", F.explode(F.expr(windows)))
         .withColumn("lo", F.expr(f"greatest(a, {sent('window')})"))
         .withColumn("hi", F.expr(f"least(a + n_tokens, {sent('window + 1')})"))
         .select("row", "source", (F.col("lo") - F.col("a")).alias("from"), (F.col("hi") - F.col("lo")).alias("size"), "window", (F.col("lo") / F.col("total")).alias("turn"))
@@ -125,4 +127,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = 2048, window
     total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
     n_windows = max(1, -(-total // window))
     pieces = place_pieces(fill_windows(cut(queue_places(lengths)), n_windows), length)
-    return cut_ids(staged, pieces, encoder(path).dtype.str, keep_ids)
+    return cut_ids(staged, pieces, id_type(path).str, keep_ids)
