@@ -19,7 +19,7 @@ OFFERS = _struct("url:string siteid:string sitename:string title:string shop:tex
 SITES = _struct("siteid:string updateserver:string enqueuetime:timestamp lastupdate:timestamp error:text data:binary")
 SERVERS = _struct("address:string servertype:string sites:string lastupdate:timestamp cpu_usage:double outgoing_bandwidth:double incomming_bandwidth:double datastore:double email:double")
 TABLES = {"offers": (OFFERS, "url"), "sites": (SITES, "siteid"), "servers": (SERVERS, "address")}
-DEFAULTS = {"string": F.lit(""), "text": F.lit(""), "long": F.lit(0).cast("long"), "double": F.lit(0.0), "binary": F.lit(b"")}
+DEFAULTS = {"string": "", "text": "", "long": 0, "double": 0.0, "binary": b""}
 
 
 def table(name: str) -> tuple[T.StructType, str]:
@@ -31,7 +31,7 @@ def table(name: str) -> tuple[T.StructType, str]:
 def with_type_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Null becomes the default of the column's type; times stay null."""
     kinds = {f.name: f.metadata["kind"] for f in schema}
-    return df.select(*[F.coalesce(c, DEFAULTS[kinds[c]]).alias(c) if kinds.get(c) in DEFAULTS else F.col(c) for c in df.columns])
+    return df.select(*[F.coalesce(c, F.lit(DEFAULTS[kinds[c]])).alias(c) if kinds.get(c) in DEFAULTS else F.col(c) for c in df.columns])
 
 
 def coerce(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -26,4 +26,6 @@ def merge_batches(spark: SparkSession, source: str, schema: T.StructType, target
 
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Events of each type in tumbling windows; the same plan over a table or a stream."""
+    if events.isStreaming:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs times with a zone
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
