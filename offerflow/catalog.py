@@ -219,6 +219,17 @@ def small_text_rules(spark, d):
     return read(spark, d, "part").select("p_partkey", text.drop_parents(F.concat(F.lit("../../"), k, F.lit("/.."))).alias("path"), text.after_colon(F.concat(F.lit("x："), F.lit("a"), k)).alias("after"), text.is_blank(F.when(F.col("p_partkey") % 4 == 0, " \t\n").otherwise(k)).alias("blank"))
 
 
+_BASE = "'http://h.example.com/d/' || p_size || '/x.html?q=1'"
+_LINK_CASES = "CASE p_partkey % 6 WHEN 0 THEN 'http://o.example.com/' || p_size WHEN 1 THEN '/r/' || p_size WHEN 2 THEN '?k=' || p_size WHEN 3 THEN 'y' || p_size || '.html#f' WHEN 4 THEN '../' || p_size || '/z?a' ELSE '//n.example.com/p' END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size FROM part) SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'http://o.example.com/' || p_size WHEN 1 THEN 'http://h.example.com/r/' || p_size WHEN 2 THEN 'http://h.example.com/d/' || p_size || '/x.html?k=' || p_size
+WHEN 3 THEN 'http://h.example.com/d/' || p_size || '/y' || p_size || '.html#f' WHEN 4 THEN 'http://h.example.com/d/' || p_size || '/z?a' ELSE 'http://n.example.com/p' END AS url FROM p""")
+def url_join(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", F.expr(_BASE).alias("base"), F.expr(_LINK_CASES).alias("link"))
+    return rows.select("p_partkey", text.join_url(F.col("base"), F.col("link")).alias("url"))
+
+
 # Grid
 
 _PLACE = "SELECT p_partkey, (p_partkey * 37 % 18000) / 100.0::DOUBLE - 90 AS lat, (p_partkey * 91 % 36000) / 100.0::DOUBLE - 180 AS lon FROM part"
@@ -276,6 +287,16 @@ def city_of_link_text(spark, d):
     return dedup.city_of_link(read(spark, d, "customer").select(k.alias("k"), t.alias("t")), views.cities(spark, d), "k", "t")
 
 
+@query("""WITH t AS (SELECT c_custkey AS k, 'nation_' || (c_custkey % 30) || ' x ' || 'nation_' || c_nationkey || ',nation_' || c_nationkey AS t FROM customer),
+w AS (SELECT k, unnest(regexp_extract_all(t, '[a-z_0-9]+')) AS token, generate_subscripts(regexp_extract_all(t, '[a-z_0-9]+'), 1) AS pos FROM t)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS pos, token AS cityid FROM w WHERE token IN (SELECT lower(n_name) FROM nation)""")
+def city_token_join(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    t = F.concat(F.lit("nation_"), (k % 30).cast("string"), F.lit(" x nation_"), n, F.lit(",nation_"), n)
+    tokens = read(spark, d, "customer").select(k.alias("k"), F.posexplode(F.regexp_extract_all(t, F.lit("[a-z_0-9]+"), F.lit(0))).alias("pos", "token"))
+    return dedup.known_cities(tokens, views.cities(spark, d), "k").select("k", F.col("pos").cast("long").alias("pos"), "cityid")
+
+
 @query(f"{OFFERS} SELECT ord, siteid, ord % 2 = 0 AS old FROM offers WHERE ord % 2 = 0 OR ord IN (SELECT ord FROM (SELECT ord, row_number() OVER (PARTITION BY siteid ORDER BY ord) AS rn FROM offers WHERE ord % 2 <> 0) WHERE rn <= 50)")
 def new_row_cap_50(spark, d):
     rows = views.offers(spark, d).select("ord", "siteid", (F.col("ord") % 2 == 0).alias("old"))
@@ -432,6 +453,14 @@ def enqueue_admission(spark, d):
     return views.site_times(spark, d).select("siteid", control.admit(F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("admitted"))
 
 
+@query(f"{SITES}, j AS (SELECT n_name AS siteid, n_nationkey % 4 = 0 AS failed FROM nation WHERE n_nationkey % 2 = 0) SELECT siteid, CASE WHEN failed = false THEN TIMESTAMP '2024-01-15 00:00:00' ELSE lastupdate END AS lastupdate, CASE WHEN failed THEN 'timeout' END AS error, CASE WHEN NOT coalesce(enqueuetime > lastupdate AND epoch(TIMESTAMP '2024-01-15 00:00:00') - floor(epoch(lastupdate)) < 1200, false) THEN TIMESTAMP '2024-01-15 00:00:00' ELSE enqueuetime END AS enqueuetime FROM sites LEFT JOIN j USING (siteid)")
+def job_stamps(spark, d):
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    sites = views.site_times(spark, d).withColumn("error", F.lit(None).cast("string"))
+    results = read(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("siteid"), F.when(F.col("n_nationkey") % 4 == 0, "timeout").alias("error"))
+    return control.complete(control.enqueue(sites, now), results, now).select("siteid", "lastupdate", "error", "enqueuetime")
+
+
 @query(f"{SITES}, rep AS (SELECT n_name AS siteid FROM nation WHERE n_nationkey % 2 = 0), x AS (SELECT siteid, updateserver AS owner, rep.siteid IS NOT NULL AS reported FROM sites LEFT JOIN rep USING (siteid)) SELECT siteid, CASE WHEN reported AND owner <> 'server1' THEN 'conflict' WHEN reported THEN 'update' ELSE 'obsolete' END AS action FROM x WHERE reported OR owner = 'server1'")
 def report_reconcile(spark, d):
     report = read(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("siteid"))
@@ -506,6 +535,27 @@ def template_vote(spark, d):
     return induce.vote(t).select("n", "first")
 
 
+@query("SELECT c_custkey AS site, CASE WHEN c_name LIKE '%7%' AND c_mktsegment = 'BUILDING' THEN 'sevens' WHEN c_name LIKE '%1' THEN 'ones' ELSE 'all' END AS config FROM customer")
+def config_selection(spark, d):
+    configs = spark.createDataFrame([(0, "sevens", "7", "BUILDING"), (1, "ones", "1$", None), (2, "all", ".", None)], "ord int, config string, pattern string, region string")
+    sites = read(spark, d, "customer").select(F.col("c_name").alias("site"), F.col("c_mktsegment").alias("region"), "c_custkey")
+    chosen = induce.choose_config(sites, configs)
+    return sites.join(chosen, "site").select(F.col("c_custkey").alias("site"), "config")
+
+
+@query("SELECT p_partkey, p_retailprice AS price, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN 'here' ELSE 'none' END AS city FROM part")
+def record_normalise(spark, d):
+    key = F.col("p_partkey")
+    records = read(spark, d, "part").select("p_partkey", F.concat(F.lit("$ "), F.col("p_retailprice").cast("string"), F.lit(" now")).alias("price"), F.when(key % 2 == 0, F.concat(F.lit("No:"), F.col("p_name"))).otherwise(F.col("p_name")).alias("title"), F.when(key % 3 == 0, "here").alias("city"))
+    return induce.normalise(records, ":", "none")
+
+
+@query(f"SELECT page_id, 1 AS template, trim({_TITLE}) AS title FROM pages WHERE {_TITLE} <> ''")
+def template_cache(spark, d):
+    found = induce.apply_first(markup.html_nodes(read(spark, d, "pages")), [{"title": "/html/head/title", "price": "/nowhere"}, {"title": "/html/head/title"}])
+    return found.select("page_id", "template", F.col("info")["title"].alias("title"))
+
+
 @query()
 def html_nodes(spark, d):
     return markup.html_nodes(read(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
@@ -553,6 +603,23 @@ def pipeline_end_to_end(spark, d):
     return pipeline.run(spec, raw, store=store, cities=views.cities(spark, d)).select("url", "title", "city", "bought", "address")
 
 
+@query(f"{SNAPSHOTS} SELECT url, coalesce(feed.bought, stored.bought) AS bought, coalesce(feed.title, stored.title) AS title, stored.address FROM feed FULL JOIN stored USING (url)")
+def stream_feed_merge(spark, d):
+    """The feed as files that a stream reads, each micro-batch merged into the stored snapshot."""
+    from .sources.tables import SnapshotTable, work_folder
+    from .streaming.feed import merge_batches
+
+    folder = work_folder(spark, "stream")
+    columns = ["url", "siteid", "title", "bought"]
+    views.feed(spark, d).select(*columns, "ord").repartition(4, "url").write.parquet(f"{folder}/feed")
+    target = SnapshotTable(spark, folder, "offers")
+    seed = spark.createDataFrame([], target.schema)
+    target.write(seed.unionByName(views.stored(spark, d).select(*columns, "address"), allowMissingColumns=True))
+    schema = spark.read.parquet(f"{folder}/feed").schema
+    merge_batches(spark, f"{folder}/feed", schema, target, f"{folder}/state", files_per_trigger=2).awaitTermination()
+    return target.read().select("url", "bought", "title", "address")
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
     from .streaming.feed import event_counts

@@ -64,6 +64,29 @@ def canonical_url(c: Column) -> Column:
     return F.when(c.rlike("[;?#]"), F.concat(F.regexp_replace(c, r"[;?#].*$", ""), F.lit("?*"))).otherwise(c)
 
 
+def _without_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments resolved."""
+    last = lambda acc: F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", last(acc)).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.array_join(F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def join_url(base: Column, link: Column) -> Column:
+    """The absolute address of a link on the page ``base``."""
+    root = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    path, tail = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"[?#].*$", 0)
+    folder = F.regexp_replace(F.when(url_path(base) == "", "/").otherwise(url_path(base)), r"[^/]*$", "")
+    return (
+        F.when(link == "", base)
+        .when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:]*:", 0), link))
+        .when(link.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), link))
+        .when(link.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), link))
+        .otherwise(F.concat(root, _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), tail))
+    )
+
+
 def drop_parents(c: Column) -> Column:
     return F.regexp_replace(c, r"^(/\.\.|\.\./)+", "")
 

@@ -73,6 +73,19 @@ def admit(now: Column) -> Column:
     return ~F.coalesce(waits, F.lit(False))
 
 
+def enqueue(sites: DataFrame, now: Column) -> DataFrame:
+    """The sites with the time at which admitted ones enter the queue."""
+    return sites.withColumn("enqueuetime", F.when(admit(now), now).otherwise(F.col("enqueuetime")))
+
+
+def complete(sites: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """The sites after jobs (``siteid, error``): a success stamps the time, a failure its error."""
+    done = results.select("siteid", F.col("error").alias("_error"), F.lit(True).alias("_ran"))
+    met = sites.join(done, "siteid", "left")
+    stamped = met.withColumn("lastupdate", F.when(F.col("_ran") & F.col("_error").isNull(), now).otherwise(F.col("lastupdate")))
+    return stamped.withColumn("error", F.when(F.col("_ran"), F.col("_error")).otherwise(F.col("error"))).drop("_error", "_ran")
+
+
 def lease_free(now: Column) -> Column:
     """Whether a running job may be taken over."""
     return F.col("owner").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("leased") > LEASE)

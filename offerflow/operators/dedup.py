@@ -65,3 +65,11 @@ def city_of_link(links: DataFrame, cities: DataFrame, key: str, text: str) -> Da
     rest = links.filter(F.exists(F.split(text, "/"), lambda p: F.char_length(p) >= 3)).join(whole, key, "left_anti")
     held = rest.join(names, F.col(text).contains(F.col("name"))).groupBy(key).agg(F.min_by("name", "cityid").alias("city"))
     return whole.unionByName(held)
+
+
+def known_cities(tokens: DataFrame, cities: DataFrame, key: str) -> DataFrame:
+    """``key, pos, cityid``: the tokens (``key, pos, token``) that are city ids, numbered anew in their order; repeated ones stay."""
+    ids = F.broadcast(cities.select("cityid").distinct())  # a few hundred rows
+    held = tokens.join(ids, F.col("token") == F.col("cityid"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1
+    return held.select(key, turn.alias("pos"), F.col("token").alias("cityid"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.price import classify_prices
-from ..functions.text import first_number, is_blank
+from ..functions.text import first_number, is_blank, number_or_zero, trim_title_prefix
 
 TAGS = ("url", "city", "title", "image", "original", "price", "discount", "saved", "items", "shop", "address", "details")
 LONGEST_PRICE, LEAST_TITLE = 15, 15
@@ -60,3 +60,30 @@ def title_before(nodes: DataFrame, anchors: DataFrame, currency: str) -> DataFra
     """The last title-like text before each page's anchor. ``anchors(page_id, anchor)``"""
     texts = nodes.filter((F.col("kind") == "text") & looks_like_title(F.col("text"), currency))
     return texts.join(anchors, "page_id").filter(F.col("ord") < F.col("anchor")).groupBy("page_id").agg(F.max_by("text", "ord").alias("title"))
+
+
+def choose_config(sites: DataFrame, configs: DataFrame) -> DataFrame:
+    """``site, config``: of ``configs(ord, config, pattern, region)`` the first whose pattern is found in a site (``site, region``); a null region fits all."""
+    fits = F.regexp_like("site", F.col("pattern")) & (F.col("_region").isNull() | (F.col("region") == F.col("_region")))
+    few = F.broadcast(configs.withColumnRenamed("region", "_region"))  # one row for each kind of site
+    return sites.join(few, fits).groupBy("site").agg(F.min_by("config", "ord").alias("config"))
+
+
+def apply_first(nodes: DataFrame, templates: list[dict[str, str]]) -> DataFrame:
+    """``page_id, template, info``: the first of the templates all of whose paths resolve on a page, and the texts there by tag; pages that none fits are left out."""
+    paths = sorted({p for t in templates for p in t.values()})
+    found = nodes.filter(F.col("path").isin(*paths) & (F.col("kind") == "tag")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("at"))
+    number = info = None
+    for k, t in enumerate(templates):
+        fits = F.forall(F.array(*map(F.lit, t.values())), lambda p: F.map_contains_key("at", p))
+        texts = F.create_map(*[x for tag, p in t.items() for x in (F.lit(tag), F.col("at")[p])])
+        number = F.when(fits, k) if number is None else number.when(fits, k)
+        info = F.when(fits, texts) if info is None else info.when(fits, texts)
+    return found.select("page_id", number.alias("template"), info.alias("info")).filter("template is not null")
+
+
+def normalise(records: DataFrame, prefix: str, city: str) -> DataFrame:
+    """Numbers from the texts of prices and items, titles without a trivial prefix, and a default city."""
+    numbers = [c for c in ("original", "price", "discount", "saved", "items") if c in records.columns]
+    rows = records.withColumns({c: number_or_zero(F.coalesce(c, F.lit(""))) for c in numbers})
+    return rows.withColumns({"title": trim_title_prefix(F.col("title"), prefix), "city": F.coalesce("city", F.lit(city))})

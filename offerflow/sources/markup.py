@@ -170,6 +170,43 @@ def find_all(nodes: DataFrame, name: str | None = None, attrs: dict[str, str] |
     return found
 
 
+def find_text(nodes: DataFrame, pattern: str) -> DataFrame:
+    """Texts in which the pattern is found, in comments and scripts too."""
+    return nodes.filter((F.col("kind") != "tag") & F.col("text").rlike(pattern))
+
+
+def ancestors(nodes: DataFrame, of: DataFrame, key: str = "page_id") -> DataFrame:
+    """``key, ord, ancestor`` for the nodes ``of``: the tags whose paths begin theirs, the nearest first by ``depth``."""
+    below = of.select(F.col(key).alias("_key"), F.col("ord").alias("_ord"), "path", "kind")
+    steps = below.select("_key", "_ord", F.explode(F.sequence(F.lit(2), F.size(F.split("path", "/")))).alias("n"), "path", "kind")
+    parts = F.slice(F.split("path", "/"), F.lit(1), F.col("n"))
+    above = steps.select("_key", "_ord", F.array_join(parts, "/").alias("_path"), (F.col("kind") == "tag").alias("tag"), (F.col("n") == F.size(F.split("path", "/"))).alias("own"))
+    above = above.filter(~(F.col("tag") & F.col("own")))  # a tag is no ancestor of itself
+    tags = nodes.filter("kind = 'tag'").select(key, F.col("ord").alias("ancestor"), "name", "depth", "path")
+    met = above.join(tags, (F.col("_key") == F.col(key)) & (F.col("_path") == F.col("path")))
+    return met.select(key, F.col("_ord").alias("ord"), "ancestor", "name", "depth")
+
+
+def quota_cells(nodes: DataFrame, labels: dict[str, str], key: str = "page_id") -> DataFrame:
+    """``label, value`` of a dashboard's cells such as ``12%``: a number less its last character, named by the text before it."""
+    from pyspark.sql import Window
+
+    from ..functions.text import is_blank, matching_label
+
+    texts = nodes.filter((F.col("kind") == "text") & ~is_blank(F.col("text"))).select(key, "ord", F.trim("text").alias("text"))
+    named = texts.withColumn("before", F.lag("text").over(Window.partitionBy(key).orderBy("ord")))
+    value = F.substring(F.col("text"), F.lit(1), F.char_length("text") - 1).try_cast("double")
+    return named.select(key, "ord", matching_label(F.col("before"), labels).alias("label"), value.alias("value")).filter("label is not null and value is not null")
+
+
+def city_list(nodes: DataFrame, anchor: str, samples: list[str], least: int = 3, key: str = "page_id") -> DataFrame:
+    """``key, pos, token``: the words of the first text that holds the anchor and enough of the sample cities."""
+    hits = sum((F.col("text").contains(w).cast("int") for w in samples), F.lit(0))
+    texts = nodes.filter((F.col("kind") != "tag") & F.col("text").contains(anchor) & (hits >= least))
+    first = texts.groupBy(key).agg(F.min_by("text", "ord").alias("text"))
+    return first.select(key, F.posexplode(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0))).alias("pos", "token"))
+
+
 def get_node(nodes: DataFrame, path: str) -> DataFrame:
     """Tags at ``/a/b[2]/…``; a place of 1 may be written or left out."""
     return nodes.filter((F.col("kind") == "tag") & (F.col("path") == path.replace("[1]", "")))

@@ -7,11 +7,19 @@ All of it goes through Spark's file system, local or not.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import table
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the driver and all executors share; on one machine without such a setting, a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/offerflow"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class SnapshotTable:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name, self.path = spark, name, f"{root.rstrip('/')}/{name}"
