@@ -294,9 +294,10 @@ def test_each_state_is_a_distribution(documents):
     assert np.allclose(p[:, :-1].sum(1) + spare * p[:, -1], 1, atol=1e-3)
 
 
-def test_contexts_beat_single_words(documents):
-    rows = [r for r in ppm.lm_scores(documents).collect() if r.held_out and r.n_tokens > 20]
-    assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+def test_contexts_beat_single_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = ppm.lm_scores(docs).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert held.score > held.base
 
 
 def test_no_scores(no_documents):
