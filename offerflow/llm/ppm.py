@@ -11,8 +11,10 @@ known beforehand, and its contexts are the states of an automaton: a table gives
 the cost and the next state for each state and symbol. Texts run through it in
 segments side by side; a segment first reads the ``ORDER`` bytes before it.
 
-The trie keeps the ``MOST_CONTEXTS`` most frequent contexts, which bounds what
-is broadcast. It is counted over all training texts.
+The trie is counted over all training texts and kept whole, as a table. The
+automaton of its ``MOST_CONTEXTS`` most frequent contexts and about ``FAST_GRAMS``
+further frequent grams are broadcast, only to be fast: where a context is not in
+the automaton, the gram's cost comes from the table, by a join if need be.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ from .common import cut, id_and_text, slices, utf8, words
 
 ORDER = 5
 MOST_CONTEXTS = 80_000
+#: Grams beyond the automaton whose costs go to all tasks, at most.
+FAST_GRAMS = 1 << 19
 #: Symbols: 1 to 256 are bytes, 257 is the end, 0 is before the start.
 SYMBOLS, END, BITS = 257, 257, 9
 SEGMENT = 512
-COUNT_SLICE = 6 << 20
+COUNT_SLICE, SCORE_SLICE = 6 << 20, 1 << 20
 #: Words whose counts go to all tasks: those that are more than one in so many training tokens, so fewer than that.
 FREQUENT = 1 << 18
 END_WORD = xxhash.xxh3_64_intdigest(b" end")
@@ -75,13 +79,14 @@ class Automaton:
     column: np.ndarray  # by symbol
     cost: np.ndarray  # state, column: log10 of the probability
     next: np.ndarray
+    level: np.ndarray  # by state: the order of its context
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text, its end included, without that of grams whose contexts the automaton lacks; the texts and keys of those."""
         order = self.order
         size = np.array([len(t) + 1 for t in texts])
         if not len(texts):
-            return np.zeros(0)
+            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
         raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
         ends = size.cumsum() - 1
         raw[ends] = END
@@ -96,13 +101,25 @@ class Automaton:
         cost, following = self.cost.ravel(), self.next.ravel()
         state = np.zeros(count, np.int64)
         out = np.zeros((SEGMENT, count), np.float32)
+        deep = np.zeros((SEGMENT, count), np.int8)
         for t in range(order + SEGMENT):
             at = state * wide + grid[t]
             if t >= order:
                 out[t - order] = cost[at]
+                deep[t - order] = self.level[state]
             state = following[at]
-        total = np.concatenate([[0.0], out.T.reshape(-1)[:n].astype(np.float64).cumsum()])
-        return total[ends + 1] - total[ends + 1 - size]
+        # The order of a symbol's context is ``order``, or what is before it in its text.
+        need = np.full(n, order, np.int8)
+        for k in range(order):
+            need[(ends + 1 - size + k)[size > k]] = k
+        lacking = np.flatnonzero(deep.T.reshape(-1)[:n] < need)
+        keys = raw[lacking]
+        for k in range(1, order + 1):
+            keys |= np.where(need[lacking] >= k, raw[np.maximum(lacking - k, 0)], 0) << (BITS * k)
+        each = out.T.reshape(-1)[:n].astype(np.float64)
+        each[lacking] = 0
+        total = np.concatenate([[0.0], each.cumsum()])
+        return total[ends + 1] - total[ends + 1 - size], np.searchsorted(ends, lacking), keys
 
 
 def build(contexts: np.ndarray, orders: np.ndarray, symbols: np.ndarray, counts: np.ndarray, order: int) -> Automaton:
@@ -156,108 +173,201 @@ def build(contexts: np.ndarray, orders: np.ndarray, symbols: np.ndarray, counts:
                     hit = keys[at] == (np.int64(k + 1) << 54 | longer)
                     following[some[hit], column[sym]] = at[hit]
     following[:, column[END]] = 0
-    return Automaton(order, column, cost, following)
+    return Automaton(order, column, cost, following, level.astype(np.int8))
 
 
 def count_corpus(docs: DataFrame, order: int) -> DataFrame:
-    """``kind, key, n``: grams (0) and words (1, with the end of each text) of the training texts, summed in each task before they meet."""
+    """``kind, key, n``: grams (0) and words (1, with the end of each text) of the training texts, summed in each task before they meet; grams of the other texts count 0."""
     def run(batches):
         for batch in slices(batches, "text", COUNT_SLICE):
             texts = utf8(batch.column(1))
-            grams, n = gram_counts(texts, order)
-            found = [w for t in texts for w in words(t)]
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-            keys, m = np.unique(np.append(hashes, np.full(len(texts), END_WORD, np.uint64)), return_counts=True)
-            for kind, k, c in ((0, grams, n), (1, keys.view(np.int64), m)):
+            trained = batch.column(2).to_pylist()
+            parts = []
+            if others := [t for t, x in zip(texts, trained) if not x]:
+                grams = gram_counts(others, order)[0]
+                parts.append((0, grams, np.zeros(len(grams), np.int64)))
+            if texts := [t for t, x in zip(texts, trained) if x]:
+                found = [w for t in texts for w in words(t)]
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+                keys, m = np.unique(np.append(hashes, np.full(len(texts), END_WORD, np.uint64)), return_counts=True)
+                parts += [(0, *gram_counts(texts, order)), (1, keys.view(np.int64), m)]
+            for kind, k, c in parts:
                 for a in range(0, len(k), 1 << 16):
                     part = slice(a, a + (1 << 16))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), kind, np.int8)), pa.array(k[part], pa.int64()), pa.array(c[part], pa.int64())], ["kind", "key", "n"])
 
-    texts = id_and_text(docs).filter(in_training(F.col("doc_id")))
+    texts = id_and_text(docs).select("doc_id", "text", in_training(F.col("doc_id")).alias("trained"))
     return texts.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train(grams: DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS) -> Automaton:
-    """The automaton of the most frequent contexts; ties go to the shorter, then the smaller one."""
+def _by_order(values: list[int]) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), F.col("order") + 1)
+
+
+def trie(grams: DataFrame, order: int) -> DataFrame:
+    """``order, context, symbol, n``: all contexts of all orders, with what followed them."""
     levels = F.explode(F.sequence(F.lit(0), F.lit(order)))
-    rows = grams.withColumn("order", levels)
-    mask = F.element_at(F.array(*[F.lit((1 << BITS * k) - 1) for k in range(order + 1)]), F.col("order") + 1)
+    rows = grams.filter("n > 0").withColumn("order", levels)
+    mask = _by_order([(1 << BITS * k) - 1 for k in range(order + 1)])
     rows = rows.select("order", F.shiftright("key", BITS).bitwiseAND(mask).alias("context"), F.col("key").bitwiseAND((1 << BITS) - 1).cast("int").alias("symbol"), "n")
-    top = F.element_at(F.array(*[F.lit(1 << BITS * max(0, k - 1)) for k in range(order + 1)]), F.col("order") + 1)
+    top = _by_order([1 << BITS * max(0, k - 1) for k in range(order + 1)])
     rows = rows.filter((F.col("order") == 0) | (F.col("context") >= top))  # what reaches before the start is no context of this order
-    rows = cut(rows.groupBy("order", "context", "symbol").agg(F.sum("n").alias("n")))
-    kept = rows.groupBy("order", "context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "order", "context").limit(most).select("order", "context")
-    table = rows.join(F.broadcast(kept), ["order", "context"]).select("context", "order", "symbol", "n").toArrow()  # at most ``most`` contexts
+    return cut(rows.groupBy("order", "context", "symbol").agg(F.sum("n").alias("n")))
+
+
+def frequent_contexts(rows: DataFrame, most: int) -> DataFrame:
+    """Ties go to the shorter, then the smaller context, so that all suffixes and prefixes of a context come before it."""
+    return rows.groupBy("order", "context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "order", "context").limit(most).select("order", "context")
+
+
+def automaton(rows: DataFrame, order: int, most: int) -> Automaton:
+    table = rows.join(F.broadcast(frequent_contexts(rows, most)), ["order", "context"]).select("context", "order", "symbol", "n").toArrow()  # at most ``most`` contexts
     column = lambda name: table.column(name).to_numpy().astype(np.int64)
     return build(column("context"), column("order"), column("symbol"), column("n"), order)
 
 
-def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
+def train(grams: DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS) -> Automaton:
+    """The automaton of the most frequent contexts."""
+    return automaton(trie(grams, order), order, most)
+
+
+def gram_costs(grams: DataFrame, rows: DataFrame, order: int) -> DataFrame:
+    """``key, cost, n``: the log10 probability of each gram of ``grams`` by the whole trie.
+
+    A gram of the trie has its share in its context. Any other escapes through
+    its shorter contexts; of these a symbol counts if the longer has not seen it,
+    and all that the longer has seen the shorter has too. Contexts and keys of
+    different orders differ, as a context begins with a symbol above 0.
+    """
+    whole = F.col("context") * (1 << BITS) + F.col("symbol")
+    rows = rows.withColumn("key", whole)
+    of_context = rows.groupBy("order", "context").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    shared = rows.join(of_context, ["order", "context"])
+    seen = shared.filter(F.col("order") == order).select("key", F.log10(F.col("n") / (F.col("all") + F.col("kinds"))).cast("float").alias("cost"), "n")
+
+    # Grams of the order itself that training lacks, and those at the starts of texts.
+    start = F.col("key") < (1 << BITS * order)
+    levels = grams.filter((F.col("n") == 0) | start).select("key", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("order"))
+    levels = levels.filter((F.col("order") == 0) | (F.col("key") >= _by_order([1 << BITS * k for k in range(order + 1)])))
+    part = F.col("key").bitwiseAND(_by_order([(1 << BITS * (k + 1)) - 1 for k in range(order + 1)]))
+    levels = levels.select(F.col("key").alias("of"), "order", part.alias("key"), F.shiftright(part, BITS).alias("context"))
+    # How often the next shorter context had the symbols that a context has seen.
+    needed = rows.join(levels.select("context").distinct(), "context", "left_semi").filter("order > 0")
+    shorter = F.col("key").bitwiseAND(_by_order([(1 << BITS * k) - 1 for k in range(order + 1)]))
+    upper = needed.select("context", shorter.alias("key")).join(rows.select("key", "n"), "key").groupBy("context").agg(F.sum("n").alias("above"))
+    met = levels.join(rows.select("key", "n"), "key", "left").join(of_context.drop("order"), "context", "left").join(upper, "context", "left")
+    at = lambda c, k: F.max(F.when(F.col("order") == k, F.col(c))).alias(f"{c}{k}")
+    wide = met.groupBy("of").agg(*[at(c, k) for c in ("n", "all", "kinds", "above") for k in range(order + 1)])
+    spare = rows.filter("order = 0").select("symbol").distinct().count()
+    unseen = cost = F.lit(1.0 / max(1, SYMBOLS - spare))  # given the escape of the context; by the longest context there is
+    for k in range(order + 1):
+        n, total, kinds = (F.col(f"{c}{k}") for c in ("n", "all", "kinds"))
+        if k:
+            left, others = F.col(f"all{k - 1}") - F.col(f"above{k}"), F.col(f"kinds{k - 1}") - kinds
+            unseen = F.when(left + others == 0, unseen).when(F.col(f"n{k - 1}").isNotNull(), F.col(f"n{k - 1}") / (left + others)).otherwise(others / (left + others) * unseen)
+        cost = F.when(total.isNull(), cost).otherwise(F.when(n.isNotNull(), n / (total + kinds)).otherwise(kinds / (total + kinds) * unseen))
+    return seen.unionByName(wide.select(F.col("of").alias("key"), F.log10(cost).cast("float").alias("cost"), F.lit(0).cast("long").alias("n")))
+
+
+def fast_grams(costs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Keys and costs of the most frequent grams, ``most`` at most, and how often a gram must come to be among them."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = costs.filter("n > 0").groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()  # a few hundred
+    least, room = 1 << 40, most
+    for r in sorted(sizes, key=lambda r: -r.step):
+        if (room := room - r["size"]) < 0:
+            break
+        least = r.step
+    table = costs.filter((F.col("n") > 0) & (step >= least)).select("key", "cost").toArrow()
+    keys = table.column("key").to_numpy().astype(np.int64)
+    by_key = np.argsort(keys)
+    return keys[by_key], table.column("cost").to_numpy()[by_key], least
+
+
+def score(docs: DataFrame, model: Automaton, counts: DataFrame, costs: DataFrame, most_grams: int) -> DataFrame:
     """Scores of every row by the trie, and by the counts of single words.
 
-    Frequent words are looked up in the scan; the rest of a text's words meet
-    their counts in a join, a row for each distinct one of a text.
+    Frequent words and grams are looked up in the scan; the rest of a text's words
+    and grams meet their counts or costs in a join, a row for each distinct one of a text.
     """
     spark = docs.sparkSession
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.filter(F.col("n") > total // FREQUENT).toArrow()
     order = np.argsort(frequent.column("word").to_numpy().astype(np.int64))
-    shared = spark.sparkContext.broadcast((model, frequent.column("word").to_numpy().astype(np.int64)[order], frequent.column("n").to_numpy().astype(np.int64)[order]))
+    gram_keys, gram_cost, least = fast_grams(costs, most_grams)
+    shared = spark.sparkContext.broadcast((model, gram_keys, gram_cost, frequent.column("word").to_numpy().astype(np.int64)[order], frequent.column("n").to_numpy().astype(np.int64)[order]))
+    del shared._value  # only workers read it; the driver keeps no copy
     floor = float(total + kinds + 1)
-    names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
-    schema = "row long, doc_id long, word long, times long, n_tokens long, n_known long, base double, score double"
+    names = ["row", "doc_id", "kind", "word", "times", "n_tokens", "n_known", "base", "score"]
+    schema = "row long, doc_id long, kind byte, word long, times long, n_tokens long, n_known long, base double, score double"
+
+    def distinct(doc, keys):
+        """The distinct keys of each text, and how often they come."""
+        order = np.lexsort((keys, doc))
+        k, d = keys[order], doc[order]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.zeros(0, np.int64)
+        return d[first], k[first], np.diff(np.append(first, len(k)))
+
+    def look_up(known, keys):
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
 
     def run(batches):
-        model, known, n = shared.value
+        model, gram_keys, gram_cost, known, n = shared.value
         value = np.log10((n + 1) / floor)
         task, number = TaskContext.get().partitionId() << 40, 0
-        for batch in slices(batches):
+        for batch in slices(batches, "text", SCORE_SLICE):
             texts = utf8(batch.column(1))
             found = [words(t) for t in texts]
             size = np.array([len(w) + 1 for w in found])
             hashes = np.fromiter((h for w in found for h in (*map(xxhash.xxh3_64_intdigest, w), END_WORD)), np.uint64, int(size.sum())).view(np.int64)
             doc = np.repeat(np.arange(len(texts)), size)
-            at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-            hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+            at, hit = look_up(known, hashes)
             rows = task + number + np.arange(len(texts))
             number += len(texts)
+            scores, gram_doc, grams = model.scores(texts)
+            gram_at, gram_hit = look_up(gram_keys, grams)
+            if len(gram_keys):
+                scores = scores + np.bincount(gram_doc[gram_hit], gram_cost[gram_at[gram_hit]], len(texts))
             none = lambda k, t: pa.nulls(k, t)
             # A text's own row; its key meets no word's, as it is null.
             yield pa.RecordBatch.from_arrays([
-                pa.array(rows, pa.int64()), batch.column(0), none(len(texts), pa.int64()), none(len(texts), pa.int64()), pa.array(size, pa.int64()),
-                pa.array(np.bincount(doc, hit, len(texts)).astype(np.int64)), pa.array(np.bincount(doc[hit], value[at[hit]], len(texts)) if len(known) else np.zeros(len(texts))), pa.array(model.scores(texts)),
+                pa.array(rows, pa.int64()), batch.column(0), none(len(texts), pa.int8()), none(len(texts), pa.int64()), none(len(texts), pa.int64()), pa.array(size, pa.int64()),
+                pa.array(np.bincount(doc, hit, len(texts)).astype(np.int64)), pa.array(np.bincount(doc[hit], value[at[hit]], len(texts)) if len(known) else np.zeros(len(texts))), pa.array(scores),
             ], names)
-            rare = np.flatnonzero(~hit)
-            order = rare[np.lexsort((hashes[rare], doc[rare]))]
-            h, d = hashes[order], doc[order]
-            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))) if len(h) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(h)))
-            for a in range(0, len(first), 1 << 16):
-                f, m = first[a : a + (1 << 16)], times[a : a + (1 << 16)]
-                k = len(f)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[d[f]], pa.int64()), none(k, pa.int64()), pa.array(h[f], pa.int64()), pa.array(m, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())], names)
+            for kind, d, k, times in ((1, *distinct(doc[~hit], hashes[~hit])), (0, *distinct(gram_doc[~gram_hit], grams[~gram_hit]))):
+                for a in range(0, len(k), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    m = len(k[part])
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[d[part]], pa.int64()), none(m, pa.int64()), pa.array(np.full(m, kind, np.int8)), pa.array(k[part], pa.int64()), pa.array(times[part], pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], names)
 
     scanned = id_and_text(docs).mapInArrow(run, schema)
-    # Rows without a word are dealt by a key of their own, below that of no word.
-    key = F.coalesce("word", F.xxhash64("row"))
-    met = scanned.withColumn("key", key).join(counts.select(F.col("word").alias("of"), "n"), (F.col("key") == F.col("of")), "left")
-    n = F.when(F.col("word").isNotNull(), F.coalesce("n", F.lit(0)))
+    # Rows without a word are dealt by a key of their own, of a kind that nothing else has.
+    key, kind = F.coalesce("word", F.xxhash64("row")), F.coalesce("kind", F.lit(2).cast("byte"))
+    rest = costs.filter((F.col("n") == 0) | (F.floor(F.log2("n") * 8) < least))
+    known = counts.select(F.col("word").alias("of"), F.lit(1).cast("byte").alias("of_kind"), "n", F.lit(None).cast("float").alias("cost"))
+    known = known.unionByName(rest.select(F.col("key").alias("of"), F.lit(0).cast("byte").alias("of_kind"), "n", "cost"))
+    met = scanned.withColumns({"key": key, "kind": kind}).join(known, (F.col("key") == F.col("of")) & (F.col("kind") == F.col("of_kind")), "left")
+    n = F.when(F.col("kind") == 1, F.coalesce("n", F.lit(0)))
     parts = met.select(
-        "row", "doc_id", "n_tokens", "score",
+        "row", "doc_id", "n_tokens",
         F.coalesce("n_known", F.when(n > 0, F.col("times")), F.lit(0)).alias("n_known"),
         F.coalesce("base", F.col("times") * F.log10((n + 1) / F.lit(floor))).alias("base"),
+        F.coalesce("score", F.col("times") * F.col("cost").cast("double")).alias("score"),
     )
-    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score"))
+    summed = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return summed.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS, most_grams: int = FAST_GRAMS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Null text is empty: its end alone. Repeated rows are scored one by one, and
     count in training as often as they come. Without training texts all symbols
-    are equally likely. No rows: no rows.
+    are equally likely. No rows: no rows. Scores do not depend on ``most`` and ``most_grams``.
     """
     counted = cut(count_corpus(docs, order))
-    model = train(counted.filter("kind = 0").select("key", "n"), order, most)
-    return score(docs, model, counted.filter("kind = 1").select(F.col("key").alias("word"), "n"))
+    grams = counted.filter("kind = 0").select("key", "n")
+    rows = trie(grams, order)
+    costs = cut(gram_costs(grams, rows, order))
+    return score(docs, automaton(rows, order, most), counted.filter("kind = 1").select(F.col("key").alias("word"), "n"), costs, most_grams)

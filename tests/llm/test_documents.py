@@ -286,6 +286,20 @@ def test_scores_are_those_of_the_trie(spark):
         assert found[i] == pytest.approx(brute_ppm(train, (t or "").encode(), 3), rel=1e-4, abs=1e-4)
 
 
+@pytest.mark.parametrize("most_grams", [0, 40])
+@pytest.mark.parametrize("most", [1, 12])
+def test_scores_do_not_depend_on_what_is_broadcast(spark, most, most_grams):
+    """Rare contexts count as they do in the whole trie."""
+    rng = random.Random(6)
+    make = lambda: " ".join(rng.choice(["ab", "abba", "cab", "bad", "dab"]) for _ in range(rng.randrange(0, 30)))
+    rows = [(i, make()) for i in range(60)] + [(100, "zzz ab é"), (101, ""), (102, None)] + [(i, w) for i in range(200, 230) for w in ("baab zab", "q")]
+    found = [(r.doc_id, r.score) for r in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), order=3, most=most, most_grams=most_grams).collect()]
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    expected = sorted((i, brute_ppm(train, (t or "").encode(), 3)) for i, t in rows)
+    assert [i for i, _ in sorted(found)] == [i for i, _ in expected]
+    assert np.allclose([x for _, x in sorted(found)], [x for _, x in expected], rtol=1e-4, atol=1e-4)
+
+
 def test_each_state_is_a_distribution(documents):
     counted = ppm.count_corpus(documents, 4)
     model = ppm.train(counted.filter("kind = 0").select("key", "n"), 4, 3000)
