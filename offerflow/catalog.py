@@ -575,8 +575,8 @@ def page_text(spark, d):
 def crawl_parameter_collapse(spark, d):
     nodes = markup.html_nodes(read(spark, d, "pages"))
     found = markup.links(nodes).groupBy("page_id").agg(F.sort_array(F.collect_list("href")).alias("links"))
-    pages = read(spark, d, "pages").select("page_id", "url").join(markup.titles(nodes), "page_id").join(found, "page_id")
-    return crawl.collapse_parameters(pages)
+    pages = read(spark, d, "pages").select("page_id", "url").join(markup.titles(nodes), "page_id", "left").join(found, "page_id", "left")
+    return crawl.collapse_parameters(pages.withColumns({"title": F.coalesce("title", F.lit("")), "links": F.coalesce("links", F.array().cast("array<string>"))}))
 
 
 _XML = [("url", "loc"), ("title", "title"), ("city", "city"), ("bought", "bought")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, url_host, url_path
@@ -50,9 +50,14 @@ def similar(title_a: Column, title_b: Column, links_a: Column, links_b: Column,
 
 
 def collapse_parameters(pages: DataFrame) -> DataFrame:
-    """``base, n, collapse``: pages that differ in parameters alone; they collapse if the first two are similar. ``pages(url, title, links)``"""
-    first_two = pages.select(canonical_url(F.col("url")).alias("base"), "url", "title", "links").groupBy("base").agg(F.count("*").alias("n"), F.min(F.struct("url", "title", "links")).alias("a"), F.max(F.struct("url", "title", "links")).alias("z"))
-    return first_two.select("base", "n", F.when(F.col("n") > 1, similar(F.col("a.title"), F.col("z.title"), F.col("a.links"), F.col("z.links"))).alias("collapse"))
+    """``base, n, collapse``: pages that differ in parameters alone; they collapse if the first two by URL are similar. ``pages(url, title, links)``"""
+    rows = pages.select(canonical_url(F.col("url")).alias("base"), "url", "title", "links")
+    # Spark keeps the first two of a base in each task before they meet.
+    place = F.row_number().over(Window.partitionBy("base").orderBy("url", "title", "links"))
+    first_two = rows.withColumn("_place", place).filter("_place <= 2").select("base", F.lit(0).cast("long").alias("n"), F.struct("url", "title", "links").alias("page"))
+    sizes = rows.groupBy("base").agg(F.count("*").alias("n")).withColumn("page", F.lit(None).cast(first_two.schema["page"].dataType))
+    both = sizes.unionByName(first_two).groupBy("base").agg(F.sum("n").alias("n"), F.min("page").alias("a"), F.max("page").alias("z"))
+    return both.select("base", "n", F.when(F.col("n") > 1, similar(F.col("a.title"), F.col("z.title"), F.col("a.links"), F.col("z.links"))).alias("collapse"))
 
 
 def frontier_text(frontier: DataFrame, field: str = "[=%", row: str = "=]%") -> DataFrame:

@@ -270,6 +270,29 @@ def test_similar_pages(spark):
     assert one(spark, crawl.similar(F.lit("t"), F.lit("t"), F.array(F.lit("1")), F.array(*map(F.lit, "2223")))) is False  # each occurrence counts
 
 
+def brute_collapse(pages):
+    bases = {}
+    for url, title, links in sorted(pages):
+        bases.setdefault(url.split("?")[0] + ("?*" if "?" in url else ""), []).append((title, links))
+    similar = lambda a, b: a[0] == b[0] and sum(x not in a[1] for x in b[1]) <= 2
+    return sorted((base, len(of), similar(of[0], of[1]) if len(of) > 1 else None) for base, of in bases.items())
+
+
+def test_the_first_two_pages_decide(spark):
+    pages = [("http://a?1", "T", ["1"]), ("http://a?2", "T", ["1"]), ("http://a?3", "U", ["1"]), ("http://b?1", "T", []), ("http://b?2", "U", []), ("http://b?3", "T", []), ("http://c?1", "T", list("12")), ("http://c?2", "T", list("3456")), ("http://c?3", "T", []), ("http://d?1", "T", []), ("http://d?1", "T", []), ("http://d?2", "V", [])]
+    df = spark.createDataFrame(pages, "url string, title string, links array<string>").repartition(5)
+    assert rows(crawl.collapse_parameters(df)) == brute_collapse(pages)
+
+
+def test_pages_without_title_or_links_count(spark, tmp_path):
+    from offerflow import catalog
+
+    link = "<a href='/{}'>x</a>"
+    html = [("http://a?1", "<p>neither</p>"), ("http://a?2", "<title></title>" + link.format(1)), ("http://a?3", "<title>T</title>"), ("http://b?1", "<title>T</title>"), ("http://b?2", "<title>T</title>" + "".join(map(link.format, range(3)))), ("http://c?1", None)]
+    spark.createDataFrame([(k, *r) for k, r in enumerate(html)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert rows(catalog.QUERIES["crawl_parameter_collapse"](spark, f"file://{tmp_path}")) == [("http://a?*", 3, True), ("http://b?*", 2, False), ("http://c?*", 1, None)]
+
+
 def test_frontier(spark):
     df = spark.createDataFrame([(1, 0, True), (2, 1, False), (3, 2, False), (4, 2, False)], "ord int, depth int, visited boolean")
     assert crawl.next_page(df).first().ord == 3
