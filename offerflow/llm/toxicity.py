@@ -28,9 +28,11 @@ BITS = 18
 #: Bytes of the beginnings of words that are terms too.
 STEMS = (4, 6)
 FACTORS = 4
-#: A term needs so many training texts, and a count of toxic ones so many deviations from what is expected, to get weights.
+#: A term needs so many training texts to get factors, and so a part in pairs. One whose count of toxic texts is within
+#: so many deviations of what is expected means nothing alone: it gets no weight, and its factors learn slowly, against noise.
 LEAST_TEXTS = 4
 LEAST_DEVIATION = 3.0
+SLOW = 3.0
 THRESHOLD = 0.3
 
 
@@ -68,7 +70,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-3, batch: int = 64, seed: int = 7, bits: int = BITS, factors: int = FACTORS, least: int = LEAST_TEXTS, deviation: float = LEAST_DEVIATION) -> FactorizationMachine:
+def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-3, batch: int = 64, seed: int = 7, bits: int = BITS, factors: int = FACTORS, least: int = LEAST_TEXTS, deviation: float = LEAST_DEVIATION, slow: float = SLOW) -> FactorizationMachine:
     """Minibatch AdaGrad on the logistic loss, over distinct texts. The same input gives the same model; no rows give probability 0.5."""
     first: dict = {}
     for k, (x, y) in enumerate(zip(lists, labels)):
@@ -79,12 +81,13 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
         texts[x] += 1
         toxic[x] += y
     share = (labels.sum() + 1) / (len(labels) + 2)
-    used = np.flatnonzero((texts >= least) & (np.abs(toxic - texts * share) >= deviation * np.sqrt(texts * share * (1 - share))))
+    used = np.flatnonzero(texts >= least)
+    alone = np.append(False, (np.abs(toxic - texts * share) >= deviation * np.sqrt(texts * share * (1 - share)))[used])
     slot = np.zeros(1 << bits, np.int32)
     slot[used] = np.arange(1, len(used) + 1)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(used) + 1), rng.normal(0, 0.01, (len(used) + 1, factors))
-    bias, gw, gv, gb = float(np.log(share / (1 - share))), np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
+    bias, gw, gv, gb = float(np.log(share / (1 - share))), np.full(len(w), 1e-2), np.where(alone, 1e-2, slow)[:, None] * np.ones(factors), 1e-2
     rows = [slot[x][slot[x] > 0] for x in lists]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -100,7 +103,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = 12, rate: flo
             each = g[doc]
             dw = np.bincount(local, each, len(near)) + decay * w[near]
             gw[near] += dw * dw
-            w[near] -= rate * dw / np.sqrt(gw[near])
+            w[near] -= rate * alone[near] * dw / np.sqrt(gw[near])
             part = each[:, None] * (total[doc] - x)
             dv = np.stack([np.bincount(local, part[:, f], len(near)) for f in range(factors)], 1) + decay * v[near]
             gv[near] += dv * dv

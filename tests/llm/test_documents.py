@@ -201,6 +201,21 @@ def test_pairs_mean_what_single_terms_do_not():
     assert np.array_equal(p, toxicity.fit(lists, np.array(labels, float)).scores([toxicity.terms(t) for t in (b"vermin in the garden", b"outsiders in the garden", b"vermin and outsiders")]))
 
 
+@pytest.mark.parametrize("pair", [("rat", "foe"), ("vermin", "outsiders")])
+def test_pairs_of_terms_that_are_neutral_alone(pair):
+    """Toxic are texts with both or none: either term comes in as many toxic texts as others."""
+    def make(n, seed):
+        rng, lists, labels = random.Random(seed), [], []
+        for _ in range(n):
+            has = [rng.random() < 0.5 for _ in pair]
+            lists.append(toxicity.terms(" ".join([*(f"common{rng.randrange(30)}" for _ in range(6)), *(w for w, x in zip(pair, has) if x)]).encode()))
+            labels.append(float(has[0] == has[1]))
+        return lists, np.array(labels)
+
+    lists, labels = make(400, 2)
+    assert ((toxicity.fit(*make(1600, 1)).scores(lists) > 0.5) == labels).mean() > 0.95
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
