@@ -15,15 +15,15 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices, utf8, words
 
 #: Rows that the model is fitted on at most: those with the smallest hash of their id.
 TRAIN_ROWS = 16_000
-#: Distinct terms that a text gives to training at most, those with the smallest hash. Scoring takes all.
-TRAIN_TERMS = 4_000
+#: Bytes of the distinct terms of these rows at most, 4 for each; the first rows whose whole texts fit are taken.
+TRAIN_BYTES = 256 << 20
 BITS = 18
 #: Bytes of the beginnings of words that are terms too.
 STEMS = (4, 6)
@@ -126,12 +126,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factori
 
     def run(batches):
         for batch in slices(batches):
-            lists = [terms(t)[:TRAIN_TERMS].astype(np.int32).tobytes() for t in utf8(batch.column(1))]
+            lists = [terms(t).astype(np.int32).tobytes() for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(2), pa.int32()), pa.array(lists, pa.binary())], ["doc_id", "toxic", "terms"])
 
     found = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, toxic int, terms binary")
     # A repeated id may give more rows than ids; the bound holds for them as well.
-    table = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("terms")).limit(rows).select("toxic", "terms").toArrow()
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("terms")
+    so_far = F.sum(F.length("terms")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    first = found.orderBy(*order).limit(rows).withColumn("so_far", so_far)  # at most ``rows`` rows meet in the window
+    table = first.filter(F.col("so_far") <= TRAIN_BYTES).select("toxic", "terms").toArrow()
     lists = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("terms")]  # views of the table, no copies
     return fit(lists, np.array(table.column("toxic").to_pylist() or np.zeros(0), np.float64))
 

@@ -216,6 +216,24 @@ def test_pairs_of_terms_that_are_neutral_alone(pair):
     assert ((toxicity.fit(*make(1600, 1)).scores(lists) > 0.5) == labels).mean() > 0.95
 
 
+def test_training_takes_all_terms_of_long_texts(spark, monkeypatch):
+    """The toxic word's hash is above that of nearly all others, of which each text has thousands."""
+    last = max((f"z{k}" for k in range(1000)), key=lambda w: toxicity.terms(w.encode())[0])
+    rng = random.Random(8)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, " ".join([f"{rng.randrange(10**9):09d}" for _ in range(3000)] + [last] * (i % 2))) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    slot = model.slot[toxicity.terms(last.encode())[0]]
+    assert slot > 0 and model.w[slot] > 0
+    fitted = []
+    monkeypatch.setattr(toxicity, "fit", lambda lists, labels: fitted.extend(lists))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 100_000)  # room for two or three whole texts
+    toxicity.train(docs, labels)
+    whole = {toxicity.terms(r.text.encode()).tobytes() for r in docs.collect()}
+    assert 0 < sum(4 * len(x) for x in fitted) <= 100_000 and all(x.astype(np.int64).tobytes() in whole for x in fitted)
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
