@@ -296,7 +296,6 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, costs: DataFrame
     order = np.argsort(frequent.column("word").to_numpy().astype(np.int64))
     gram_keys, gram_cost, least = fast_grams(costs, most_grams)
     shared = spark.sparkContext.broadcast((model, gram_keys, gram_cost, frequent.column("word").to_numpy().astype(np.int64)[order], frequent.column("n").to_numpy().astype(np.int64)[order]))
-    del shared._value  # only workers read it; the driver keeps no copy
     floor = float(total + kinds + 1)
     names = ["row", "doc_id", "kind", "word", "times", "n_tokens", "n_known", "base", "score"]
     schema = "row long, doc_id long, kind byte, word long, times long, n_tokens long, n_known long, base double, score double"
