@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
-#: Only where the session names no folder, as in tests on one machine.
+#: Only where a session on one machine names no folder, as in tests.
 OWN_FOLDER = "file:///tmp/checkpoints/offerflow"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
+    """The folder that the driver and all executors share, from the session; on a cluster there must be one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or OWN_FOLDER
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -33,11 +36,10 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read again: a lost executor costs no recomputation, and the planner knows the size."""
+    path = new_table_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,14 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
+def by_slices(texts, values, limit: int = SLICE_BYTES) -> list:
+    """``values`` of the UTF-8 texts of a column, which it gets a slice of about ``limit`` bytes at a time."""
+    found = []
+    for part in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", limit):
+        found.extend(values(utf8(part.column(0))))
+    return found
+
+
 def utf8(column) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
