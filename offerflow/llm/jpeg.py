@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import crc32, id_and_text, slices, utf8
+from .common import crc32, id_and_text, new_table_path, slices, utf8
 
 UNIT = 576
 INTERVAL = 64
@@ -284,18 +284,26 @@ def feature(thumbnails: list[np.ndarray]) -> str:
     return ";".join("{}x{}:{:016x}:{:016x}".format(8 * t.shape[1], 8 * t.shape[0], *thumbnail_hashes(t)) for t in thumbnails)
 
 
-def store_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each whole text as a media value. Null text is empty; repeated rows stay; a null id stays."""
+MEDIA = "doc_id long, n_bytes long, media binary"
+
+
+def store_media(docs: DataFrame, target: str) -> None:
+    """Write ``doc_id, n_bytes, media``, each whole text as a media value, to the table ``target``. Null text is empty; repeated rows and null ids stay."""
     def run(batches):
         for batch in slices(batches):
             texts = utf8(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode_payload([pad_payload(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    # Texts have much in common, which a wide search finds in their codes as well.
+    rows = id_and_text(docs).mapInArrow(run, MEDIA).write.option("compression", "zstd")
+    rows.option("parquet.compression.codec.zstd.level", "9").option("parquet.page.size", str(4 << 20)).parquet(target)
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Digests and features of the payload, from the stored bytes alone."""
+    """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of each stored row, from the stored bytes alone.
+
+    Repeated rows and null ids stay; a media value of several images is read as one payload. No rows: no rows.
+    """
     def run(batches):
         for batch in slices(batches, "media"):
             media = utf8(batch.column(2))
@@ -311,5 +319,11 @@ def media_features(stored: DataFrame) -> DataFrame:
 
 
 def jpeg_media(docs: DataFrame) -> DataFrame:
-    """Each text stored as JPEG and read back, without a shuffle: a row in, a row out."""
-    return media_features(store_media(docs))
+    """Each text stored as JPEG in a table of the shared folder, and read back from there: a row in, a row out.
+
+    Null and empty texts are one block of padding. Equal texts give equal values;
+    repeated rows and null ids stay; other columns are not looked at. No rows: no rows.
+    """
+    target = new_table_path(docs.sparkSession, "media")
+    store_media(docs, target)
+    return media_features(docs.sparkSession.read.schema(MEDIA).parquet(target))
