@@ -15,7 +15,6 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,50 +28,75 @@ CHUNKS = "record_id string, chunk_no long, n_chunks long, data binary, so_far lo
 
 
 def record_types(pages: DataFrame) -> DataFrame:
-    """``page_id, digest, record_type, refers_to`` for each distinct page and payload; digests are summed before they meet."""
-    digest = F.sha2(F.coalesce("html", F.lit("")), 256)
-    rows = pages.select("page_id", digest.alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size")).distinct()
-    firsts = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    """``page_id, digest, copies, record_type, first`` for each distinct page and payload; digests are summed before they meet.
+
+    ``first`` is the page that a revisit refers to: its id, address and number of rows.
+    """
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
+    rows = rows.groupBy("page_id", "digest").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min("url").alias("url"))
+    page = F.struct("page_id", "copies", "url")
+    firsts = rows.filter((F.col("size") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(page).alias("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return rows.join(firsts, "digest", "left").select(
-        "page_id", "digest",
+        "page_id", "digest", "copies",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first")).alias("refers_to"),
+        F.when(revisit, F.col("first")).alias("first"),
     )
 
 
 def payload_chunks(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The payload of each page as gzip members with the running digest; every row of ``pages`` is a record of its own."""
-    names = ["record_id", "page_id", "url", "digest", "size", "chunk_no", "n_chunks", "data", "so_far", "digest_so_far"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+    """The payload of each page as gzip members with the running digest; every row of ``pages`` is a record of its own (``number``).
+
+    Payloads are cut where they are read, so that tasks get chunks, never a payload.
+    """
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"), F.monotonically_increasing_id().alias("number"))
+    last = F.greatest(F.lit(0), F.floor((F.col("size") - 1) / chunk)).cast("int")
+    cuts = rows.select("*", (last + 1).cast("long").alias("n_chunks"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    part = F.substring("html", F.col("chunk_no") * chunk + 1, F.lit(chunk))
+    cuts = cuts.select("number", "page_id", "url", "digest", "size", F.col("chunk_no").cast("long").alias("chunk_no"), "n_chunks", part.alias("data"))
+    names = [*cuts.columns, "so_far", "digest_so_far"]
 
     def run(batches):
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, "html"):
-            rows = []
-            for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
-                name = str(uuid.UUID(bytes=hashlib.sha256(f"{page_id} {task} {number}".encode()).digest()[:16], version=4))
-                number += 1
-                digest, running = hashlib.sha256(html).hexdigest(), hashlib.sha256()
-                n = max(1, -(-len(html) // chunk))
-                for k in range(n):
-                    part = html[k * chunk : (k + 1) * chunk]
-                    running.update(part)
-                    rows.append((name, page_id, url, digest, len(html), k, n, gzip.compress(part, 6, mtime=0), min(len(html), (k + 1) * chunk), running.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        current, running, size = None, None, 0
+        for batch in slices(batches, "data"):
+            data, so_far, digests = [], [], []
+            for number, part in zip(batch.column(0).to_pylist(), utf8(batch.column(7))):
+                if number != current:
+                    current, running, size = number, hashlib.sha256(), 0
+                running.update(part)
+                size += len(part)
+                data.append(gzip.compress(part, 6, mtime=0))
+                so_far.append(size)
+                digests.append(running.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(data, pa.binary()), pa.array(so_far, pa.int64()), pa.array(digests, pa.string())], names)
+
+    return cuts.mapInArrow(run, "number long, page_id long, url string, digest string, size long, chunk_no long, n_chunks long, data binary, so_far long, digest_so_far string")
+
+
+def record_id(page_id, digest: str, copies: int, number: int) -> str:
+    """By page and payload; rows that repeat both are told apart by their number."""
+    return str(uuid.UUID(bytes=hashlib.sha256(f"{page_id} {digest} {number if copies > 1 else ''}".encode()).digest()[:16], version=4))
+
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "record_id string, page_id long, url string, digest string, size long, chunk_no long, n_chunks long, data binary, so_far long, digest_so_far string")
+def _line(url) -> str:
+    return (url or "").replace("\n", " ").replace("\r", " ")
 
 
-def _header(record_type, url, name, page_id, refers_to, digest, size) -> bytes:
+def _header(record_type, url, name, page_id, first, digest, size) -> bytes:
+    """The header block. A revisit names the record that it refers to, unless repeated rows of that page make it several."""
     revisit = record_type == "revisit"
     lines = [
-        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Target-URI: {(url or '').replace(chr(10), ' ').replace(chr(13), ' ')}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Target-URI: {_line(url)}", f"WARC-Date: {DATE}",
         f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: text/html; charset=utf-8",
         *([] if page_id is None else [f"Page-ID: {page_id}"]),
-        *([f"WARC-Refers-To-Page: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
-        f"Content-Length: {0 if revisit else size}",
     ]
+    if revisit:
+        if first["copies"] == 1:
+            lines.append(f"WARC-Refers-To: <urn:uuid:{record_id(first['page_id'], digest, 1, 0)}>")
+        lines += [f"WARC-Refers-To-Target-URI: {_line(first['url'])}", f"WARC-Refers-To-Date: {DATE}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    lines.append(f"Content-Length: {0 if revisit else size}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -82,22 +106,23 @@ def write_archive(pages: DataFrame, target: str, chunk: int = CHUNK) -> None:
     Of records with equal payloads of 100 bytes or more that with the smallest
     ``page_id`` is the response (all of them if rows repeat it). Null html is an
     empty payload; a null id is written without one and is never referred to
-    unless it is alone.
+    unless it is alone. Other columns are not looked at. No rows: an empty archive.
     """
     types = record_types(pages).withColumnsRenamed({"page_id": "of_page", "digest": "of_digest"})
     chunks = payload_chunks(pages, chunk)
     joined = chunks.join(types, chunks["page_id"].eqNullSafe(types["of_page"]) & (chunks["digest"] == types["of_digest"]))
     kept = joined.filter((F.col("record_type") == "response") | (F.col("chunk_no") == 0))
-    columns = ["record_id", "page_id", "url", "digest", "size", "chunk_no", "n_chunks", "data", "so_far", "digest_so_far", "record_type", "refers_to"]
+    columns = ["number", "page_id", "url", "digest", "size", "chunk_no", "n_chunks", "so_far", "digest_so_far", "copies", "record_type", "first", "data"]
 
     def run(batches):
         for batch in slices(batches, "data"):
             rows = []
-            for name, page_id, url, digest, size, k, n, data, so_far, running, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, page_id, url, digest, size, k, n, so_far, running, copies, kind, first, data in zip(*(c.to_pylist() for c in batch.columns)):
+                name = record_id(page_id, digest, copies, number)
                 if kind == "revisit":
-                    rows.append((name, 0, 1, gzip.compress(_header(kind, url, name, page_id, refers_to, digest, size) + b"\r\n\r\n", 6, mtime=0), 0, hashlib.sha256().hexdigest()))
+                    rows.append((name, 0, 1, gzip.compress(_header(kind, url, name, page_id, first, digest, size) + b"\r\n\r\n", 6, mtime=0), 0, hashlib.sha256().hexdigest()))
                     continue
-                head = gzip.compress(_header(kind, url, name, page_id, refers_to, digest, size), 6, mtime=0) if k == 0 else b""
+                head = gzip.compress(_header(kind, url, name, page_id, first, digest, size), 6, mtime=0) if k == 0 else b""
                 end = gzip.compress(b"\r\n\r\n", 6, mtime=0) if k == n - 1 else b""
                 rows.append((name, k, n, head + data + end, so_far, running))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
@@ -136,11 +161,11 @@ def read_archive(spark, source: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each record, from the archive alone.
 
     Records of one chunk are read where they lie; only the rows of longer ones
-    are brought together. A revisit takes length and digest from the response
-    that it refers to.
+    are brought together. A revisit takes its length and the page that it refers to
+    from the response with its payload digest.
     """
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string"
 
     def run(batches):
         current, reader = None, None
@@ -153,9 +178,9 @@ def read_archive(spark, source: str) -> DataFrame:
             digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
             if not revisit and digest != reader.digest.hexdigest():
                 raise ValueError("damaged record")
-            return (int(h["Page-ID"]) if "Page-ID" in h else None, None if revisit else reader.size, digest, h["WARC-Type"], int(h["WARC-Refers-To-Page"]) if revisit and h["WARC-Refers-To-Page"] != "None" else None)
+            return (int(h["Page-ID"]) if "Page-ID" in h else None, None if revisit else reader.size, digest, h["WARC-Type"])
 
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
         for batch in slices(batches, "data"):
             rows = []
@@ -175,9 +200,9 @@ def read_archive(spark, source: str) -> DataFrame:
     short = chunks.filter("n_chunks = 1").select(*columns)
     long = chunks.filter("n_chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no").select(*columns)
     records = short.mapInArrow(run, schema).unionByName(long.mapInArrow(run, schema))
-    digests = records.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"))
-    found = records.join(digests, "payload_digest", "left")
-    return found.select("page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    responses = records.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size"), F.min("page_id").alias("first"))
+    found = records.join(responses, "payload_digest", "left")
+    return found.select("page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("first")).alias("refers_to"))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
