@@ -20,25 +20,49 @@ from offerflow.llm.toxicity import THRESHOLD, train, with_score
 NEAR_PERCENT = 80
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name like this one that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the threshold of the toxicity model, which learns from the labels of these documents."""
+    """Documents below the threshold of the toxicity model, which learns from the labels of these documents.
+
+    Null texts are scored as empty ones. Repeated rows and null ids stay or go as
+    others do. Without labels all scores are low and all documents stay. No documents: no rows.
+    """
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return with_score(docs, model, "_toxicity").filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    score = _free(docs, "_toxicity")
+    return with_score(docs, model, score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; texts without words are in no group."""
-    kept = near_duplicates(docs, NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The document with the smallest id of each group of near-duplicates.
+
+    Texts that are null, empty or without words are in no group and stay. A document is
+    its id: repeated rows of an id that is kept all stay, whatever their texts. Rows
+    without an id stay where their group has no id at all. No documents: no rows.
+    """
+    of = _free(docs, "_kept_id")
+    kept = near_duplicates(docs, NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return flag_contaminated(docs, read_table(spark, sf_dir, "benchmark"), "_leak").filter(~F.col("_leak")).drop("_leak")
+    """Documents that hold no benchmark item.
+
+    Null, empty and wordless texts hold none and stay, as do all if there is no item.
+    Repeated rows and null ids stay or go as others do. No documents: no rows.
+    """
+    leak = _free(docs, "_leak")
+    return flag_contaminated(docs, read_table(spark, sf_dir, "benchmark"), leak).filter(~F.col(leak)).drop(leak)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document in a sequence."""
+    """A row for each piece of a document in a sequence. Null texts are empty; repeated rows and null ids are packed as others are. No documents: no rows."""
     return pack(docs, vocabulary_path("byte_bpe_50k.json"), end_id=1)
 
 
