@@ -6,21 +6,16 @@ method C and symbol exclusion: a symbol that a context has not seen escapes to
 the next shorter one, where symbols that the longer one has seen do not count.
 Texts end with a symbol of their own, so that scores are of whole texts.
 
-A pretrained trie does not change while it scores, so all its probabilities are
-known beforehand, and its contexts are the states of an automaton: a table gives
-the cost and the next state for each state and symbol. Texts run through it in
-segments side by side; a segment first reads the ``ORDER`` bytes before it.
-
-The trie is counted over all training texts and kept whole, as a table. The
-automaton of its ``MOST_CONTEXTS`` most frequent contexts and about ``FAST_GRAMS``
-further frequent grams are broadcast, only to be fast: where a context is not in
-the automaton, the gram's cost comes from the table, by a join if need be.
+A pretrained trie does not change while it scores, so the cost of each symbol after
+the ``ORDER`` before it, a gram, is known beforehand. The trie is counted over all
+training texts and kept whole, as a table, and so are the costs of all grams that
+the texts to score have. The costs of the most frequent grams, ``FAST_GRAMS`` at
+most, are broadcast; a text's other grams meet theirs in a join, a row for each
+distinct one. What is broadcast changes the time and no score.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,12 +26,10 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, slices, utf8, words
 
 ORDER = 5
-MOST_CONTEXTS = 80_000
-#: Grams beyond the automaton whose costs go to all tasks, at most.
-FAST_GRAMS = 1 << 19
+#: Grams whose costs go to all tasks, at most; 12 bytes each.
+FAST_GRAMS = 1 << 20
 #: Symbols: 1 to 256 are bytes, 257 is the end, 0 is before the start.
 SYMBOLS, END, BITS = 257, 257, 9
-SEGMENT = 512
 COUNT_SLICE, SCORE_SLICE = 6 << 20, 1 << 20
 #: Words whose counts go to all tasks: those that are more than one in so many training tokens, so fewer than that.
 FREQUENT = 1 << 18
@@ -64,116 +57,39 @@ def symbol_stream(texts: list[bytes], order: int) -> np.ndarray:
     return stream
 
 
-def gram_counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol with the ``order`` symbols before it, packed in 9 bits each, the newest lowest."""
+def grams(texts: list[bytes], order: int) -> np.ndarray:
+    """Each symbol of each text with the ``order`` symbols before it, packed in 9 bits each, the newest lowest."""
     s = symbol_stream(texts, order)
-    gram = s[order:].copy()
+    found = s[order:].copy()
     for k in range(1, order + 1):
-        gram |= s[order - k : len(s) - k] << (BITS * k)
-    return np.unique(gram[s[order:] > 0], return_counts=True)
-
-
-@dataclass
-class Automaton:
-    order: int
-    column: np.ndarray  # by symbol
-    cost: np.ndarray  # state, column: log10 of the probability
-    next: np.ndarray
-    level: np.ndarray  # by state: the order of its context
-
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 probability of each text, its end included, without that of grams whose contexts the automaton lacks; the texts and keys of those."""
-        order = self.order
-        size = np.array([len(t) + 1 for t in texts])
-        if not len(texts):
-            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.int64) + 1
-        ends = size.cumsum() - 1
-        raw[ends] = END
-        columns = self.column[raw]
-        n = len(raw)
-        count = -(-n // SEGMENT)
-        grid = np.full((count, order + SEGMENT), self.column[END], np.int64)
-        flat = np.concatenate([np.full(order, self.column[END]), columns, np.full(count * SEGMENT - n, self.column[END])])
-        grid[:] = np.lib.stride_tricks.sliding_window_view(flat, order + SEGMENT)[::SEGMENT]
-        grid = np.ascontiguousarray(grid.T)
-        wide = self.cost.shape[1]
-        cost, following = self.cost.ravel(), self.next.ravel()
-        state = np.zeros(count, np.int64)
-        out = np.zeros((SEGMENT, count), np.float32)
-        deep = np.zeros((SEGMENT, count), np.int8)
-        for t in range(order + SEGMENT):
-            at = state * wide + grid[t]
-            if t >= order:
-                out[t - order] = cost[at]
-                deep[t - order] = self.level[state]
-            state = following[at]
-        # The order of a symbol's context is ``order``, or what is before it in its text.
-        need = np.full(n, order, np.int8)
-        for k in range(order):
-            need[(ends + 1 - size + k)[size > k]] = k
-        lacking = np.flatnonzero(deep.T.reshape(-1)[:n] < need)
-        keys = raw[lacking]
-        for k in range(1, order + 1):
-            keys |= np.where(need[lacking] >= k, raw[np.maximum(lacking - k, 0)], 0) << (BITS * k)
-        each = out.T.reshape(-1)[:n].astype(np.float64)
-        each[lacking] = 0
-        total = np.concatenate([[0.0], each.cumsum()])
-        return total[ends + 1] - total[ends + 1 - size], np.searchsorted(ends, lacking), keys
-
-
-def build(contexts: np.ndarray, orders: np.ndarray, symbols: np.ndarray, counts: np.ndarray, order: int) -> Automaton:
-    """From rows ``(context, its order, symbol, count)`` of a trie that has, with a context, all its suffixes and prefixes."""
-    seen_root = np.unique(symbols[orders == 0])
-    column = np.full(SYMBOLS + 1, len(seen_root), np.int64)  # unseen symbols share the last column
-    column[seen_root] = np.arange(len(seen_root))
-    if column[END] == len(seen_root):
-        seen_root = np.append(seen_root, END)  # no training texts
-        column[:] = len(seen_root)
-        column[END] = len(seen_root) - 1
-    wide = len(seen_root) + 1
-    keys, first = np.unique(orders << 54 | contexts, return_index=True)  # by order, then context
-    if len(keys) == 0 or keys[0] != 0:
-        keys = np.concatenate([[0], keys])
-    state_of = lambda o, c: np.searchsorted(keys, o << 54 | c)
-    level, key = keys >> 54, keys & ((1 << 54) - 1)
-    table = np.zeros((len(keys), wide), np.int32)
-    table[state_of(orders, contexts), column[symbols]] = counts
-    cost = np.zeros((len(keys), wide), np.float32)
-    following = np.zeros((len(keys), wide), np.int32)
-    unseen = np.zeros((len(keys), wide), np.float32)  # probability of a symbol that the context lacks, given the escape
-    spare = max(1, SYMBOLS - int((table[0] > 0).sum()))
-    for k in range(order + 1):
-        rows = np.flatnonzero(level == k)
-        for some in np.array_split(rows, max(1, len(rows) // 4096)):
-            if not len(some):
-                continue
-            c = table[some].astype(np.float64)
-            seen = c > 0
-            n, kinds = c.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-            if k == 0:
-                u = np.full(c.shape, 1.0 / spare)
-                up = None
-            else:
-                up = state_of(np.full(len(some), k - 1), key[some] & ((1 << BITS * (k - 1)) - 1))
-                p = np.where(seen, 0, table[up])
-                pn, pk = p.sum(1, keepdims=True), (p > 0).sum(1, keepdims=True)
-                whole = np.maximum(pn + pk, 1)
-                u = np.where(pn + pk == 0, unseen[up], np.where(p > 0, p / whole, pk / whole * unseen[up]))
-            unseen[some] = u
-            escape = np.where(n > 0, kinds / np.maximum(n + kinds, 1), 1.0)
-            cost[some] = np.log10(np.maximum(np.where(seen, c / np.maximum(n + kinds, 1), escape * u), 1e-300))
-            following[some] = 0 if k == 0 else following[up]
-            if k < order:
-                for sym in seen_root:
-                    if sym == END:
-                        continue
-                    longer = key[some] << BITS | int(sym)
-                    at = np.minimum(state_of(np.full(len(some), k + 1), longer), len(keys) - 1)
-                    hit = keys[at] == (np.int64(k + 1) << 54 | longer)
-                    following[some[hit], column[sym]] = at[hit]
-    following[:, column[END]] = 0
-    return Automaton(order, column, cost, following, level.astype(np.int8))
+        found |= s[order - k : len(s) - k] << (BITS * k)
+    return found[s[order:] > 0]
+
+
+def gram_counts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(grams(texts, order), return_counts=True)
+
+
+def distinct(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of each text, and how often they come. ``of``: the text of each key, in ascending order."""
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return of[first], keys[first], np.diff(np.append(first, len(keys)))
+
+
+def text_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of each text: the text's number, the gram and how often it comes."""
+    spare = 63 - BITS * (order + 1)
+    if spare < 1:
+        return distinct(np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts]), grams(texts, order))
+    parts = []
+    for a in range(0, len(texts), 1 << spare):  # a text's number fits in the bits that its grams leave
+        some = texts[a : a + (1 << spare)]
+        number = np.repeat(np.arange(len(some)), [len(t) + 1 for t in some])
+        both, times = np.unique(number << (63 - spare) | grams(some, order), return_counts=True)
+        parts.append((a + (both >> (63 - spare)), both & ((1 << (63 - spare)) - 1), times))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def count_corpus(docs: DataFrame, order: int) -> DataFrame:
@@ -184,13 +100,13 @@ def count_corpus(docs: DataFrame, order: int) -> DataFrame:
             trained = batch.column(2).to_pylist()
             parts = []
             if others := [t for t, x in zip(texts, trained) if not x]:
-                grams = gram_counts(others, order)[0]
-                parts.append((0, grams, np.zeros(len(grams), np.int64)))
+                unlearned = gram_counts(others, order)[0]
+                parts.append((0, unlearned, np.zeros(len(unlearned), np.int64)))
             if texts := [t for t, x in zip(texts, trained) if x]:
                 found = [w for t in texts for w in words(t)]
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-                keys, m = np.unique(np.append(hashes, np.full(len(texts), END_WORD, np.uint64)), return_counts=True)
-                parts += [(0, *gram_counts(texts, order)), (1, keys.view(np.int64), m)]
+                found_words, m = np.unique(np.append(hashes, np.full(len(texts), END_WORD, np.uint64)), return_counts=True)
+                parts += [(0, *gram_counts(texts, order)), (1, found_words.view(np.int64), m)]
             for kind, k, c in parts:
                 for a in range(0, len(k), 1 << 16):
                     part = slice(a, a + (1 << 16))
@@ -215,24 +131,8 @@ def trie(grams: DataFrame, order: int) -> DataFrame:
     return cut(rows.groupBy("order", "context", "symbol").agg(F.sum("n").alias("n")))
 
 
-def frequent_contexts(rows: DataFrame, most: int) -> DataFrame:
-    """Ties go to the shorter, then the smaller context, so that all suffixes and prefixes of a context come before it."""
-    return rows.groupBy("order", "context").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "order", "context").limit(most).select("order", "context")
-
-
-def automaton(rows: DataFrame, order: int, most: int) -> Automaton:
-    table = rows.join(F.broadcast(frequent_contexts(rows, most)), ["order", "context"]).select("context", "order", "symbol", "n").toArrow()  # at most ``most`` contexts
-    column = lambda name: table.column(name).to_numpy().astype(np.int64)
-    return build(column("context"), column("order"), column("symbol"), column("n"), order)
-
-
-def train(grams: DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS) -> Automaton:
-    """The automaton of the most frequent contexts."""
-    return automaton(trie(grams, order), order, most)
-
-
 def gram_costs(grams: DataFrame, rows: DataFrame, order: int) -> DataFrame:
-    """``key, cost, n``: the log10 probability of each gram of ``grams`` by the whole trie.
+    """``key, cost, n``: the log10 probability of each gram of ``grams`` by the whole trie, and how often training has it.
 
     A gram of the trie has its share in its context. Any other escapes through
     its shorter contexts; of these a symbol counts if the longer has not seen it,
@@ -247,17 +147,17 @@ def gram_costs(grams: DataFrame, rows: DataFrame, order: int) -> DataFrame:
 
     # Grams of the order itself that training lacks, and those at the starts of texts.
     start = F.col("key") < (1 << BITS * order)
-    levels = grams.filter((F.col("n") == 0) | start).select("key", F.explode(F.sequence(F.lit(0), F.lit(order))).alias("order"))
+    levels = grams.filter((F.col("n") == 0) | start).select("key", F.col("n").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(order))).alias("order"))
     levels = levels.filter((F.col("order") == 0) | (F.col("key") >= _by_order([1 << BITS * k for k in range(order + 1)])))
     part = F.col("key").bitwiseAND(_by_order([(1 << BITS * (k + 1)) - 1 for k in range(order + 1)]))
-    levels = levels.select(F.col("key").alias("of"), "order", part.alias("key"), F.shiftright(part, BITS).alias("context"))
+    levels = levels.select(F.col("key").alias("of"), "own", "order", part.alias("key"), F.shiftright(part, BITS).alias("context"))
     # How often the next shorter context had the symbols that a context has seen.
     needed = rows.join(levels.select("context").distinct(), "context", "left_semi").filter("order > 0")
     shorter = F.col("key").bitwiseAND(_by_order([(1 << BITS * k) - 1 for k in range(order + 1)]))
     upper = needed.select("context", shorter.alias("key")).join(rows.select("key", "n"), "key").groupBy("context").agg(F.sum("n").alias("above"))
     met = levels.join(rows.select("key", "n"), "key", "left").join(of_context.drop("order"), "context", "left").join(upper, "context", "left")
     at = lambda c, k: F.max(F.when(F.col("order") == k, F.col(c))).alias(f"{c}{k}")
-    wide = met.groupBy("of").agg(*[at(c, k) for c in ("n", "all", "kinds", "above") for k in range(order + 1)])
+    wide = met.groupBy("of").agg(F.max("own").alias("own"), *[at(c, k) for c in ("n", "all", "kinds", "above") for k in range(order + 1)])
     spare = rows.filter("order = 0").select("symbol").distinct().count()
     unseen = cost = F.lit(1.0 / max(1, SYMBOLS - spare))  # given the escape of the context; by the longest context there is
     for k in range(order + 1):
@@ -266,7 +166,7 @@ def gram_costs(grams: DataFrame, rows: DataFrame, order: int) -> DataFrame:
             left, others = F.col(f"all{k - 1}") - F.col(f"above{k}"), F.col(f"kinds{k - 1}") - kinds
             unseen = F.when(left + others == 0, unseen).when(F.col(f"n{k - 1}").isNotNull(), F.col(f"n{k - 1}") / (left + others)).otherwise(others / (left + others) * unseen)
         cost = F.when(total.isNull(), cost).otherwise(F.when(n.isNotNull(), n / (total + kinds)).otherwise(kinds / (total + kinds) * unseen))
-    return seen.unionByName(wide.select(F.col("of").alias("key"), F.log10(cost).cast("float").alias("cost"), F.lit(0).cast("long").alias("n")))
+    return seen.unionByName(wide.select(F.col("of").alias("key"), F.log10(cost).cast("float").alias("cost"), F.col("own").alias("n")))
 
 
 def fast_grams(costs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -284,8 +184,8 @@ def fast_grams(costs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, flo
     return keys[by_key], table.column("cost").to_numpy()[by_key], least
 
 
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, costs: DataFrame, most_grams: int) -> DataFrame:
-    """Scores of every row by the trie, and by the counts of single words.
+def score(docs: DataFrame, counts: DataFrame, costs: DataFrame, order: int, most_grams: int) -> DataFrame:
+    """Scores of every row by the costs of its grams, and by the counts of its words.
 
     Frequent words and grams are looked up in the scan; the rest of a text's words
     and grams meet their counts or costs in a join, a row for each distinct one of a text.
@@ -293,26 +193,22 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, costs: DataFrame
     spark = docs.sparkSession
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = counts.filter(F.col("n") > total // FREQUENT).toArrow()
-    order = np.argsort(frequent.column("word").to_numpy().astype(np.int64))
+    by_word = np.argsort(frequent.column("word").to_numpy().astype(np.int64))
     gram_keys, gram_cost, least = fast_grams(costs, most_grams)
-    shared = spark.sparkContext.broadcast((model, gram_keys, gram_cost, frequent.column("word").to_numpy().astype(np.int64)[order], frequent.column("n").to_numpy().astype(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((gram_keys, gram_cost, frequent.column("word").to_numpy().astype(np.int64)[by_word], frequent.column("n").to_numpy().astype(np.int64)[by_word]))
     floor = float(total + kinds + 1)
     names = ["row", "doc_id", "kind", "word", "times", "n_tokens", "n_known", "base", "score"]
     schema = "row long, doc_id long, kind byte, word long, times long, n_tokens long, n_known long, base double, score double"
 
-    def distinct(doc, keys):
-        """The distinct keys of each text, and how often they come."""
-        order = np.lexsort((keys, doc))
-        k, d = keys[order], doc[order]
-        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.zeros(0, np.int64)
-        return d[first], k[first], np.diff(np.append(first, len(k)))
-
     def look_up(known, keys):
-        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-        return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        """The places of the keys among the known ones, and which are there."""
+        if not len(known):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
 
     def run(batches):
-        model, gram_keys, gram_cost, known, n = shared.value
+        gram_keys, gram_cost, known, n = shared.value
         value = np.log10((n + 1) / floor)
         task, number = TaskContext.get().partitionId() << 40, 0
         for batch in slices(batches, "text", SCORE_SLICE):
@@ -322,19 +218,19 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, costs: DataFrame
             hashes = np.fromiter((h for w in found for h in (*map(xxhash.xxh3_64_intdigest, w), END_WORD)), np.uint64, int(size.sum())).view(np.int64)
             doc = np.repeat(np.arange(len(texts)), size)
             at, hit = look_up(known, hashes)
+            base = np.bincount(doc[hit], value[at[hit]], len(texts))
             rows = task + number + np.arange(len(texts))
             number += len(texts)
-            scores, gram_doc, grams = model.scores(texts)
-            gram_at, gram_hit = look_up(gram_keys, grams)
-            if len(gram_keys):
-                scores = scores + np.bincount(gram_doc[gram_hit], gram_cost[gram_at[gram_hit]], len(texts))
+            gram_doc, gram, gram_times = text_grams(texts, order)
+            gram_at, gram_hit = look_up(gram_keys, gram)
+            scores = np.bincount(gram_doc[gram_hit], gram_times[gram_hit] * gram_cost[gram_at[gram_hit]].astype(np.float64), len(texts))
             none = lambda k, t: pa.nulls(k, t)
             # A text's own row; its key meets no word's, as it is null.
             yield pa.RecordBatch.from_arrays([
                 pa.array(rows, pa.int64()), batch.column(0), none(len(texts), pa.int8()), none(len(texts), pa.int64()), none(len(texts), pa.int64()), pa.array(size, pa.int64()),
-                pa.array(np.bincount(doc, hit, len(texts)).astype(np.int64)), pa.array(np.bincount(doc[hit], value[at[hit]], len(texts)) if len(known) else np.zeros(len(texts))), pa.array(scores),
+                pa.array(np.bincount(doc, hit, len(texts)).astype(np.int64)), pa.array(base, pa.float64()), pa.array(scores, pa.float64()),
             ], names)
-            for kind, d, k, times in ((1, *distinct(doc[~hit], hashes[~hit])), (0, *distinct(gram_doc[~gram_hit], grams[~gram_hit]))):
+            for kind, (d, k, times) in ((1, distinct(doc[~hit], hashes[~hit])), (0, (gram_doc[~gram_hit], gram[~gram_hit], gram_times[~gram_hit]))):
                 for a in range(0, len(k), 1 << 16):
                     part = slice(a, a + (1 << 16))
                     m = len(k[part])
@@ -358,15 +254,14 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, costs: DataFrame
     return summed.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, most: int = MOST_CONTEXTS, most_grams: int = FAST_GRAMS) -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, most_grams: int = FAST_GRAMS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     Null text is empty: its end alone. Repeated rows are scored one by one, and
     count in training as often as they come. Without training texts all symbols
-    are equally likely. No rows: no rows. Scores do not depend on ``most`` and ``most_grams``.
+    are equally likely. No rows: no rows. Scores do not depend on ``most_grams``.
     """
     counted = cut(count_corpus(docs, order))
-    grams = counted.filter("kind = 0").select("key", "n")
-    rows = trie(grams, order)
-    costs = cut(gram_costs(grams, rows, order))
-    return score(docs, automaton(rows, order, most), counted.filter("kind = 1").select(F.col("key").alias("word"), "n"), costs, most_grams)
+    found = counted.filter("kind = 0").select("key", "n")
+    costs = cut(gram_costs(found, trie(found, order), order))
+    return score(docs, counted.filter("kind = 1").select(F.col("key").alias("word"), "n"), costs, order, most_grams)
