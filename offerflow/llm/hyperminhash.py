@@ -159,10 +159,14 @@ def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """``node, root``: classes tied by bands. Each band ties its classes to the smallest, so that a large one adds a row for each class."""
+    """``node, root``: classes tied by bands. Each band ties its classes to the smallest, so that a large one adds a row for each class.
+
+    The shared bands are a table of their own, and always met by a sort and a merge, so that a band with a third of all
+    classes can be split there and no size of the input changes the plan.
+    """
     keys = classes.select(F.explode("bands").alias("key"), F.col("digest").alias("node"))
-    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most")
-    return connected_components(keys.join(least, "key").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    least = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most"))
+    return connected_components(keys.join(least.hint("merge"), "key").select(F.col("node").alias("u"), F.col("least").alias("v")), rank=lambda node: node)
 
 
 def block_members(members: DataFrame) -> DataFrame:
@@ -187,7 +191,9 @@ def verified_links(docs: DataFrame, blocks: DataFrame, percent: int = PERCENT) -
     pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.block") <= F.col("b.block"))).filter(F.col("b.low") * percent <= F.col("a.high") * 100)
     pairs = pairs.select(F.col("a.root").alias("root"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    texts = id_and_text(docs).withColumnRenamed("doc_id", "of_id").join(blocks.filter("doc_id is not null or n_shingles > 0"), F.col("of_id").eqNullSafe(F.col("doc_id")))
+    # Always by a sort and a merge: which texts are candidates grows with the input.
+    candidates = blocks.filter("doc_id is not null or n_shingles > 0").hint("merge")
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "of_id").join(candidates, F.col("of_id").eqNullSafe(F.col("doc_id")))
     rows = texts.join(ends, ["root", "block"]).select("root", "i", "j", "block", "node", "text")
     rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
@@ -230,13 +236,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     sketched = cut(sketch(docs, percent))
     classes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = cut(classes)
     clusters = candidate_clusters(classes)
     members = clusters.join(classes.select(F.col("digest").alias("node"), "doc_id", "n_shingles"), "node")
     blocks = cut(block_members(cut(members)))
-    found = connected_components(verified_links(docs, blocks, percent))
-    named = classes.select("digest", "doc_id").join(found, F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("root", "digest").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(smallest, "root").select("digest", "component_id")
+    found = connected_components(verified_links(docs, blocks, percent), rank=lambda node: node)
+    named = cut(found.join(classes.select(F.col("digest").alias("node"), "doc_id"), "node").select("node", "root", "doc_id"))
+    smallest = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    linked = named.join(smallest, "root").select(F.col("node").alias("digest"), "component_id")
+    of_class = cut(classes.select("digest", "doc_id").join(linked, "digest", "left").select("digest", F.coalesce("component_id", "doc_id").alias("component_id")))
     result = sketched.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
