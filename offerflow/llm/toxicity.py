@@ -76,7 +76,7 @@ class FactorizationMachine:
 
 
 def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-3, batch: int = 64, seed: int = 7, bits: int = BITS, factors: int = FACTORS, least: int = LEAST_TEXTS, deviation: float = LEAST_DEVIATION, slow: float = SLOW) -> FactorizationMachine:
-    """Minibatch AdaGrad on the logistic loss, over distinct texts. The same input gives the same model; no rows give the probability ``PRIOR``."""
+    """AdaGrad on the logistic loss, over distinct texts, in batches that are drawn once. The same input gives the same model; no rows give the probability ``PRIOR``."""
     first: dict = {}
     for k, (x, y) in enumerate(zip(lists, labels)):
         first.setdefault((xxhash.xxh3_128_digest(x), y), k)
@@ -93,18 +93,20 @@ def fit(lists: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, rate:
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(used) + 1), rng.normal(0, 0.01, (len(used) + 1, factors))
     bias, gw, gv, gb = float(np.log(share / (1 - share))), np.full(len(w), 1e-2), np.where(alone, 1e-2, slow)[:, None] * np.ones(factors), 1e-2
-    rows = [slot[x][slot[x] > 0] for x in lists]
+    parts = []
+    order = rng.permutation(len(lists))
+    for a in range(0, len(order), batch):
+        rows = [slot[lists[i]] for i in order[a : a + batch]]
+        rows = [x[x > 0] for x in rows]
+        near, local = np.unique(np.concatenate(rows), return_inverse=True)
+        parts.append((labels[order[a : a + batch]], np.repeat(np.arange(len(rows)), [len(x) for x in rows]), near, local))
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(order), batch):
-            pick = order[a : a + batch]
-            flat = np.concatenate([rows[i] for i in pick])
-            doc = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-            near, local = np.unique(flat, return_inverse=True)
+        for k in rng.permutation(len(parts)):
+            truth, doc, near, local = parts[k]
             x = v[near][local]
-            total = np.stack([np.bincount(doc, x[:, f], len(pick)) for f in range(factors)], 1)
-            z = bias + np.bincount(doc, w[near][local], len(pick)) + 0.5 * ((total**2).sum(1) - np.bincount(doc, (x * x).sum(1), len(pick)))
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[pick]
+            total = np.stack([np.bincount(doc, x[:, f], len(truth)) for f in range(factors)], 1)
+            z = bias + np.bincount(doc, w[near][local], len(truth)) + 0.5 * ((total**2).sum(1) - np.bincount(doc, (x * x).sum(1), len(truth)))
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - truth
             each = g[doc]
             dw = np.bincount(local, each, len(near)) + decay * w[near]
             gw[near] += dw * dw
