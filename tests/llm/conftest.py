@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-CLASHES = ["digest", "bands", "node", "root", "key", "n", "word", "row", "ids", "terms", "of", "score", "kind", "part", "window", "tie"]
+CLASHES = ["digest", "bands", "node", "root", "key", "n", "word", "row", "ids", "terms", "of", "score", "kind", "part", "window", "tie", "_toxicity", "_kept_id", "_leak", "_of", "_to"]
 
 
 @pytest.fixture(scope="session")

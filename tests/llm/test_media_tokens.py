@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -206,8 +207,8 @@ def test_only_misses_are_encoded(spark, documents, odd_documents, tmp_path):
 # Packing
 
 
-def check_packing(df, length, window):
-    out = packing.pack(df, BYTE, 1, length, window, keep_ids=True).collect()
+def check_packing(df, length, window, targets=None):
+    out = packing.pack(df, BYTE, 1, length, window, keep_ids=True, targets=targets).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in out:
         assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length and r.length > 0
@@ -267,3 +268,37 @@ def test_every_window_has_the_mixture(documents):
             for k in whole:  # a queue is never further from its target than a token, or what a piece across the mark adds
                 assert abs(sent[k] - share[k] * at) <= n + len(whole) + 1
             mark = next(marks, 1 << 62)
+
+
+@pytest.mark.parametrize("shares", [(0.5, 0.2), (0.9, 0.1), (0.05, 0.05), (0.0, 0.6)])
+def test_windows_have_the_target_shares(documents, shares):
+    """In every window each queue is within a token of its share among those that are not empty yet."""
+    length, window = 256, 4096
+    docs = documents.repartition(5)
+    targets = dict(zip([s for s, _ in Counter(r.source for r in documents.collect()).most_common(2)], shares))
+    check_packing(docs, length, window, targets)
+    staged = packing.stage_tokens(docs, BYTE, 1).withColumn("source", F.when(F.col("source").isin(*targets), F.col("source")).otherwise(packing.REST))
+    placed = packing.queue_places(staged.select("row", "doc_id", "source", "n_tokens", "digest"))
+    totals = {r.source: r["sum(n_tokens)"] for r in staged.groupBy("source").sum("n_tokens").collect()}
+    sizes = {(r.window, r.source): r.size for r in packing.fill_windows(packing.in_phases(placed, targets, window)).groupBy("window", "source").agg(F.sum("size").alias("size")).collect()}
+    rates = targets | {packing.REST: 1 - sum(shares)}
+    left, phases = Counter(totals), packing.phases(totals, targets, window)
+    for first in sorted({p[3] for p in phases}):
+        now = [p for p in phases if p[3] == first]
+        active = {q: rates[q] for q, n in left.items() if n > 0 and rates[q] > 0} or {q: 1 for q, n in left.items() if n > 0}
+        size = sum(end - begin for _, begin, end, *_ in now)
+        for q, begin, end, _, n_windows in now:
+            assert abs((end - begin) - size * active[q] / sum(active.values())) <= 2
+            for w in range(n_windows):
+                assert abs(sizes.get((first + w, q), 0) - (end - begin) / n_windows) <= 1
+            left[q] -= end - begin
+    assert not +left and sum(sizes.values()) == sum(totals.values())
+
+
+def test_phases_carry_deficits():
+    found = packing.phases({"a": 1000, "b": 100, packing.REST: 333}, {"a": 1 / 3, "b": 0.5}, 64)
+    for queue, total in (("a", 1000), ("b", 100), (packing.REST, 333)):
+        parts = [(begin, end) for q, begin, end, *_ in found if q == queue]
+        assert parts[0][0] == 0 and parts[-1][1] == total and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+    with pytest.raises(ValueError):
+        packing.phases({"a": 1}, {"a": 0.7, "b": 0.7}, 64)

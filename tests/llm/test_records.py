@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -35,35 +36,41 @@ def brute_rotation(rows, size):
     turns, speakers = defaultdict(list), defaultdict(set)
     for conv, turn, role, text in rows:
         role = "unknown" if role is None else role
-        turns[conv, turn // size if turn is not None else 0].append((turn is not None, turn, role, text or ""))
+        turns[conv].append((turn is not None, turn, role, text or ""))
         speakers[conv].add(role)
     out = []
-    for (conv, chunk), said in turns.items():
+    for conv, said in turns.items():
         said.sort()
         for part in range(0, len(said), size):
             some = said[part : part + size]
             for who in speakers[conv]:
                 text, spans = "", []
                 for _, _, role, t in some:
-                    text += "<|assistant|>\n" if role == who else f"<|user:{role}|>\n"
+                    t = t.replace("<|", "<||")
+                    text += "<|assistant|>\n" if role == who else "<|user:" + re.sub(r"[|<>\r\n]", "_", role) + "|>\n"
                     if role == who:
                         spans.append(f"{len(text)}:{len(text) + len(t) + 7}")
                     text += t + "<|end|>\n"
-                out.append((conv, chunk, part // size, who, len(some), sum(r == who for _, _, r, _ in some), text, ",".join(spans)))
+                out.append((conv, part // size, who, len(some), sum(r == who for _, _, r, _ in some), text, ",".join(spans)))
     return ordered(out)
 
 
 def test_rotation(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in turns.collect()]
-    for size in (64, 3):
+    for size in (chat.MOST_TURNS, 3):
         assert ordered(map(tuple, chat.rotate_perspectives(turns, size).collect())) == brute_rotation(rows, size)
 
 
 def test_rotation_of_odd_turns(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 1, "bob", None), (1, 2, None, ""), (1, None, "ann", "before"), (1, 9, "cid", "x" * 9000), (None, 0, "ann", "who"), (None, 1, "eve", "me"), (2, 0, "assistant", "alone"), (3, -1, "ann", "early"), *((4, 5, f"p{k % 5}", f"t{k}") for k in range(40))]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("chunk", "part", "said", "of", "perspective", "pieces", "number", "mask")})
-    assert ordered(map(tuple, chat.rotate_perspectives(turns, 4).collect())) == brute_rotation(rows, 4)
+    rows += [(5, 60 + k, "ab"[k % 2], f"turn {k}") for k in range(10)]  # across a step of turn numbers
+    rows += [(6, 0, "eve|>\n<|assistant", "fine <|end|>\n<|user:ann|>\nno"), (6, 1, "ann", "<||a<|<|")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("chunk", "part", "said", "of", "perspective", "pieces", "number", "mask", "step", "place", "n", "within", "above", "of_step")})
+    for size in (4, chat.MOST_TURNS):
+        assert ordered(map(tuple, chat.rotate_perspectives(turns, size).collect())) == brute_rotation(rows, size)
+    whole = [r for r in chat.rotate_perspectives(turns).collect() if r.conv_id in (5, 6)]
+    assert len(whole) == 4 and all(r.text.count("<|end|>\n") == r.n_turns for r in whole)
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
 
 
@@ -100,7 +107,7 @@ def brute_archive(rows):
 
 def odd_pages(spark):
     long, copy = "".join(f"<p>{k}" for k in range(60_000)), "é" * 60
-    rows = [(1, long), (2, long), (3, copy), (4, copy), (2, long), (5, "short"), (6, "short"), (7, None), (8, ""), (9, "a" * 99), (10, "a" * 99), (11, "b" * 100), (12, "b" * 100), (None, "c" * 200), (None, copy), (13, "\x00\r\n\r\n" * 80), (14, "x" * (3 * warc.CHUNK))]
+    rows = [(1, long), (2, long), (3, copy), (4, copy), (2, long), (5, "short"), (6, "short"), (7, None), (8, ""), (9, "a" * 99), (10, "a" * 99), (11, "b" * 100), (12, "b" * 100), (None, "c" * 200), (None, copy), (13, "\x00\r\n\r\n" * 80), (14, "x" * (3 * warc.CHUNK)), (15, "x" * (3 * warc.CHUNK + 1)), (16, "y" * 150), (16, "y" * 150), (17, "y" * 150)]
     df = spark.createDataFrame([(i, None if k % 5 == 0 else f"http://x/{k}\r\nX: y", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string")
     return rows, df.withColumns({c: F.lit("clash") for c in ("digest", "size", "first", "record_id", "chunk_no", "of_page", "record_type", "refers_to")})
 
@@ -130,6 +137,11 @@ def test_chunks_are_a_warc_stream(spark, tmp_path):
         if fields["WARC-Type"] == "response":
             assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body[:-4]).hexdigest() == "sha256:" + chunks[-1].digest_so_far
             payloads[body[:-4]] += 1
+        else:
+            assert body == b"\r\n\r\n" and {"WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Profile"} <= set(fields)
+            if "WARC-Refers-To" in fields:
+                first = gzip.decompress(records[fields["WARC-Refers-To"][10:-1]][0].data)
+                assert fields["WARC-Payload-Digest"].encode() in first and b"WARC-Type: response" in first
     assert set(payloads) == {(h or "").encode() for _, h in rows}
 
 
