@@ -367,7 +367,7 @@ def _log(spark, d):
 
 
 _LOG = """WITH log AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'update' WHEN 'error' THEN 'delete' END AS op, value FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
-base AS (SELECT c_custkey AS user_id, 0.0::DOUBLE AS value FROM customer WHERE c_custkey % 2 = 0),
+base AS (SELECT c_custkey AS user_id, 0.0::DOUBLE AS value FROM customer WHERE c_acctbal > 2000),
 s AS (SELECT log.*, b.user_id IS NOT NULL AS in_base, lag(op) OVER (PARTITION BY log.user_id ORDER BY event_id) AS last FROM log LEFT JOIN base b USING (user_id)),
 e AS (SELECT *, CASE WHEN op = 'create' AND (CASE WHEN last IS NULL THEN in_base ELSE last <> 'delete' END) THEN 'exists' WHEN op <> 'create' AND NOT (CASE WHEN last IS NULL THEN in_base ELSE last <> 'delete' END) THEN 'missing' END AS error FROM s),
 f AS (SELECT user_id, bool_or(in_base) AS in_base, max_by(op, event_id) AS last_op, arg_min(error, event_id) FILTER (WHERE error IS NOT NULL) AS error, count(*) AS steps FROM e GROUP BY user_id),
@@ -375,7 +375,7 @@ folded AS (SELECT user_id, CASE WHEN last_op = 'delete' AND in_base THEN 'delete
 
 
 def _base(spark, d):
-    return read(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.lit(0.0).alias("value"))
+    return read(spark, d, "customer").filter("c_acctbal > 2000").select(F.col("c_custkey").alias("user_id"), F.lit(0.0).alias("value"))
 
 
 @query(f"{_LOG} SELECT * FROM folded")
@@ -514,13 +514,12 @@ def crawl_domain_filter(spark, d):
     return views.offers(spark, d).select("ord", crawl.admitted(F.col("url"), ["brand33.example.com"], [r"brand1[12]\."], ["/deal/"]).alias("admitted"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 2 + k) % 25 AS dst FROM nation, (VALUES (1), (7)) t(k) WHERE n_nationkey % 4 <> 3),
-r(url, depth) AS (SELECT 0, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = url WHERE depth < 24) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 2 + k AS dst, p_brand AS text FROM part, (VALUES (0), (1)) t(k)),
+r(url, depth, linktext) AS (SELECT 1::BIGINT, 0, '' UNION ALL SELECT dst, depth + 1, linktext || '/' || text FROM r JOIN e ON src = url) SELECT url, depth, linktext FROM r""")
 def crawl_reachability(spark, d):
-    steps = read(spark, d, "nation").filter("n_nationkey % 4 <> 3").select(F.col("n_nationkey").alias("src"), F.explode(F.array(F.lit(1), F.lit(7))).alias("k"))
-    edges = steps.select("src", ((F.col("src") * 2 + F.col("k")) % 25).alias("dst"), F.col("src").cast("string").alias("text"))
-    seeds = spark.createDataFrame([(0,)], "url int")
-    return crawl.reachable(seeds, edges).select("url", "depth")
+    """Parts as pages, each of which links to the two of twice its number."""
+    edges = read(spark, d, "part").select(F.col("p_partkey").alias("src"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 1)).alias("dst"), F.col("p_brand").alias("text"))
+    return crawl.reachable(spark.createDataFrame([(1,)], "url long"), edges)
 
 
 @query("SELECT o_orderkey AS ord, o_custkey AS depth FROM orders WHERE o_orderstatus <> 'F' ORDER BY depth DESC, ord LIMIT 1")
@@ -561,9 +560,9 @@ def html_nodes(spark, d):
     return markup.html_nodes(read(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
 
 
-@query()
+@query("""SELECT page_id, regexp_extract(html, '<title>.*?</title>', 0, 's') AS head, nullif(regexp_extract(html, '<div class="ad">[^<]*</div>', 0), '') AS ad FROM pages""")
 def html_path_extract(spark, d):
-    return markup.extract_fields(markup.html_nodes(read(spark, d, "pages")), {"head": "path:/html/head/title", "ad": "class:ad"})
+    return markup.extract_fields(read(spark, d, "pages"), {"head": "path:/html/head/title", "ad": "class:ad"})
 
 
 @query()
@@ -571,7 +570,9 @@ def page_text(spark, d):
     return markup.get_node(markup.html_nodes(read(spark, d, "pages")), "/html/body").select("page_id", "text")
 
 
-@query()
+@query(rf"""WITH p AS (SELECT regexp_replace(url, '[;?#].*$', '') || CASE WHEN regexp_matches(url, '[;?#]') THEN '?*' ELSE '' END AS base, url, trim({_TITLE}) AS title, {_LINK} AS links FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY url, title) AS place, count(*) OVER (PARTITION BY base) AS n FROM p)
+SELECT a.base, a.n, CASE WHEN b.url IS NOT NULL THEN a.title = b.title AND len(list_filter(b.links, lambda x: NOT list_contains(a.links, x))) <= 2 END AS collapse FROM n a LEFT JOIN n b ON b.base = a.base AND b.place = 2 WHERE a.place = 1""")
 def crawl_parameter_collapse(spark, d):
     nodes = markup.html_nodes(read(spark, d, "pages"))
     found = markup.links(nodes).groupBy("page_id").agg(F.sort_array(F.collect_list("href")).alias("links"))
@@ -593,14 +594,17 @@ def feed_records(spark, d):
 
 
 @query(f"""{SNAPSHOTS}, f AS (SELECT siteid, title, {_FOLD} AS city, min_by(url, ord) AS url, min_by(bought, ord) AS bought FROM feed GROUP BY siteid, title)
-SELECT url, coalesce(f.title, s.title) AS title, coalesce(f.city, s.city) AS city, coalesce(f.bought, s.bought) AS bought, s.address FROM f FULL JOIN stored s USING (url)""")
+SELECT coalesce(f.url, s.url) AS url, coalesce(f.title, s.title) AS title, coalesce(f.city, s.city) AS city, coalesce(f.bought, s.bought) AS bought, s.address,
+  coalesce(CASE WHEN f.city LIKE '%,%' THEN 'multi' ELSE lower(f.city) END, s.cityid) AS cityid,
+  CASE WHEN f.url IS NOT NULL AND s.url IS NOT NULL THEN (500::BIGINT << 48) + (CAST(floor(102.5 / ({geo.LAT_STEP * 500!r}::DOUBLE)) AS BIGINT) << 24) + CAST(floor(225.25 / ({geo.LON_STEP * 500!r}::DOUBLE)) AS BIGINT) END AS geogrid
+FROM f FULL JOIN stored s ON f.url = s.url""")
 def pipeline_end_to_end(spark, d):
     """Feed, deduplication, reconciliation, address and grid, typed merge: the new snapshot."""
     fields = ["url", "siteid", "title", "city", "bought", "address", "geoinfo", "geogrid", "cityid"]
     store = views.stored(spark, d).withColumn("geogrid", F.lit(None).cast("long")).select(*fields)
-    spec = [("remove_duplicates", {}), ("reconcile", {}), ("enrich_address", {}), ("merge_typed", {})]
+    spec = [("remove_duplicates", {}), ("reconcile", {}), ("enrich_address", {}), ("merge_typed", {})]  # all rows have their pages
     raw = views.feed(spark, d).select("url", "siteid", "title", "city", F.col("bought").cast("string").alias("bought"), "ord")
-    return pipeline.run(spec, raw, store=store, cities=views.cities(spark, d)).select("url", "title", "city", "bought", "address")
+    return pipeline.run(spec, raw, store=store, cities=views.cities(spark, d)).select("url", "title", "city", "bought", "address", "cityid", "geogrid")
 
 
 @query(f"{SNAPSHOTS} SELECT url, coalesce(feed.bought, stored.bought) AS bought, coalesce(feed.title, stored.title) AS title, stored.address FROM feed FULL JOIN stored USING (url)")

@@ -17,7 +17,7 @@ def image_kind(data: Column) -> Column:
 def dimensions(data: bytes) -> tuple[int, int]:
     """Width and height from the headers; (-1, -1) where they can't be told."""
     if data[:2] == b"BM" and len(data) >= 26:
-        return int.from_bytes(data[18:22], "little"), int.from_bytes(data[22:26], "little")
+        return tuple(int.from_bytes(data[k : k + 4], "little", signed=True) for k in (18, 22))  # a height below 0: rows from the top
     if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR" and len(data) >= 24:
         return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
     at = 2
@@ -28,7 +28,7 @@ def dimensions(data: bytes) -> tuple[int, int]:
     return -1, -1
 
 
-@F.arrow_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+@F.arrow_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
 def image_size(data: pa.Array) -> pa.Array:
     found = [dimensions(x) if x is not None else (-1, -1) for x in data.to_pylist()]
-    return pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int32())], ["width", "height"])
+    return pa.StructArray.from_arrays([pa.array([w for w, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], ["width", "height"])

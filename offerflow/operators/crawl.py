@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, url_host, url_path
+from ..sources.tables import cut
 
 
 def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (), path_patterns: list[str] = ()) -> Column:
@@ -20,7 +21,7 @@ def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (),
     return url.startswith("http://") & of_host & of_path
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, checkpoint=lambda df: df) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, checkpoint=cut) -> DataFrame:
     """``url, depth, linktext``: what the seeds (``url``) reach over ``edges(src, dst, text)``, at the least depth.
 
     Breadth first: each round joins the newest pages to the edges and keeps what

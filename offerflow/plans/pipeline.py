@@ -54,17 +54,39 @@ def enrich_from_pages(df, env, most=50, **fields):
     capped = dedup.cap_new_rows(df, "db_flag", "siteid", "ord", most)
     old, new = capped.filter("db_flag"), capped.filter("not db_flag")
     pages = new.select("url").distinct().join(env["pages"], "url")
-    found = markup.extract_fields(markup.html_nodes(pages, "url", "html"), fields, "url")
+    found = markup.extract_fields(pages, fields, "url")
     rows = new.join(pages.select("url"), "url", "left_semi").drop(*fields).join(found, "url", "left").withColumn("html_flag", F.lit(True))
     return rows.unionByName(old.withColumn("html_flag", F.lit(False)), allowMissingColumns=True)
 
 
+def _in_markup(df: DataFrame, column: str, words: list[str]) -> DataFrame:
+    """``_url, _address, _place`` found in a column of markup, by url."""
+    nodes = markup.html_nodes(df.filter(F.col(column).isNotNull()).dropDuplicates(["url"]), "url", column)
+    address = markup.find_address(nodes, words, key="url") if words else nodes.select("url", F.lit(None).cast("string").alias("address")).limit(0)
+    both = address.join(markup.map_markers(nodes, "url"), "url", "full")
+    return both.select(F.col("url").alias("_url"), F.col("address").alias("_address"), F.col("geoinfo").alias("_place"))
+
+
 @stage
-def enrich_address(df, env):
-    """City id, address without markup, and grid cell of the first point."""
-    rows = dedup.cities_of(df, env["cities"])
+def enrich_address(df, env, words=()):
+    """Of rows whose page was read (``html_flag``; all rows without that column): shop and address without markup, city id,
+    the address that ``addrdetails`` names by these words and its point, else that of ``mapimg``, and the grid cell of the first point."""
+    need(df, "url", "city")
+    blank = [c for c in ("address", "geoinfo", "geogrid", "cityid") if c not in df.columns]
+    rows = df.withColumns({c: F.lit(None).cast("long" if c == "geogrid" else "string") for c in blank})
+    old = rows.filter("not html_flag").drop("html_flag", "addrdetails", "mapimg") if "html_flag" in df.columns else None
+    rows = rows.filter("html_flag").drop("html_flag") if old is not None else rows
+    rows = dedup.cities_of(rows.drop("cityid"), env["cities"])
+    rows = rows.withColumns({c: text.strip_tags(F.col(c)) for c in ("shop", "address") if c in rows.columns})
+    if "addrdetails" in rows.columns:
+        rows = rows.join(_in_markup(rows, "addrdetails", list(words)), F.col("url") == F.col("_url"), "left")
+        rows = rows.withColumns({"address": F.coalesce("_address", "address"), "geoinfo": F.coalesce("_place", "geoinfo")}).drop("_url", "_address", "_place", "addrdetails")
+    if "mapimg" in rows.columns:
+        rows = rows.join(_in_markup(rows, "mapimg", []), F.col("url") == F.col("_url"), "left")
+        rows = rows.withColumn("geoinfo", F.coalesce("geoinfo", "_place")).drop("_url", "_address", "_place", "mapimg")
     point = geo.parse_point(F.substring_index(F.coalesce(F.col("geoinfo"), F.lit("")), ";", 1))
-    return rows.withColumn("address", text.strip_tags(F.col("address"))).withColumn("geogrid", F.when(point.isNotNull(), geo.cell_id(point["lat"], point["lon"])))
+    rows = rows.withColumn("geogrid", F.when(point.isNotNull(), geo.cell_id(point["lat"], point["lon"])).otherwise(F.col("geogrid")))
+    return rows if old is None else rows.unionByName(old, allowMissingColumns=True)
 
 
 @stage

@@ -41,18 +41,19 @@ offers AS (SELECT 'http://' || lower(replace(p_brand, '#', '')) || '.example.com
 
 
 def stored(spark, sf_dir):
-    """A stored snapshot: two thirds of the offers, some with other values; every seventh without an address."""
-    rows = offers(spark, sf_dir).filter("ord % 3 <> 0")
+    """A stored snapshot: the offers that sold less than 900, some with other values; every seventh without an address."""
+    rows = offers(spark, sf_dir).filter("bought < 900")
     return rows.withColumn("bought", F.col("bought") - F.when(F.col("ord") % 2 == 0, 1).otherwise(0)).withColumn("address", F.when(F.col("ord") % 7 != 0, F.concat(F.lit("Road "), F.col("ord").cast("string")))).withColumn("geoinfo", F.lit("12.5,45.25"))
 
 
 def feed(spark, sf_dir):
-    return offers(spark, sf_dir).filter("ord % 5 <> 0")
+    """The offers that sold more than 600, so that every offer is here or stored, and most are both."""
+    return offers(spark, sf_dir).filter("bought > 600")
 
 
 SNAPSHOTS = OFFERS + """, stored AS (SELECT * REPLACE (bought - CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END AS bought), CASE WHEN ord % 7 <> 0 THEN 'Road ' || ord END AS address, '12.5,45.25' AS geoinfo
-  FROM offers WHERE ord % 3 <> 0),
-feed AS (SELECT * FROM offers WHERE ord % 5 <> 0)
+  FROM offers WHERE bought < 900),
+feed AS (SELECT * FROM offers WHERE bought > 600)
 """
 
 

@@ -1,11 +1,13 @@
 """Tolerant markup: HTML or XML text as node rows, from one pass over each page.
 
 The tree is built from the events of the standard library's parser; a page
-gives rows ``(ord, parent, depth, kind, name, path, attrs, text, string)``.
+gives rows ``(ord, parent, depth, kind, name, path, attrs, text, string, begin, end)``,
+of which the last two are character places in the markup.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,98 +16,121 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # How elements nest. Void elements have no content; quoted ones hold plain text; others close what they reset.
-VOID = frozenset("br hr input img meta spacer link frame base col".split())
-QUOTED = frozenset(("script", "textarea"))
-KEEPS_SPACE = frozenset(("pre", "textarea"))
-INLINE = frozenset("span font q object bdo sub sup center".split())
-BLOCK = frozenset("blockquote div fieldset ins del".split())
+VOID = frozenset(["br", "hr", "input", "img", "meta", "spacer", "link", "frame", "base", "col"])
+QUOTED = frozenset(["script", "textarea"])
+KEEPS_SPACE = frozenset(["pre", "textarea"])
+INLINE = frozenset(["span", "font", "q", "object", "bdo", "sub", "sup", "center"])
+BLOCK = frozenset(["blockquote", "div", "fieldset", "ins", "del"])
 #: An element that nests within itself only below one of these.
 NESTS_IN = {"ol": (), "ul": (), "li": ("ul", "ol"), "dl": (), "dd": ("dl",), "dt": ("dl",), "table": (), "tr": ("table", "tbody", "tfoot", "thead"), "td": ("tr",), "th": ("tr",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-NESTABLE = {n: () for n in INLINE | BLOCK} | NESTS_IN
-RESETS = BLOCK | frozenset(NESTS_IN) | frozenset(("address", "form", "p", "pre", "noscript"))
-NODE = "ord int, parent int, depth int, kind string, name string, path string, attrs map<string,string>, text string, string string"
+RESETS = BLOCK | frozenset(NESTS_IN) | frozenset(["address", "form", "p", "pre", "noscript"])
+#: By start tag: the open elements that stay and below which all others end. A tag that nests freely has none.
+STAYS = {n: RESETS - {n} for n in RESETS} | {n: frozenset(homes) for n, homes in NESTS_IN.items()} | dict.fromkeys(INLINE | BLOCK, frozenset())
+#: Start tags that do not end an open element of their own name.
+NESTS = INLINE | BLOCK | frozenset(NESTS_IN)
+NODE = "ord int, parent int, depth int, kind string, name string, path string, attrs map<string,string>, text string, string string, begin int, end int"
 
 
 class _Builder(HTMLParser):
-    def __init__(self, xml: bool):
+    def __init__(self, xml: bool, markup: str):
         super().__init__(convert_charrefs=False)
-        self.xml, self.rows, self.open, self.counts, self.buffer = xml, [], [], [{}], []
+        self.xml, self.markup, self.rows, self.open, self.counts, self.buffer, self.text_at = xml, markup, [], [], [{}], [], 0
+        self.lines = [0, *(m.end() for m in re.finditer("\n", markup))]
         if xml:
             self.CDATA_CONTENT_ELEMENTS = ()
 
-    def _add(self, kind, name, text, attrs=None):
+    def at(self) -> int:
+        """The place in the markup where the current event begins."""
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _add(self, kind, name, text, begin, attrs=None):
         parent = self.open[-1] if self.open else None
         path = parent["path"] if parent else ""
         if kind == "tag":
             n = self.counts[-1][name] = self.counts[-1].get(name, 0) + 1
             path += f"/{name}" + (f"[{n}]" if n > 1 else "")
-        row = {"ord": len(self.rows), "parent": parent["ord"] if parent else -1, "depth": len(self.open), "kind": kind, "name": name, "path": path, "attrs": attrs or {}, "text": text}
+        row = {"ord": len(self.rows), "parent": parent["ord"] if parent else -1, "depth": len(self.open), "kind": kind, "name": name, "path": path, "attrs": attrs or {}, "text": text, "begin": begin, "end": len(self.markup)}
         self.rows.append(row)
         return row
 
-    def _flush(self):
+    def _flush(self, end):
         text, self.buffer = "".join(self.buffer), []
         if text and not text.strip() and not any(t["name"] in KEEPS_SPACE for t in self.open):
             text = "\n" if "\n" in text else " "
         if text:
-            self._add("text", None, text)
-
-    def _pop(self, name):
-        """Close the nearest element of that name, and what is open within it."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["name"] == name:
-                del self.open[k:], self.counts[k + 1 :]
-                return
-
-    def _close_implied(self, name):
-        """Close what the start of ``name`` ends: an element that does not nest ends the one of its name, one
-        with a home ends what is open within that home, and neither reaches beyond an element that resets it."""
-        homes = NESTABLE.get(name)
-        for k in range(len(self.open) - 1, -1, -1):
-            at = self.open[k]["name"]
-            if homes is None and at == name:
-                keep = k
-            elif at in (homes or ()) or homes is None and name in RESETS and at in RESETS:
-                keep = k + 1
-            else:
-                continue
-            del self.open[keep:], self.counts[keep + 1 :]
-            return
+            self._add("text", None, text, self.text_at)["end"] = end
+
+    def _end(self, depth, place):
+        """End the open elements from this depth on, at a place in the markup."""
+        for row in self.open[depth:]:
+            row["end"] = place
+        del self.open[depth:], self.counts[depth + 1 :]
+
+    def _end_named(self, name, outer, inner):
+        """End the innermost element of that name, and before it what is open within."""
+        places = [k for k, row in enumerate(self.open) if row["name"] == name]
+        if places:
+            self._end(places[-1] + 1, inner)
+            self._end(places[-1], outer)
+
+    def _make_room(self, name, place):
+        """End what the start of ``name`` ends, by the table of what stays open above it."""
+        innermost = {row["name"]: k for k, row in enumerate(self.open)}
+        stays = max((innermost.get(n, -1) for n in STAYS.get(name, ())), default=-1)
+        own = -1 if name in NESTS else innermost.get(name, -1)
+        if max(stays, own) >= 0:
+            self._end(own if own > stays else stays + 1, place)
+
+    def _start(self, tag, attrs):
+        begin = self.at()
+        self._flush(begin)
+        if not self.xml:
+            self._make_room(tag, begin)
+        row = self._add("tag", tag, None, begin, {k: v or "" for k, v in attrs})
+        row["end"] = begin + len(self.get_starttag_text())
+        return row
+
+    def _quoted(self):
+        """Within a script or the like a tag is text."""
+        if self.xml or not self.open or self.open[-1]["name"] not in QUOTED:
+            return False
+        self.handle_data(self.get_starttag_text())
+        return True
 
     def handle_starttag(self, tag, attrs):
-        self._flush()
-        if self.open and self.open[-1]["name"] in QUOTED and not self.xml:
-            self.buffer.append(self.get_starttag_text())
+        if self._quoted():
             return
-        if not self.xml:
-            self._close_implied(tag)
-        row = self._add("tag", tag, None, {k: v or "" for k, v in attrs})
+        row = self._start(tag, attrs)
         if self.xml or tag not in VOID:
+            row["end"] = len(self.markup)
             self.open.append(row)
             self.counts.append({})
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if self.xml or tag not in VOID:
-            self._flush()
-            self._pop(tag)
+        if not self._quoted():
+            self._start(tag, attrs)
 
     def handle_endtag(self, tag):
-        self._flush()
-        self._pop(tag)
+        begin = self.at()
+        self._flush(begin)
+        self._end_named(tag, self.markup.find(">", begin) + 1 or len(self.markup), begin)
 
     def handle_data(self, data):
+        if not self.buffer:
+            self.text_at = self.at()
         self.buffer.append(data)
 
     def handle_entityref(self, name):
-        self.buffer.append(f"&{name};")
+        self.handle_data(f"&{name};")
 
     def handle_charref(self, name):
-        self.buffer.append(f"&#{name};")
+        self.handle_data(f"&#{name};")
 
     def _other(self, kind, data):
-        self._flush()
-        self._add(kind, None, data)
+        begin = self.at()
+        self._flush(begin)
+        self._add(kind, None, data, begin)["end"] = self.markup.find(">", begin + len(data)) + 1 or len(self.markup)
 
     def handle_comment(self, data):
         self._other("comment", data)
@@ -122,10 +147,10 @@ class _Builder(HTMLParser):
 
 def parse(markup: str, xml: bool = False) -> list[dict]:
     """The node rows of a text in document order; tags get the joined and stripped text below them, and their only text."""
-    builder = _Builder(xml)
+    builder = _Builder(xml, markup)
     builder.feed(markup)
     builder.close()
-    builder._flush()
+    builder._flush(len(markup))
     rows = builder.rows
     children: list[list] = [[] for _ in rows]
     below: list[list] = [[] for _ in rows]
@@ -146,7 +171,7 @@ def parse(markup: str, xml: bool = False) -> list[dict]:
 def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html", xml: bool = False) -> DataFrame:
     """Node rows of every page; null is a page without nodes."""
     names = [x.split()[0] for x in NODE.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32()]
     key_type = dict(pages.dtypes)[key]
 
     def run(batches):
@@ -233,14 +258,21 @@ def siblings(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     return nodes.withColumn("previous", F.lag("ord").over(w)).withColumn("next", F.lead("ord").over(w))
 
 
-def extract_fields(nodes: DataFrame, specs: dict[str, str], key: str = "page_id") -> DataFrame:
-    """``key`` and a column for each field: the text of the first node at ``path:/a/b`` or with ``attr:value``; null where there is none."""
+def extract_fields(pages: DataFrame, specs: dict[str, str], key: str = "page_id", column: str = "html") -> DataFrame:
+    """``key`` and a column for each field: the markup of the first node at ``path:/a/b`` or with ``attr:value``; null where there is none.
+
+    Pages without tags are left out. Of pages that repeat a key any one is read.
+    """
     def matches(spec):
         kind, _, value = spec.partition(":")
         return F.col("path") == value.replace("[1]", "") if kind == "path" else F.col("attrs")[kind] == value
 
-    tags = nodes.filter("kind = 'tag'")
-    return tags.groupBy(key).agg(*[F.min_by("text", F.when(matches(s), F.col("ord"))).alias(n) for n, s in specs.items()])
+    pages = pages.select(key, column).dropDuplicates([key])
+    tags = html_nodes(pages, key, column).filter("kind = 'tag'")
+    places = tags.groupBy(F.col(key).alias("_key")).agg(*[F.min_by(F.struct("begin", "end"), F.when(matches(s), F.col("ord"))).alias(n) for n, s in specs.items()])
+    part = lambda n: F.substring(F.col("_html"), F.col(f"{n}.begin") + 1, F.col(f"{n}.end") - F.col(f"{n}.begin"))
+    met = places.join(pages.select(key, F.col(column).alias("_html")), F.col("_key").eqNullSafe(F.col(key)))
+    return met.select(key, *[part(n).alias(n) for n in specs])
 
 
 def find_address(nodes: DataFrame, words: list[str], least: int = 3, key: str = "page_id") -> DataFrame:
@@ -264,14 +296,12 @@ def map_markers(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 def _decode(data: bytes, declared: str | None = None) -> str:
     """BOM, then what the markup declares, then the usual encodings in turn."""
-    import re
-
     if data is None:
         return None
     for bom, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(bom):
             return data.decode(name, "replace")
-    found = re.search(rb"""^\s*<\?xml[^>]*encoding=["']([\w.-]+)|<meta[^>]+charset=["']?([\w.-]+)""", data[:4096])
+    found = re.search(rb"""\A\s*<\?xml[^>]*encoding=["']([\w.-]+)|<meta[^>]+charset=["']?([\w.-]+)""", data)
     named = next((g.decode() for g in found.groups() if g), None) if found else None
     for name in (declared, named, "ascii", "gb2312", "gb18030"):
         try:

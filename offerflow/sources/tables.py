@@ -16,8 +16,17 @@ from ..schemas import table
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the driver and all executors share; on one machine without such a setting, a local one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/offerflow"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or 'file:///tmp/checkpoints/offerflow').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that its lineage ends there."""
+    path = work_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class SnapshotTable:

@@ -57,19 +57,44 @@ PAGE = """<html><head><title> Deal </title></head><body><div class="l info">firs
 
 
 @pytest.fixture(scope="module")
-def nodes(spark):
-    return markup.html_nodes(spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>plain")], "page_id long, html string")).cache()
+def pages(spark):
+    return spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>plain")], "page_id long, html string")
 
 
-def test_node_queries(nodes):
+@pytest.fixture(scope="module")
+def nodes(pages):
+    return markup.html_nodes(pages).cache()
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("<p>é🙂<p>two</p>x", ["<p>é🙂", "<p>two</p>"]),
+        ("<div>a\n<b>c</div >d", ["<div>a\n<b>c</div >", "<b>c"]),
+        ("<ul><li>a<li>b</ul>", ["<ul><li>a<li>b</ul>", "<li>a", "<li>b"]),
+        ("<i>x<br/>y<img src='>'>", ["<i>x<br/>y<img src='>'>", "<br/>", "<img src='>'>"]),
+        ("<table><tr><td>1<tr><td>2", ["<table><tr><td>1<tr><td>2", "<tr><td>1", "<td>1", "<tr><td>2", "<td>2"]),
+    ],
+)
+def test_places_in_the_markup(text, expected):
+    assert [text[r["begin"] : r["end"]] for r in markup.parse(text) if r["kind"] == "tag"] == expected
+
+
+def test_texts_lie_at_their_places():
+    text = "a<b>c &amp; d</b><!-- note -->\n<p>e"
+    rows = [(r["kind"], text[r["begin"] : r["end"]]) for r in markup.parse(text) if r["kind"] != "tag"]
+    assert rows == [("text", "a"), ("text", "c &amp; d"), ("comment", "<!-- note -->"), ("text", "\n"), ("text", "e")]
+
+
+def test_node_queries(nodes, pages):
     assert [r.text for r in markup.find_all(nodes, "div", {"class": "l"}).collect()] == ["second"]
     assert [r.text for r in markup.get_node(nodes, "/html[1]/body/div[2]").collect()] == ["second"]
     assert [(r.href, r.text) for r in markup.links(nodes).collect()] == [("/a", "A")]
     assert [tuple(r) for r in markup.titles(nodes).collect()] == [(1, "Deal")]
     assert [tuple(r) for r in markup.map_markers(nodes).collect()] == [(1, "1.5,2.5;3.25,4.75")]
     assert [tuple(r) for r in markup.find_address(nodes, ["路", "号", "街"]).collect()] == [(1, "地址 路 号 街 here")]
-    found = {r.page_id: r for r in markup.extract_fields(nodes, {"info": "class:l info", "head": "path:/html/head/title", "none": "path:/x"}).collect()}
-    assert (found[1].info, found[1]["head"], found[1].none, found[3].info) == ("first", "Deal", None, None)
+    found = {r.page_id: r for r in markup.extract_fields(pages, {"info": "class:l info", "head": "path:/html/head/title", "none": "path:/x"}).collect()}
+    assert (found[1].info, found[1]["head"], found[1].none, found[3].info) == ('<div class="l info">first</div>', "<title> Deal </title>", None, None) and 2 not in found
     assert {(r.parent, r.n) for r in markup.children_count(nodes).filter("page_id = 3").collect()} == {(-1, 1), (0, 1)}
     ring = {r.ord: (r.previous, r.next) for r in markup.siblings(nodes).filter("page_id = 1 and parent = 0").collect()}
     assert list(ring.values()) == [(None, list(ring)[1]), (list(ring)[0], None)]
@@ -110,6 +135,7 @@ JPG = b"\xff\xd8\xff\xe0\x00\x04\0\0\xff\xc4\x00\x03\0\xff\xc0\x00\x11\x08" + (9
 
 def test_images(spark):
     assert [dimensions(x) for x in (PNG, BMP, JPG, b"", b"GIF8", JPG[:9])] == [(640, 480), (320, 200), (120, 90), (-1, -1), (-1, -1), (-1, -1)]
+    assert dimensions(b"BM" + bytes(16) + (5).to_bytes(4, "little") + (-7).to_bytes(4, "little", signed=True)) == (5, -7)
     df = spark.createDataFrame([(0, PNG), (1, BMP), (2, JPG), (3, b"GIF"), (4, None)], "k int, data binary")
     found = df.select("k", image_kind(F.col("data")).alias("kind"), image_size("data").alias("size")).orderBy("k").collect()
     assert [(r.kind, tuple(r["size"])) for r in found] == [("png", (640, 480)), ("bmp", (320, 200)), ("jpeg", (120, 90)), (None, (-1, -1)), (None, (-1, -1))]

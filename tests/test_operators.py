@@ -329,15 +329,34 @@ def test_pipeline(spark):
     cities = spark.createDataFrame([("bj", "Beijing")], "cityid string, name string")
     pages = spark.createDataFrame([("http://c", "<div class='addr'>Street</div>")], "url string, html string")
     places = spark.createDataFrame([("Street", "1.5,2.5")], "address string, geoinfo string")
-    spec = [("remove_duplicates", {}), ("remove_tail", {"tail": "?t"}), ("reconcile", {}), ("enrich_from_pages", {"address": "class:addr"}), ("geocode", {}), ("enrich_address", {}), ("merge_typed", {})]
+    spec = [("remove_duplicates", {}), ("remove_tail", {"tail": "?t"}), ("reconcile", {}), ("enrich_from_pages", {"address": "class:addr"}), ("enrich_address", {}), ("geocode", {}), ("merge_typed", {})]
     found = pipeline.run(spec, feed, store=store, cities=cities, pages=pages, gazetteer=places)
-    assert rows(found, "url", "title", "city", "bought", "address", "geoinfo") == [("http://a", "One", "Beijing,Shanghai", 5, "Road", geo.NOWHERE), ("http://c", "Two", "Beijing", 7, "Street", "1.5,2.5")]
+    assert rows(found, "url", "title", "city", "bought", "address", "geoinfo") == [("http://a", "One", "Beijing,Shanghai", 5, "<i>Road</i>", geo.NOWHERE), ("http://c", "Two", "Beijing", 7, "Street", "1.5,2.5")]
     with pytest.raises(ValueError):
         pipeline.run([("nothing", {})], feed)
     with pytest.raises(ValueError):
         pipeline.run([("remove_duplicates", {})], store)
 
 
+def test_addresses_and_places_from_markup(spark):
+    """The page of a new row gives its shop, address and point; a map picture counts only where the details have none."""
+    picture = "<img src='http://maps.google.com/m?markers={}'>"
+    details = lambda at: f"<p>电话</p><p>地址：北京市 路 号 楼</p>{at}"
+    rows_ = [
+        ("http://a", "Beijing", "<b>Shop</b>", details(picture.format("12.5,45.25")), picture.format("1.5,1.5"), True), ("http://b", "Beijing,Shanghai", None, details(""), picture.format("12.5,45.25"), True),
+        ("http://c", "Nowhere", None, None, None, True), ("http://d", "Beijing", "<b>Old</b>", None, None, False),
+    ]
+    df = spark.createDataFrame(rows_, "url string, city string, shop string, addrdetails string, mapimg string, html_flag boolean")
+    cities = spark.createDataFrame([("bj", "Beijing")], "cityid string, name string")
+    found = pipeline.run([("enrich_address", {"words": ["路", "号", "楼"]})], df, cities=cities)
+    cell = spark.range(1).select(geo.cell_id(F.lit(12.5), F.lit(45.25)).alias("x")).first().x
+    assert rows(found, "url", "cityid", "shop", "address", "geoinfo", "geogrid") == [
+        ("http://a", "bj", "Shop", "北京市 路 号 楼", "12.5,45.25", cell), ("http://b", "multi", None, "北京市 路 号 楼", "12.5,45.25", cell),
+        ("http://c", None, None, None, None, None), ("http://d", None, "<b>Old</b>", None, None, None),
+    ]
+    assert not {"addrdetails", "mapimg", "html_flag"} & set(found.columns)
+
+
 def test_stream_of_feeds(spark, tmp_path):
     source, schema = f"file://{tmp_path}/in", "url string, siteid string, title string, bought long, ord int"
     target = SnapshotTable(spark, f"file://{tmp_path}/store", "offers")
