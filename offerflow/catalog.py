@@ -607,6 +607,20 @@ def pipeline_end_to_end(spark, d):
     return pipeline.run(spec, raw, store=store, cities=views.cities(spark, d)).select("url", "title", "city", "bought", "address", "cityid", "geogrid")
 
 
+@query(f"""{SNAPSHOTS}, f AS (SELECT siteid, title, {_FOLD} AS city, min_by(url, ord) AS url FROM feed GROUP BY siteid, title),
+t AS (SELECT siteid, title, city, CASE WHEN siteid LIKE '%11' OR siteid LIKE '%12' THEN regexp_replace(url, '[?]frm=feed$', '') ELSE url END AS url FROM f)
+SELECT t.siteid, t.title, t.city, t.url, s.address, s.url IS NOT NULL AS db_flag FROM t LEFT JOIN stored s ON s.siteid = t.siteid AND s.url = t.url""")
+def site_pipelines(spark, d):
+    """Sites by the pipelines of a configuration, in which modules have names of their own."""
+    modules = '<processor module="first_of_title"/>{}<processor module="known"/>'
+    tail = modules.format('<processor module="cut"><tail>?frm=feed</tail></processor>')
+    config = f'<sites><site id="Brand#11">{tail}</site><site id="Brand#12">{tail}</site><site id="*">{modules.format("")}</site></sites>'
+    names = {"first_of_title": "remove_duplicates", "cut": "remove_tail", "known": "reconcile"}
+    store = views.stored(spark, d).select("siteid", "url", "address", "geoinfo")
+    found = pipeline.run_sites(feeds.pipeline_spec(config), views.feed(spark, d).select("siteid", "title", "city", "url", "ord"), names, store=store)
+    return found.select("siteid", "title", "city", "url", "address", "db_flag")
+
+
 @query(f"{SNAPSHOTS} SELECT url, coalesce(feed.bought, stored.bought) AS bought, coalesce(feed.title, stored.title) AS title, stored.address FROM feed FULL JOIN stored USING (url)")
 def stream_feed_merge(spark, d):
     """The feed as files that a stream reads, each micro-batch merged into the stored snapshot."""

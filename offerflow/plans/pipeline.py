@@ -113,3 +113,24 @@ def run(spec: list[tuple[str, dict]], feed: DataFrame, **env: DataFrame) -> Data
     if unknown:
         raise ValueError(f"no stage {unknown}")
     return reduce(lambda df, s: STAGES[s[0]](df, env, **s[1]), spec, feed)
+
+
+def run_sites(specs: dict[str, list[tuple[str, dict]]], feed: DataFrame, names: dict[str, str] | None = None, **env: DataFrame) -> DataFrame:
+    """Every site by its own pipeline, as a configuration gives them (``sources.feeds.pipeline_spec``).
+
+    ``*`` is the pipeline of the sites that have none of their own; without it their records are left out. ``names``
+    tells which stage a configured module is. Sites with equal pipelines run together, and a table of the
+    environment that has a ``siteid`` is that of these sites. Columns that only some results have are null in the others.
+    """
+    groups: dict[str, list[str]] = {}
+    for site, spec in specs.items():
+        if site != "*":
+            groups.setdefault(repr(spec), []).append(site)
+    parts = [(specs[sites[0]], F.col("siteid").isin(*sites)) for sites in groups.values()]
+    if "*" in specs:
+        parts.append((specs["*"], ~F.col("siteid").isin(*(s for s in specs if s != "*"))))
+    found = []
+    for spec, of in parts:
+        mine = {k: t.filter(of) if "siteid" in t.columns else t for k, t in env.items()}
+        found.append(run([((names or {}).get(m, m), p) for m, p in spec], feed.filter(of), **mine))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

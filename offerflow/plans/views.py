@@ -58,25 +58,25 @@ feed AS (SELECT * FROM offers WHERE bought > 600)
 
 
 def servers(spark, sf_dir):
-    """Suppliers as servers; each of the first 20 nations is a task of one or two of them."""
+    """Suppliers as servers; each of the first 20 nations is a task of one or two of them. The first has most tasks and most load."""
     s = read(spark, sf_dir, "supplier")
     tasks = read(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_name", "n_nationkey")
-    held = s.select("s_suppkey").join(F.broadcast(tasks), (F.col("s_suppkey") % 10 == F.col("n_nationkey") % 10) & (F.col("s_suppkey") <= 10) | (F.col("s_suppkey") == 1) & (F.col("n_nationkey") == 3))
+    held = s.select("s_suppkey").join(F.broadcast(tasks), (F.col("s_suppkey") % 10 == F.col("n_nationkey") % 10) & (F.col("s_suppkey") <= 10) | (F.col("s_suppkey") == 1) & F.col("n_nationkey").isin(3, 4, 5))
     lists = held.groupBy("s_suppkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ";").alias("sites"))
     cents = F.abs(F.floor(F.col("s_acctbal"))).cast("long")
     return s.join(lists, "s_suppkey", "left").select(
         F.concat(F.lit("server"), F.col("s_suppkey").cast("string")).alias("address"), F.when(F.col("s_suppkey") % 4 == 0, "user").otherwise("extractor").alias("servertype"), F.coalesce("sites", F.lit("")).alias("sites"),
-        (cents % 97).cast("double").alias("cpu_usage"), (cents % 89).cast("double").alias("outgoing_bandwidth"), (cents % 83).cast("double").alias("incomming_bandwidth"), (cents % 79).cast("double").alias("datastore"), F.lit(0.0).alias("email"),
+        F.when(F.col("s_suppkey") == 1, 45).otherwise(cents % 43).cast("double").alias("cpu_usage"), (cents % 41).cast("double").alias("outgoing_bandwidth"), (cents % 37).cast("double").alias("incomming_bandwidth"), (cents % 31).cast("double").alias("datastore"), F.lit(0.0).alias("email"),
     )
 
 
 SERVERS = """
 WITH tasks AS (SELECT n_name, n_nationkey FROM nation WHERE n_nationkey < 20),
-held AS (SELECT s_suppkey, n_name FROM supplier JOIN tasks ON (s_suppkey % 10 = n_nationkey % 10 AND s_suppkey <= 10) OR (s_suppkey = 1 AND n_nationkey = 3)),
+held AS (SELECT s_suppkey, n_name FROM supplier JOIN tasks ON (s_suppkey % 10 = n_nationkey % 10 AND s_suppkey <= 10) OR (s_suppkey = 1 AND n_nationkey IN (3, 4, 5))),
 lists AS (SELECT s_suppkey, string_agg(n_name, ';' ORDER BY n_name) AS sites, count(*) AS n_tasks FROM held GROUP BY s_suppkey),
 c AS (SELECT *, CAST(abs(floor(s_acctbal)) AS BIGINT) AS cents FROM supplier LEFT JOIN lists USING (s_suppkey)),
 loaded AS (SELECT 'server' || s_suppkey AS address, CASE WHEN s_suppkey % 4 = 0 THEN 'user' ELSE 'extractor' END AS servertype, coalesce(sites, '') AS sites, coalesce(n_tasks, 0) AS n_tasks,
-  CAST(greatest(0, cents % 97, cents % 89, cents % 83, cents % 79) AS DOUBLE) AS load FROM c),
+  CAST(greatest(0, CASE WHEN s_suppkey = 1 THEN 45 ELSE cents % 43 END, cents % 41, cents % 37, cents % 31) AS DOUBLE) AS load FROM c),
 held2 AS (SELECT 'server' || s_suppkey AS address, n_name AS site FROM held),
 expected AS (SELECT n_name AS site, n_nationkey AS ord FROM nation)
 """

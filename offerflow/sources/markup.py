@@ -185,16 +185,46 @@ def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html", xml
     return pages.select(key, column).mapInArrow(run, f"{key} {key_type}, {NODE}")
 
 
-def find_all(nodes: DataFrame, name: str | None = None, attrs: dict[str, str] | None = None) -> DataFrame:
-    """Tags by name and by attributes, whose whole value must match."""
+def find_all(nodes: DataFrame, name: str | list[str] | None = None, attrs: dict | str | None = None, limit: int = 0, below: DataFrame | None = None, key: str = "page_id") -> DataFrame:
+    """Tags of a page by name and attributes, in document order.
+
+    A name may be several. An attribute's value is matched whole; as a list, any of it; as a pattern (``re``), where
+    it is found; as True, if there is any, and as None, if there is none. ``attrs`` as a text is a token of ``class``. Of each page the
+    first ``limit`` are taken (0: all), and only descendants of the tags ``below``, if given.
+    """
+    def fits(column, want):
+        if want is True or want is None:
+            return column.isNotNull() if want else column.isNull()
+        if isinstance(want, (list, tuple, set, frozenset)):
+            return column.isin(*want)
+        return column.rlike(want.pattern) if isinstance(want, re.Pattern) else column == want
+
     found = nodes.filter("kind = 'tag'")
-    if name:
-        found = found.filter(F.col("name") == name)
-    for k, v in (attrs or {}).items():
-        found = found.filter(F.col("attrs")[k] == v)
+    if name is not None:
+        found = found.filter(fits(F.col("name"), name))
+    if isinstance(attrs, str):
+        found = found.filter(F.array_contains(F.split(F.col("attrs")["class"], r"\s+"), attrs))
+    else:
+        for k, v in (attrs or {}).items():
+            found = found.filter(fits(F.col("attrs")[k], v))
+    if below is not None:
+        tops = below.select(F.col(key).alias("_key"), F.concat("path", F.lit("/")).alias("_top")).distinct()
+        found = found.join(tops, F.col(key).eqNullSafe(F.col("_key")) & F.col("path").startswith(F.col("_top")), "left_semi")
+    if limit:
+        from pyspark.sql import Window
+
+        found = found.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).filter(F.col("_place") <= limit).drop("_place")
     return found
 
 
+def in_order(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """The node before and after each node in document order, of any depth."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("ord")
+    return nodes.withColumns({"before": F.lag("ord").over(w), "after": F.lead("ord").over(w)})
+
+
 def find_text(nodes: DataFrame, pattern: str) -> DataFrame:
     """Texts in which the pattern is found, in comments and scripts too."""
     return nodes.filter((F.col("kind") != "tag") & F.col("text").rlike(pattern))

@@ -1,5 +1,7 @@
 """The tolerant parser, node rows, feeds and configurations."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,6 +102,17 @@ def test_node_queries(nodes, pages):
     assert list(ring.values()) == [(None, list(ring)[1]), (list(ring)[0], None)]
 
 
+def test_ways_to_find_tags(nodes):
+    found = lambda *a, **k: [r.text for r in markup.find_all(nodes, *a, **k).orderBy("page_id", "ord").collect()]
+    assert found("div", "l") == ["first", "second"] and found("div", "info") == ["first"] and found("div", "inf") == []
+    assert found(["title", "p"]) == ["Deal", "x：地址 路 号 街 here", "plain"] and found(re.compile("^t")) == ["Deal"]
+    assert found("a", {"href": True}) == ["A", "none"] and found("a", {"href": None}) == ["no"] and found("a", {"href": ["/a", "/b"]}) == ["A"]
+    assert found("a", {"href": re.compile("^/")}) == ["A"] and found("a", limit=2) == ["A", "none"]
+    assert found("title", below=markup.find_all(nodes, "head")) == ["Deal"] and found("title", below=markup.find_all(nodes, "body")) == []
+    chain = [(r.before, r.ord, r.after) for r in markup.in_order(nodes).filter("page_id = 3").orderBy("ord").collect()]
+    assert chain == [(None, 0, 1), (0, 1, None)]
+
+
 def test_charsets(spark):
     texts = {"ascii": "plain", "utf-8-sig": "é漢", "utf-16": "é漢", "gb2312": "汉字", "gb18030": "汉字€\U0001F600"}
     rows = [(k, t.encode(k)) for k, t in texts.items()] + [("declared", b'<meta charset="iso-8859-1">\xe9'), ("xml", b'<?xml version="1.0" encoding="utf-8"?>' + "é".encode()), ("null", None)]

@@ -43,6 +43,11 @@ def test_sql(spark, con, name):
     assert rows_of(found.select(*columns).collect()) == rows_of(expected)
 
 
+@pytest.mark.parametrize("name", ["free_server", "rebalance_candidate", "crawl_parameter_collapse", "sync_diff"])
+def test_queries_that_must_find_something(spark, name):
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_queries_without_sql_give_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
