@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +23,22 @@ def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (),
     return url.startswith("http://") & of_host & of_path
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, checkpoint=cut) -> DataFrame:
+def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages: int = 0, checkpoint=cut) -> DataFrame:
     """``url, depth, linktext``: what the seeds (``url``) reach over ``edges(src, dst, text)``, at the least depth.
 
     Breadth first: each round joins the newest pages to the edges and keeps what
     is new. The link text is that of the way by the smallest source. Depth 0 of
-    ``most_depth``: no limit. ``checkpoint`` cuts the lineage of each round.
+    ``most_depth`` and 0 of ``most_pages``: no limit; of the pages of a depth that are too many the first by address stay. ``checkpoint`` cuts the lineage of each round.
     """
     found = checkpoint(seeds.select("url", F.lit(0).alias("depth"), F.lit("").alias("linktext")).distinct())
     front, depth = found, 0
     while not most_depth or depth + 1 < most_depth:
         depth += 1
         steps = front.join(edges, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("src", F.concat_ws("/", "linktext", "text").alias("linktext"))).alias("way"))
-        front = checkpoint(steps.join(found, F.col("dst") == F.col("url"), "left_anti").select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.col("way.linktext").alias("linktext")))
+        front = steps.join(found, F.col("dst") == F.col("url"), "left_anti").select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.col("way.linktext").alias("linktext"))
+        if most_pages:
+            front = front.orderBy("url").limit(max(0, most_pages - found.count()))
+        front = checkpoint(front)
         if front.isEmpty():
             break
         found = checkpoint(found.unionByName(front))
@@ -64,3 +69,16 @@ def collapse_parameters(pages: DataFrame) -> DataFrame:
 def frontier_text(frontier: DataFrame, field: str = "[=%", row: str = "=]%") -> DataFrame:
     """The frontier as delimited rows, for exchange; Parquet serves as checkpoint."""
     return frontier.select(F.concat(F.concat_ws(field, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in frontier.columns]), F.lit(row)).alias("line"))
+
+
+def parse_frontier(lines: DataFrame, columns: list[str], field: str = "[=%", row: str = "=]%") -> DataFrame:
+    """The rows of such text (``line``) as text columns; what is cut off before its row mark is left out."""
+    parts = F.split(F.regexp_replace("line", re.escape(row) + "$", ""), re.escape(field), -1)
+    whole = lines.filter(F.col("line").endswith(row)).withColumn("_parts", parts).filter(F.size("_parts") == len(columns))
+    return whole.select(*[F.col("_parts")[k].alias(c) for k, c in enumerate(columns)])
+
+
+def seed_sample(pages: DataFrame, order: str, size: int = 16, spare: int = 5, seed: int = 0) -> DataFrame:
+    """``size`` of the pages at random, each once; the last ones if there are fewer than ``spare`` more."""
+    few = pages.limit(size + spare).count() < size + spare
+    return pages.orderBy(F.desc(order) if few else F.xxhash64(F.lit(seed), order)).limit(size)

@@ -19,6 +19,16 @@ def fold_cities(offers: DataFrame, keys: list[str], order: str = "ord") -> DataF
     return grouped.select(*[F.col("cities").alias("city") if c == "city" else F.col(f"row.{c}").alias(c) for c in offers.columns])
 
 
+def fold_onto(store: DataFrame, offers: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """The same fold where a store has some groups already: its rows come first and take the cities that they lack.
+
+    Both have the same columns; an empty city is none.
+    """
+    both = store.withColumn("_late", F.lit(0)).unionByName(offers.withColumn("_late", F.lit(1)))
+    both = both.withColumns({"city": F.nullif("city", F.lit("")), "_at": F.struct("_late", order)})
+    return fold_cities(both, keys, "_at").drop("_late", "_at")
+
+
 def cap_new_rows(rows: DataFrame, flag: str, partition: str, order: str, most: int = 50) -> DataFrame:
     """Old rows (flagged) all stay; of the new ones of each partition the first ``most``."""
     turn = F.row_number().over(Window.partitionBy(partition).orderBy(order))

@@ -52,6 +52,14 @@ def price_triples(candidates: DataFrame) -> DataFrame:
     return one.filter("discounts = 1 and prices = 2").select("page_id", "first", "second", "discount", classify_prices(F.col("first"), F.col("second"), F.col("discount")).alias("kinds"))
 
 
+def without_ancestors(candidates: DataFrame) -> DataFrame:
+    """Candidate tags (``page_id, path``) none of whose descendants is a candidate too."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    ancestors = candidates.filter(F.size(parts) > 2).select(F.col("page_id").alias("_page"), F.explode(above).alias("_path")).distinct()
+    return candidates.join(ancestors, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("path") == F.col("_path")), "left_anti")
+
+
 def looks_like_title(text: Column, currency: str) -> Column:
     return ~is_blank(text) & (F.char_length(text) >= LEAST_TITLE) & text.contains(currency)
 

@@ -80,8 +80,22 @@ def fold_changes(log: DataFrame, base: DataFrame, key: str, order: str) -> DataF
     return folded.select(key, op.alias("op"), "error", "steps")
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The snapshot after folded changes; columns of a change that are null keep their value."""
+class ChangeError(ValueError):
+    """Changes whose steps do not fit each other or what is stored."""
+
+
+def checked(changes: DataFrame, key: str) -> DataFrame:
+    """Folded changes, if none has an error; else the error names the first five."""
+    wrong = changes.filter("error is not null").orderBy(key).select(key, "error").limit(5).collect()
+    if wrong:
+        raise ChangeError(", ".join(f"{r[0]}: {r[1]}" for r in wrong))
+    return changes
+
+
+def apply_changes(base: DataFrame, changes: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """The snapshot after folded changes; columns of a change that are null keep their value. Strict: an error if one has an ``error``; else they are applied as far as they go."""
+    if strict:
+        changes = checked(changes, key)
     deleted = changes.filter("op = 'delete'").select(key)
     put = changes.filter("op in ('create', 'update')").drop("op", "error", "steps")
     return upsert(base, put, key).join(deleted, key, "left_anti")

@@ -258,6 +258,47 @@ def test_reachability_keeps_the_least_depth(spark):
     assert {r.url: r.linktext for r in crawl.reachable(seeds, edges).collect()}["d"] == "/direct/D"
 
 
+def test_crawls_stop_at_a_number_of_pages(spark):
+    edges = spark.createDataFrame([("a", x, x) for x in "bcde"] + [("b", "f", "f")], "src string, dst string, text string")
+    seeds = spark.createDataFrame([("a",)], "url string")
+    for most, expected in ((0, "abcdef"), (3, "abc"), (5, "abcde"), (1, "a")):
+        assert "".join(sorted(r.url for r in crawl.reachable(seeds, edges, most_pages=most).collect())) == expected
+
+
+def test_frontiers_go_through_text(spark):
+    df = spark.createDataFrame([("http://a?b=[1]", 2, None), ("", 0, "x|y")], "url string, depth int, text string")
+    lines = crawl.frontier_text(df)
+    assert rows(crawl.parse_frontier(lines, df.columns)) == [("", "0", "x|y"), ("http://a?b=[1]", "2", "")]
+    cut_off = lines.select(F.substring("line", 1, 8).alias("line"))
+    assert crawl.parse_frontier(cut_off, df.columns).count() == 0
+
+
+def test_seed_samples(spark):
+    of = lambda n, seed=0: sorted(r.id for r in crawl.seed_sample(spark.range(n), "id", seed=seed).collect())
+    assert of(0) == [] and of(7) == list(range(7)) and of(20) == list(range(4, 20))
+    assert len(set(of(200))) == 16 and of(200) != of(200, 1) and of(200) != list(range(184, 200))
+
+
+def test_candidates_without_ancestors(spark):
+    df = spark.createDataFrame([(1, "/html"), (1, "/html/body/div"), (1, "/html/body/div[2]"), (1, "/html/body/div[2]/p"), (2, "/html"), (3, "/a/b"), (3, "/a/bc")], "page_id int, path string")
+    assert rows(induce.without_ancestors(df)) == [(1, "/html/body/div"), (1, "/html/body/div[2]/p"), (2, "/html"), (3, "/a/b"), (3, "/a/bc")]
+
+
+def test_fold_onto_a_store(spark):
+    schema = "siteid string, title string, city string, url string, ord int"
+    store = spark.createDataFrame([("s", "One", "Rome,Oslo", "u1", 1), ("s", "Two", "", "u2", 2)], schema)
+    offers = spark.createDataFrame([("s", "One", "Oslo", "v1", 1), ("s", "One", "Bonn", "v2", 2), ("s", "Two", "Rome", "v3", 3), ("s", "New", "Rome", "v4", 4)], schema)
+    assert rows(dedup.fold_onto(store, offers, ["siteid", "title"]), "title", "city", "url") == [("New", "Rome", "v4"), ("One", "Rome,Oslo,Bonn", "u1"), ("Two", "Rome", "u2")]
+
+
+def test_strict_changes(spark):
+    base = spark.createDataFrame([(1, "a")], "k int, v string")
+    changes = lambda *log: merge.fold_changes(spark.createDataFrame(log, "k int, op string, at int"), base, "k", "at")
+    assert merge.apply_changes(base, changes((1, "delete", 1)), "k", strict=True).count() == 0
+    with pytest.raises(merge.ChangeError, match="2: missing"):
+        merge.apply_changes(base, changes((2, "update", 1), (1, "update", 2)), "k", strict=True)
+
+
 @pytest.mark.parametrize(("url", "expected"), [("http://a.com/d/1", True), ("https://a.com/d/1", False), ("http://b7.com/d", True), ("http://xb7.com/d", False), ("http://a.com/x", False), ("http://a.com:80/d", False)])
 def test_crawl_rules(spark, url, expected):
     assert one(spark, crawl.admitted(F.lit(url), ["a.com"], [r"b\d"], ["/d"])) is expected
