@@ -31,7 +31,7 @@ from .common import crc32, cut, new_table_path, slices
 from .tokens import encoder, id_type
 
 #: Documents in a task that orders a part of a queue.
-PART_DOCUMENTS = 20_000
+PART_DOCUMENTS = 2_000
 #: The queue of all sources that have no target; no source that has one is called so.
 REST = "\0rest"
 
