@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import geo, price, text
-from .operators import control, crawl, dedup, induce, listing, merge
+from .operators import analysis, control, crawl, dedup, induce, listing, merge
 from .plans import pipeline, views
 from .plans.views import OFFERS, SERVERS, SITES, SNAPSHOTS, read
 from .sources import feeds, markup
@@ -555,6 +555,37 @@ def template_cache(spark, d):
     return found.select("page_id", "template", F.col("info")["title"].alias("title"))
 
 
+_ANALYSED = r"""WITH p AS (SELECT *, p_size * 12 + 100 AS original, (p_size * 12 + 100) // 4 AS saved, p_size % 4 AS kind, CASE WHEN p_partkey % 3 = 0 THEN 'sold' ELSE 'bought' END AS word FROM part),
+c AS (SELECT *, CASE WHEN word = 'bought' THEN 'all' WHEN p_brand LIKE 'Brand#1%' THEN 'ones' END AS config, CASE WHEN kind <> 3 THEN p_name || ' for $ ' || (original - saved) || ' on these days' END AS title FROM p)
+SELECT p_partkey AS page_id, config, CASE WHEN config IS NULL THEN 'region' WHEN title IS NULL THEN 'title' WHEN p_size <= 10 THEN 'picture' END AS error,
+  CASE WHEN config IS NOT NULL THEN original::DOUBLE END AS original, CASE WHEN config IS NOT NULL THEN saved::DOUBLE END AS saved, CASE WHEN config IS NOT NULL AND kind IN (0, 3) THEN 7.5 END AS discount,
+  CASE WHEN config IS NOT NULL THEN title END AS title, CASE WHEN config IS NOT NULL AND title IS NOT NULL THEN p_size || ' ' || word END AS items,
+  CASE WHEN config IS NOT NULL AND title IS NOT NULL AND p_size > 10 THEN 'http://' || replace(lower(p_brand), '#', '') || '.example.com/img/' || p_partkey || '.jpg' END AS image FROM c"""
+
+
+@query(_ANALYSED)
+def page_analysis(spark, d):
+    """Parts as pages of four kinds: prices with a discount, in lines, in two rows, and without a title; small pictures are none of a product."""
+    part = read(spark, d, "part").withColumns({"page_id": F.col("p_partkey"), "original": F.col("p_size") * 12 + 100, "kind": F.col("p_size") % 4})
+    part = part.withColumn("saved", (F.col("original") / 4).cast("int"))
+    word = F.when(F.col("p_partkey") % 3 == 0, "sold").otherwise("bought")
+    cell = lambda form: F.format_string(form, "original", "saved")
+    lines = cell("<p>was</p><i>$ %d</i><p>saved</p><i>$ %d</i><i>7.5 off</i>")
+    table = F.when(F.col("kind") == 1, cell("<table><tr><td>was</td><td>$ %d</td></tr><tr><td>saved</td><td>$ %d</td></tr></table>"))
+    table = table.when(F.col("kind") == 2, cell("<table><tr><td>was</td><td>saved</td></tr><tr><td>$ %d</td><td>$ %d</td></tr></table>")).otherwise(lines)
+    title = F.when(F.col("kind") == 3, "").otherwise(F.format_string("<h1>%s for $ %d on these days</h1>", "p_name", F.col("original") - F.col("saved")))
+    html = F.format_string('<html><body>%s<div><b>%d %s</b><div><u>now</u>%s</div><img src="../img/%d.jpg"></div></body></html>', title, "p_size", word, table, "p_partkey")
+    site = F.concat(F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit(".example.com"))
+    pages = part.select("page_id", site.alias("site"), html.alias("html"))
+    side = F.when(F.col("p_size") > 10, 300).otherwise(100)
+    pictures = part.select(F.format_string("http://%s/img/%d.jpg", site, "p_partkey").alias("url"), (F.col("p_size") * 1000 + 20000).alias("size"), side.alias("width"), side.alias("height"), F.lit("jpeg").alias("kind"))
+    configs = spark.createDataFrame([(0, "ones", "^brand1"), (1, "all", ".")], "ord int, config string, pattern string")
+    words = [(c, k, a, [w]) for c, sold in (("ones", "sold"), ("all", "bought")) for k, (a, w) in enumerate([("items", sold), ("original", "was"), ("currency", "$"), ("saved", "saved")])]
+    keywords = spark.createDataFrame(words, "config string, ord int, attribute string, keywords array<string>")
+    found = analysis.analyse(pages, configs, keywords, pictures, markup.html_nodes(pages), "off", "$")
+    return found.select("page_id", "config", "error", *[F.col("info")[c].cast("double").alias(c) for c in ("original", "saved", "discount")], *[F.col("info")[c].alias(c) for c in ("title", "items", "image")])
+
+
 @query()
 def html_nodes(spark, d):
     return markup.html_nodes(read(spark, d, "pages")).groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))

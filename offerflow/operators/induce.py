@@ -34,11 +34,15 @@ def apply_template(nodes: DataFrame, template: dict[str, str]) -> DataFrame:
     return found.filter(F.size("info") == len(paths)).select("page_id", *[F.col("info")[t].alias(t) for t in template])
 
 
-def price_candidates(nodes: DataFrame, currency: str, off: str) -> DataFrame:
-    """Short text nodes with a number: discount candidates below 10 without the currency, price candidates without the sign of a discount."""
+def price_candidates(nodes: DataFrame, currency: str | Column, off: str) -> DataFrame:
+    """Short text nodes with a number: discount candidates below 10 without the currency, price candidates without the sign of a discount.
+
+    ``currency`` is a mark, or a condition on ``text`` that holds where there is one.
+    """
+    marked = currency if isinstance(currency, Column) else F.col("text").contains(currency)
     number = first_number(F.col("text"))
     short = nodes.filter((F.col("kind") == "text") & (F.char_length("text") <= LONGEST_PRICE)).withColumn("number", number).filter("number is not null")
-    small = (F.col("number") < 10) & (F.char_length(F.regexp_extract("text", r"\d+(\.\d+)?", 0)) <= 4) & ~F.col("text").contains(currency)
+    small = (F.col("number") < 10) & (F.char_length(F.regexp_extract("text", r"\d+(\.\d+)?", 0)) <= 4) & ~marked
     return short.select("page_id", "ord", "number", small.alias("as_discount"), (~F.col("text").contains(off) & ~small).alias("as_price"))
 
 
@@ -46,18 +50,22 @@ def price_triples(candidates: DataFrame) -> DataFrame:
     """Of pages with one discount and two prices: what the prices are."""
     one = candidates.groupBy("page_id").agg(
         F.count_if("as_discount").alias("discounts"), F.count_if("as_price").alias("prices"),
-        F.max(F.when(F.col("as_discount"), F.col("number"))).alias("discount"),
+        F.max(F.when(F.col("as_discount"), F.col("number"))).alias("discount"), F.max(F.when(F.col("as_discount"), F.col("ord"))).alias("discount_ord"),
+        F.min(F.when(F.col("as_price"), F.col("ord"))).alias("first_ord"), F.max(F.when(F.col("as_price"), F.col("ord"))).alias("second_ord"),
         F.min_by("number", F.when(F.col("as_price"), F.col("ord"))).alias("first"), F.max_by("number", F.when(F.col("as_price"), F.col("ord"))).alias("second"),
     )
-    return one.filter("discounts = 1 and prices = 2").select("page_id", "first", "second", "discount", classify_prices(F.col("first"), F.col("second"), F.col("discount")).alias("kinds"))
+    return one.filter("discounts = 1 and prices = 2").select("page_id", "first", "second", "discount", "first_ord", "second_ord", "discount_ord", classify_prices(F.col("first"), F.col("second"), F.col("discount")).alias("kinds"))
 
 
-def without_ancestors(candidates: DataFrame) -> DataFrame:
-    """Candidate tags (``page_id, path``) none of whose descendants is a candidate too."""
+def without_ancestors(candidates: DataFrame, keys: list[str] = ["page_id"]) -> DataFrame:
+    """Candidate tags (``keys`` and ``path``) none of whose descendants is a candidate too."""
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    ancestors = candidates.filter(F.size(parts) > 2).select(F.col("page_id").alias("_page"), F.explode(above).alias("_path")).distinct()
-    return candidates.join(ancestors, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("path") == F.col("_path")), "left_anti")
+    ancestors = candidates.filter(F.size(parts) > 2).select(*[F.col(k).alias(f"_{k}") for k in keys], F.explode(above).alias("_path")).distinct()
+    same = F.col("path") == F.col("_path")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return candidates.join(ancestors, same, "left_anti")
 
 
 def looks_like_title(text: Column, currency: str) -> Column:
