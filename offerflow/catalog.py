@@ -674,3 +674,6 @@ def event_windows(spark, d):
     from .streaming.feed import event_counts
 
     return event_counts(read(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+from . import page_catalog  # noqa: E402, F401 - registers its queries

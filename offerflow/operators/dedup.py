@@ -47,11 +47,11 @@ def flagged_first(rows: DataFrame, flag: str, order: str) -> DataFrame:
     return rows.orderBy(F.desc(flag), order)
 
 
-def batch_urls(cities: DataFrame, base: str, param: str, size: int = 11) -> DataFrame:
-    """One address for each ``size`` cities: ``base?param`` with the city for ``%s``, joined by ``&``. ``cities(pos, cityid)``, numbered from 0."""
+def batch_urls(cities: DataFrame, base: str, param: str, size: int = 11, keys: list[str] = []) -> DataFrame:
+    """One address for each ``size`` cities: ``base?param`` with the city for ``%s``, joined by ``&``. ``cities(pos, cityid)``, numbered from 0, for each of ``keys``."""
     piece = F.replace(F.lit(param), F.lit("%s"), F.col("cityid"))
-    grouped = cities.groupBy(F.floor(F.col("pos") / size).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
-    return grouped.select("batch", F.concat(F.lit(base + "?"), F.array_join("pieces.piece", "&")).alias("url"))
+    grouped = cities.groupBy(*keys, F.floor(F.col("pos") / size).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
+    return grouped.select(*keys, "batch", F.concat(F.lit(base + "?"), F.array_join("pieces.piece", "&")).alias("url"))
 
 
 def fill_rates(df: DataFrame) -> DataFrame:

@@ -84,12 +84,12 @@ expected AS (SELECT n_name AS site, n_nationkey AS ord FROM nation)
 
 def site_times(spark, sf_dir):
     """Nations as sites, with the first and last time of events of users of that number; null where there are none."""
-    times = read(spark, sf_dir, "events").filter("user_id % 30 < 25").groupBy((F.col("user_id") % 30).cast("int").alias("k")).agg(F.min("ts").alias("lastupdate"), F.max("ts").alias("enqueuetime"))
+    times = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 30).cast("int").alias("k")).agg(F.min("ts").alias("lastupdate"), F.max("ts").alias("enqueuetime"))
     return read(spark, sf_dir, "nation").join(times, F.col("n_nationkey") == F.col("k"), "left").select(F.col("n_name").alias("siteid"), F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("server"), (F.col("n_nationkey") % 4).cast("string"))).alias("updateserver"), F.when(F.col("n_nationkey") % 5 != 0, F.col("lastupdate")).alias("lastupdate"), "enqueuetime")
 
 
 SITES = """
-WITH times AS (SELECT CAST(user_id % 30 AS INTEGER) AS k, min(ts) AS lastupdate, max(ts) AS enqueuetime FROM events WHERE user_id % 30 < 25 GROUP BY 1),
+WITH times AS (SELECT CAST(user_id % 30 AS INTEGER) AS k, min(ts) AS lastupdate, max(ts) AS enqueuetime FROM events GROUP BY 1),
 sites AS (SELECT n_name AS siteid, CASE WHEN n_nationkey % 3 <> 0 THEN 'server' || (n_nationkey % 4) END AS updateserver, CASE WHEN n_nationkey % 5 <> 0 THEN lastupdate END AS lastupdate, enqueuetime
   FROM nation LEFT JOIN times ON n_nationkey = k)
 """
