@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, warc
+from . import chat, decontaminate, divergence, warc
 from .common import read_table
 from .hyperminhash import near_duplicates
 from .jpeg import jpeg_media
+from .langid import identify_languages
 from .packing import pack
 from .ppm import lm_scores
 from .rans import token_digests
@@ -54,5 +55,13 @@ def op10_ppm_scores(spark, sf_dir):
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks, op10_ppm_scores)}
-ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE}
+def op12_hyperdimensional_language(spark, sf_dir):
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks, op10_ppm_scores, op12_hyperdimensional_language, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE, "op13_source_divergence": divergence.ORACLE}
