@@ -144,8 +144,9 @@ def profiles(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
 def nearest(total: np.ndarray, names: list[str], unit: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Of each sum the language with the largest cosine, the first by name among equals, and that cosine, 0 at least."""
     length = np.sqrt((total.astype(np.float64) ** 2).sum(axis=1))
-    cosine = total.astype(np.float64) @ unit.T / np.maximum(length, 1)[:, None]
-    best = cosine.round(12).argmax(axis=1)
+    # Rounded, as the last bits depend on how many rows and languages are multiplied at once.
+    cosine = (total.astype(np.float64) @ unit.T / np.maximum(length, 1)[:, None]).round(12)
+    best = cosine.argmax(axis=1)
     return [names[k] for k in best], cosine[np.arange(len(best)), best].clip(0, 1)
 
 

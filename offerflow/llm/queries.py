@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, warc
+from . import chat, decontaminate, divergence, prefixtrie, warc
 from .common import read_table
 from .hyperminhash import near_duplicates
 from .jpeg import jpeg_media
@@ -55,6 +55,10 @@ def op10_ppm_scores(spark, sf_dir):
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefixtrie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def op12_hyperdimensional_language(spark, sf_dir):
     return identify_languages(read_table(spark, sf_dir, "documents"))
 
@@ -63,5 +67,5 @@ def op13_source_divergence(spark, sf_dir):
     return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks, op10_ppm_scores, op12_hyperdimensional_language, op13_source_divergence)}
-ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE, "op13_source_divergence": divergence.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_jpeg_media, op2_rans_tokens, op3_hyperminhash, op4_minhash_containment, op5_token_counts, op6_mixture_packing, op7_toxicity, op8_perspectives, op9_warc_chunks, op10_ppm_scores, op11_prefix_trie, op12_hyperdimensional_language, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_containment": decontaminate.ORACLE, "op8_perspectives": chat.ORACLE, "op9_warc_chunks": warc.ORACLE, "op11_prefix_trie": prefixtrie.ORACLE, "op13_source_divergence": divergence.ORACLE}
