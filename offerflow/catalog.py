@@ -389,7 +389,7 @@ SELECT user_id, coalesce(put.value, base.value) AS value FROM put FULL JOIN base
 def changeset_apply(spark, d):
     log, base = _log(spark, d), _base(spark, d)
     changes = merge.fold_changes(log, base, "user_id", "event_id").join(merge.last_of_each(log.drop("op"), "user_id", "event_id"), "user_id")
-    return merge.apply_changes(base, changes, "user_id")
+    return merge.apply_changes(base, changes, "user_id", strict=False)
 
 
 @query(f"{SNAPSHOTS} SELECT url, address FROM stored WHERE address IS DISTINCT FROM 'Road 2'")
@@ -485,12 +485,12 @@ _LINK = r"regexp_extract_all(html, '<a [^>]*href=\"([^\"]+)\"', 1)"
 
 @query(f"SELECT page_id, trim({_TITLE}) AS title FROM pages WHERE {_TITLE} <> ''")
 def page_titles(spark, d):
-    return markup.titles(markup.html_nodes(read(spark, d, "pages"))).filter("title <> ''")
+    return markup.titles(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name="title"))).filter("title <> ''")
 
 
 @query(f"SELECT page_id, CAST(len({_LINK}) AS BIGINT) AS n, list_min({_LINK}) AS first FROM pages WHERE len({_LINK}) > 0")
 def page_links(spark, d):
-    found = markup.links(markup.html_nodes(read(spark, d, "pages")))
+    found = markup.links(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name="a")))
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.min("href").alias("first"))
 
 
@@ -551,7 +551,7 @@ def record_normalise(spark, d):
 
 @query(f"SELECT page_id, 1 AS template, trim({_TITLE}) AS title FROM pages WHERE {_TITLE} <> ''")
 def template_cache(spark, d):
-    found = induce.apply_first(markup.html_nodes(read(spark, d, "pages")), [{"title": "/html/head/title", "price": "/nowhere"}, {"title": "/html/head/title"}])
+    found = induce.apply_first(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(path=["/html/head/title", "/nowhere"])), [{"title": "/html/head/title", "price": "/nowhere"}, {"title": "/html/head/title"}])
     return found.select("page_id", "template", F.col("info")["title"].alias("title"))
 
 
@@ -563,10 +563,12 @@ SELECT p_partkey AS page_id, config, CASE WHEN config IS NULL THEN 'region' WHEN
   CASE WHEN config IS NOT NULL AND title IS NOT NULL AND p_size > 10 THEN 'http://' || replace(lower(p_brand), '#', '') || '.example.com/img/' || p_partkey || '.jpg' END AS image FROM c"""
 
 
-@query(_ANALYSED)
-def page_analysis(spark, d):
-    """Parts as pages of four kinds: prices with a discount, in lines, in two rows, and without a title; small pictures are none of a product."""
-    part = read(spark, d, "part").withColumns({"page_id": F.col("p_partkey"), "original": F.col("p_size") * 12 + 100, "kind": F.col("p_size") % 4})
+def part_pages(spark, part, kind):
+    """Parts as pages of four kinds: prices with a discount, in lines, in two rows, and without a title; small pictures are none of a product.
+
+    The pages, and the pictures, configurations and keywords that ``analyse`` takes.
+    """
+    part = part.withColumns({"page_id": F.col("p_partkey"), "original": F.col("p_size") * 12 + 100, "kind": kind})
     part = part.withColumn("saved", (F.col("original") / 4).cast("int"))
     word = F.when(F.col("p_partkey") % 3 == 0, "sold").otherwise("bought")
     cell = lambda form: F.format_string(form, "original", "saved")
@@ -582,7 +584,13 @@ def page_analysis(spark, d):
     configs = spark.createDataFrame([(0, "ones", "^brand1"), (1, "all", ".")], "ord int, config string, pattern string")
     words = [(c, k, a, [w]) for c, sold in (("ones", "sold"), ("all", "bought")) for k, (a, w) in enumerate([("items", sold), ("original", "was"), ("currency", "$"), ("saved", "saved")])]
     keywords = spark.createDataFrame(words, "config string, ord int, attribute string, keywords array<string>")
-    found = analysis.analyse(pages, configs, keywords, pictures, markup.html_nodes(pages), "off", "$")
+    return pages, pictures, configs, keywords
+
+
+@query(_ANALYSED)
+def page_analysis(spark, d):
+    pages, pictures, configs, keywords = part_pages(spark, read(spark, d, "part"), F.col("p_size") % 4)
+    found = analysis.analyse(pages, configs, keywords, pictures, markup.html_nodes(pages, texts=False), "off", "$")
     return found.select("page_id", "config", "error", *[F.col("info")[c].cast("double").alias(c) for c in ("original", "saved", "discount")], *[F.col("info")[c].alias(c) for c in ("title", "items", "image")])
 
 
@@ -596,16 +604,19 @@ def html_path_extract(spark, d):
     return markup.extract_fields(read(spark, d, "pages"), {"head": "path:/html/head/title", "ad": "class:ad"})
 
 
-@query()
+_PIECES = r"string_split_regex(regexp_replace(regexp_extract(html, '<body>(.*?)(</body>|$)', 1, 's'), '<!--(.*?)-->', '<x>\1<x>', 'gs'), '<[^>]*>')"
+
+
+@query(rf"SELECT page_id, array_to_string(list_transform({_PIECES}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), '') AS text FROM pages")
 def page_text(spark, d):
-    return markup.get_node(markup.html_nodes(read(spark, d, "pages")), "/html/body").select("page_id", "text")
+    return markup.get_node(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(path="/html/body")), "/html/body").select("page_id", "text")
 
 
 @query(rf"""WITH p AS (SELECT regexp_replace(url, '[;?#].*$', '') || CASE WHEN regexp_matches(url, '[;?#]') THEN '?*' ELSE '' END AS base, url, trim({_TITLE}) AS title, {_LINK} AS links FROM pages),
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY url, title) AS place, count(*) OVER (PARTITION BY base) AS n FROM p)
 SELECT a.base, a.n, CASE WHEN b.url IS NOT NULL THEN a.title = b.title AND len(list_filter(b.links, lambda x: NOT list_contains(a.links, x))) <= 2 END AS collapse FROM n a LEFT JOIN n b ON b.base = a.base AND b.place = 2 WHERE a.place = 1""")
 def crawl_parameter_collapse(spark, d):
-    nodes = markup.html_nodes(read(spark, d, "pages"))
+    nodes = markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name=["a", "title"]))
     found = markup.links(nodes).groupBy("page_id").agg(F.sort_array(F.collect_list("href")).alias("links"))
     pages = read(spark, d, "pages").select("page_id", "url").join(markup.titles(nodes), "page_id", "left").join(found, "page_id", "left")
     return crawl.collapse_parameters(pages.withColumns({"title": F.coalesce("title", F.lit("")), "links": F.coalesce("links", F.array().cast("array<string>"))}))
@@ -654,19 +665,19 @@ def site_pipelines(spark, d):
 
 @query(f"{SNAPSHOTS} SELECT url, coalesce(feed.bought, stored.bought) AS bought, coalesce(feed.title, stored.title) AS title, stored.address FROM feed FULL JOIN stored USING (url)")
 def stream_feed_merge(spark, d):
-    """The feed as files that a stream reads, each micro-batch merged into the stored snapshot."""
-    from .sources.tables import SnapshotTable, work_folder
-    from .streaming.feed import merge_batches
+    """The feed as files that a stream reads, each micro-batch merged into the buckets of the stored snapshot that it touches."""
+    from .schemas import OFFERS as schema
+    from .sources.tables import work_folder
+    from .streaming.feed import merge_batches, read_snapshot, write_snapshot
 
     folder = work_folder(spark, "stream")
     columns = ["url", "siteid", "title", "bought"]
     views.feed(spark, d).select(*columns, "ord").repartition(4, "url").write.parquet(f"{folder}/feed")
-    target = SnapshotTable(spark, folder, "offers")
-    seed = spark.createDataFrame([], target.schema)
-    target.write(seed.unionByName(views.stored(spark, d).select(*columns, "address"), allowMissingColumns=True))
-    schema = spark.read.parquet(f"{folder}/feed").schema
-    merge_batches(spark, f"{folder}/feed", schema, target, f"{folder}/state", files_per_trigger=2).awaitTermination()
-    return target.read().select("url", "bought", "title", "address")
+    seed = spark.createDataFrame([], schema).unionByName(views.stored(spark, d).select(*columns, "address"), allowMissingColumns=True)
+    write_snapshot(seed, f"{folder}/offers", "url", 8)
+    feed_schema = spark.read.parquet(f"{folder}/feed").schema
+    merge_batches(spark, f"{folder}/feed", feed_schema, f"{folder}/offers", schema, "url", f"{folder}/state", files_per_trigger=2, buckets=8).awaitTermination()
+    return read_snapshot(spark, f"{folder}/offers", schema).select("url", "bought", "title", "address")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -676,4 +687,4 @@ def event_windows(spark, d):
     return event_counts(read(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-from . import page_catalog  # noqa: E402, F401 - registers its queries
+from . import page_catalog, web_catalog  # noqa: E402, F401 - register their queries

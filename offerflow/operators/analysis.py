@@ -1,6 +1,7 @@
 """Analysis of offer pages: the region that keywords name, its prices, and the title, items sold and picture around them.
 
-All steps are joins and groups over node rows (``sources.markup.html_nodes``), keyed by ``page_id``. A text has the
+All steps are joins and groups over node rows (``sources.markup.html_nodes``), keyed by ``page_id``; without the texts of tags
+(``texts=False``) what a page says is stored once, and a tag's text is cut from it where it is tested. A text has the
 path of the tag around it. Keywords are rows ``config, ord, attribute, keywords`` as ``feeds.keyword_map`` reads them, a few
 for each kind of site, and are joined as such a small table.
 """
@@ -49,13 +50,16 @@ def regions(nodes: DataFrame, keywords: DataFrame, of: DataFrame, within: DataFr
     first = placed.filter("place = 1").select("config", F.explode("keywords").alias("word"))
     others = placed.filter("place > 1").select("config", "attribute", "keywords")
     seeds = nodes.filter("kind <> 'tag'").select("page_id", F.col("ord").alias("seed"), "path", "text")
-    seeds = seeds.join(first, F.regexp_like("text", F.col("word"))).select("page_id", "config", "seed", "path").distinct().join(of.select("page_id", "config").distinct(), ["page_id", "config"])
+    # A text meets the keywords of the configurations that its page tries, no others.
+    seeds = seeds.join(of.select("page_id", "config").distinct(), "page_id").join(first, "config").filter(F.regexp_like("text", F.col("word"))).select("page_id", "config", "seed", "path").distinct()
     climbs = around(seeds)
     if within is not None:
         limits = within.select("page_id", "config", F.col("path").alias("limit"))
         climbs = climbs.join(limits, ["page_id", "config"]).filter(_inside("top", "limit")).drop("limit")
-    tags = nodes.filter("kind = 'tag'").select("page_id", F.col("path").alias("top"), "text", F.col("ord").alias("at"))
-    met = climbs.join(tags, ["page_id", "top"]).join(others, "config", "left")
+    tags = nodes.filter("kind = 'tag'").select("page_id", F.col("path").alias("top"), "text", "said_from", "said_to", F.col("ord").alias("at"))
+    whole = nodes.filter("said is not null").select("page_id", "said")
+    part = F.substring(F.col("said"), F.col("said_from") + 1, F.col("said_to") - F.col("said_from"))
+    met = climbs.join(tags, ["page_id", "top"]).join(whole, "page_id", "left").withColumn("text", F.coalesce("text", part)).drop("said").join(others, "config", "left")
     hit = F.col("attribute").isNull() | F.exists("keywords", lambda w: F.instr(F.col("text"), w) > 1)
     deepest = met.select("page_id", "config", "seed", "path", "attribute", F.when(hit, F.col("depth")).alias("depth")).groupBy("page_id", "config", "seed", "path", "attribute").agg(F.max("depth").alias("depth"))
     found = deepest.groupBy("page_id", "config", "seed", "path").agg(F.min("depth").alias("depth"), F.count_if(F.col("depth").isNull()).alias("missing")).filter("missing = 0")
@@ -106,7 +110,7 @@ def items_sold(nodes: DataFrame, titles: DataFrame, words: DataFrame) -> DataFra
     """
     at = nodes.join(titles.select("page_id", "ord"), ["page_id", "ord"]).select("page_id", "path")
     ups = around(at).drop("path")
-    tags = nodes.filter("kind = 'tag'").select("page_id", F.col("path").alias("top"), F.char_length("text").alias("size"))
+    tags = nodes.filter("kind = 'tag'").select("page_id", F.col("path").alias("top"), (F.col("said_to") - F.col("said_from")).alias("size"))
     ups = ups.join(tags, ["page_id", "top"])
     ups = ups.withColumn("long", F.max(F.when(F.col("size") > LONGEST_AROUND, F.col("depth"))).over(Window.partitionBy("page_id")))
     texts = nodes.filter("kind <> 'tag'").select("page_id", "ord", "path", "text")

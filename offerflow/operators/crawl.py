@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, url_host, url_path
-from ..sources.tables import cut
+from ..sources.tables import cut, work_folder
 
 
 def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (), path_patterns: list[str] = ()) -> Column:
@@ -23,26 +23,67 @@ def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (),
     return url.startswith("http://") & of_host & of_path
 
 
-def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages: int = 0, checkpoint=cut) -> DataFrame:
-    """``url, depth, linktext``: what the seeds (``url``) reach over ``edges(src, dst, text)``, at the least depth.
+def start(urls: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """The frontier that a crawl begins from, ``url, depth, linktext, visited``: the rows restored, if there are any given, else the start addresses at depth 0."""
+    if restored is not None:
+        return restored.select("url", F.col("depth").cast("int").alias("depth"), "linktext", F.col("visited").cast("boolean").alias("visited"))
+    return urls.select("url", F.lit(0).alias("depth"), F.lit("").alias("linktext"), F.lit(False).alias("visited")).distinct()
 
-    Breadth first: each round joins the newest pages to the edges and keeps what
-    is new. The link text is that of the way by the smallest source. Depth 0 of
-    ``most_depth`` and 0 of ``most_pages``: no limit; of the pages of a depth that are too many the first by address stay. ``checkpoint`` cuts the lineage of each round.
+
+def crawl(frontier: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages: int = 0, rounds: int = 0) -> DataFrame:
+    """The frontier after ``rounds`` rounds (0: until nothing is left), as ``start`` gives it, over ``edges(src, dst, text)``.
+
+    Each round takes the unvisited pages of the least depth, those restored at that depth with those found there, joins
+    them to the edges and keeps what is not known. A page known already keeps its depth. The link text is that of the way by the
+    smallest source. What a round finds is written as files of its own, and the pages known are these files together: no
+    round writes again what another found. Depth 0 of ``most_depth`` and 0 of ``most_pages``: no limit; of the pages of a round that are too many the first by address stay.
     """
-    found = checkpoint(seeds.select("url", F.lit(0).alias("depth"), F.lit("").alias("linktext")).distinct())
-    front, depth = found, 0
-    while not most_depth or depth + 1 < most_depth:
-        depth += 1
+    spark = frontier.sparkSession
+    folder = work_folder(spark, "crawl")
+    schema = "url {}, depth int, linktext string".format(dict(frontier.dtypes)["url"])
+    files: list[str] = []
+
+    def append(rows: DataFrame) -> tuple[DataFrame, int]:
+        files.append(f"{folder}/round={len(files)}")
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(files[-1])
+        return spark.read.schema(schema).parquet(files[-1]), seen.get["n"]
+
+    appended = lambda: spark.read.schema(schema).parquet(folder)
+
+    known = cut(frontier)
+    found, counted = known.select("url"), known.count() if most_pages else 0
+    restored = {r[0] for r in known.filter("not visited").select("depth").distinct().collect()}  # one number for each level
+    done, fresh = [], {}
+    while (restored or fresh) and (not rounds or len(done) < rounds):
+        depth = min(restored | fresh.keys())
+        fronts = [fresh.pop(depth)] if depth in fresh else []
+        if depth in restored:
+            restored.discard(depth)
+            fronts.append(known.filter((F.col("depth") == depth) & ~F.col("visited")).select("url", "depth", "linktext"))
+        front = fronts[0] if len(fronts) == 1 else fronts[0].unionByName(fronts[1])
+        done.append(depth)
+        if most_depth and depth + 1 >= most_depth:
+            continue
         steps = front.join(edges, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("src", F.concat_ws("/", "linktext", "text").alias("linktext"))).alias("way"))
-        front = steps.join(found, F.col("dst") == F.col("url"), "left_anti").select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), F.col("way.linktext").alias("linktext"))
+        new = steps.join(found.withColumnRenamed("url", "_known"), F.col("dst") == F.col("_known"), "left_anti")
+        new = new.select(F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.col("way.linktext").alias("linktext"))
         if most_pages:
-            front = front.orderBy("url").limit(max(0, most_pages - found.count()))
-        front = checkpoint(front)
-        if front.isEmpty():
-            break
-        found = checkpoint(found.unionByName(front))
-    return found
+            new = new.orderBy("url").limit(max(0, most_pages - counted))
+        rows, n = append(new)
+        if n:
+            fresh[depth + 1] = rows
+            counted += n
+        found = known.select("url").unionByName(appended().select("url"))
+    every = known
+    if files:
+        every = every.unionByName(appended().select("url", "depth", "linktext").withColumn("visited", F.lit(False)))
+    return every.withColumn("visited", F.col("visited") | F.col("depth").isin(*done) if done else F.col("visited"))
+
+
+def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages: int = 0) -> DataFrame:
+    """``url, depth, linktext``: what the seeds (``url``) reach over ``edges(src, dst, text)``, at the least depth."""
+    return crawl(start(seeds), edges, most_depth, most_pages).select("url", "depth", "linktext")
 
 
 def next_page(frontier: DataFrame) -> DataFrame:
@@ -66,16 +107,35 @@ def collapse_parameters(pages: DataFrame) -> DataFrame:
     return both.select("base", "n", F.when(F.col("n") > 1, similar(F.col("a.title"), F.col("z.title"), F.col("a.links"), F.col("z.links"))).alias("collapse"))
 
 
-def frontier_text(frontier: DataFrame, field: str = "[=%", row: str = "=]%") -> DataFrame:
-    """The frontier as delimited rows, for exchange; Parquet serves as checkpoint."""
-    return frontier.select(F.concat(F.concat_ws(field, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in frontier.columns]), F.lit(row)).alias("line"))
+# The marks that end a field and a row.
+FIELD, ROW = "[=%", "=]%"
+#: No value holds a mark once these are replaced, in this order.
+_ESCAPES = (("%", "%25"), ("=", "%3D"))
+
 
+def frontier_text(frontier: DataFrame, field: str = FIELD, row: str = ROW) -> DataFrame:
+    """The frontier as delimited rows (``line``), for exchange. A percent or equals sign within a value is escaped, so that none looks like a mark; null is empty."""
+    def said(c):
+        value = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for plain, escaped in _ESCAPES:
+            value = F.replace(value, F.lit(plain), F.lit(escaped))
+        return value
 
-def parse_frontier(lines: DataFrame, columns: list[str], field: str = "[=%", row: str = "=]%") -> DataFrame:
-    """The rows of such text (``line``) as text columns; what is cut off before its row mark is left out."""
+    return frontier.select(F.concat(F.concat_ws(field, *map(said, frontier.columns)), F.lit(row)).alias("line"))
+
+
+def parse_frontier(lines: DataFrame, columns: list[str], field: str = FIELD, row: str = ROW) -> DataFrame:
+    """The rows of such text as text columns; what is cut off before its row mark is left out."""
     parts = F.split(F.regexp_replace("line", re.escape(row) + "$", ""), re.escape(field), -1)
     whole = lines.filter(F.col("line").endswith(row)).withColumn("_parts", parts).filter(F.size("_parts") == len(columns))
-    return whole.select(*[F.col("_parts")[k].alias(c) for k, c in enumerate(columns)])
+
+    def value(k):
+        said = F.col("_parts")[k]
+        for plain, escaped in reversed(_ESCAPES):
+            said = F.replace(said, F.lit(escaped), F.lit(plain))
+        return said
+
+    return whole.select(*[value(k).alias(c) for k, c in enumerate(columns)])
 
 
 def seed_sample(pages: DataFrame, order: str, size: int = 16, spare: int = 5, seed: int = 0) -> DataFrame:

@@ -63,14 +63,14 @@ def fill_rates(df: DataFrame) -> DataFrame:
 def cities_of(offers: DataFrame, cities: DataFrame) -> DataFrame:
     """``cityid`` by the name of the city; several names are ``multi``; an unknown one is null."""
     named = cities.select(F.trim("name").alias("_name"), F.col("cityid").alias("_cityid"))
-    met = offers.drop("cityid").join(F.broadcast(named), F.col("city") == F.col("_name"), "left")  # the dimension has a few hundred rows
+    met = offers.drop("cityid").join(named, F.col("city") == F.col("_name"), "left")
     return met.withColumn("cityid", F.when(F.col("city").contains(","), "multi").otherwise(F.col("_cityid"))).drop("_name", "_cityid")
 
 
 def city_of_link(links: DataFrame, cities: DataFrame, key: str, text: str) -> DataFrame:
     """``key, city``: the first part of a link's text that is a city; else the smallest city that the text holds."""
     parts = links.select(key, F.posexplode(F.split(text, "/")).alias("pos", "part")).filter(F.char_length("part") >= 2)
-    names = F.broadcast(cities.select(F.trim("name").alias("name"), "cityid"))  # a few hundred rows
+    names = cities.select(F.trim("name").alias("name"), "cityid")
     whole = parts.join(names, F.col("part") == F.col("name")).groupBy(key).agg(F.min_by("name", "pos").alias("city"))
     rest = links.filter(F.exists(F.split(text, "/"), lambda p: F.char_length(p) >= 3)).join(whole, key, "left_anti")
     held = rest.join(names, F.col(text).contains(F.col("name"))).groupBy(key).agg(F.min_by("name", "cityid").alias("city"))
@@ -79,7 +79,7 @@ def city_of_link(links: DataFrame, cities: DataFrame, key: str, text: str) -> Da
 
 def known_cities(tokens: DataFrame, cities: DataFrame, key: str) -> DataFrame:
     """``key, pos, cityid``: the tokens (``key, pos, token``) that are city ids, numbered anew in their order; repeated ones stay."""
-    ids = F.broadcast(cities.select("cityid").distinct())  # a few hundred rows
+    ids = cities.select("cityid").distinct()
     held = tokens.join(ids, F.col("token") == F.col("cityid"), "left_semi")
     turn = F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1
     return held.select(key, turn.alias("pos"), F.col("token").alias("cityid"))

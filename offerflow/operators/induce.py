@@ -30,7 +30,7 @@ def apply_template(nodes: DataFrame, template: dict[str, str]) -> DataFrame:
     """``page_id`` and the text at each path, of pages on which all paths resolve. ``nodes`` are node rows with ``path``."""
     paths = {p: t for t, p in template.items()}
     tag = F.create_map(*[F.lit(x) for p, t in paths.items() for x in (p, t)])[F.col("path")]
-    found = nodes.filter(F.col("path").isin(*paths) & (F.col("kind") == "tag")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct(tag, "text"))).alias("info"))
+    found = nodes.filter(F.col("path").isin(*paths) & (F.col("kind") == "tag")).groupBy("page_id", tag.alias("tag")).agg(F.min_by("text", "ord").alias("text")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "text"))).alias("info"))
     return found.filter(F.size("info") == len(paths)).select("page_id", *[F.col("info")[t].alias(t) for t in template])
 
 
@@ -88,7 +88,7 @@ def choose_config(sites: DataFrame, configs: DataFrame) -> DataFrame:
 def apply_first(nodes: DataFrame, templates: list[dict[str, str]]) -> DataFrame:
     """``page_id, template, info``: the first of the templates all of whose paths resolve on a page, and the texts there by tag; pages that none fits are left out."""
     paths = sorted({p for t in templates for p in t.values()})
-    found = nodes.filter(F.col("path").isin(*paths) & (F.col("kind") == "tag")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("at"))
+    found = nodes.filter(F.col("path").isin(*paths) & (F.col("kind") == "tag")).groupBy("page_id", "path").agg(F.min_by("text", "ord").alias("text")).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("at"))
     number = info = None
     for k, t in enumerate(templates):
         fits = F.forall(F.array(*map(F.lit, t.values())), lambda p: F.map_contains_key("at", p))

@@ -1,7 +1,7 @@
 """Keyed snapshots: differences, upserts, change logs.
 
 Parquet tables have no merge statement, so each operator returns the new
-snapshot (or the changes) as a DataFrame; ``sources.tables`` swaps it in.
+snapshot (or the changes) as a DataFrame; ``streaming.feed`` writes the buckets that changed.
 """
 
 from __future__ import annotations
@@ -92,8 +92,8 @@ def checked(changes: DataFrame, key: str) -> DataFrame:
     return changes
 
 
-def apply_changes(base: DataFrame, changes: DataFrame, key: str, strict: bool = False) -> DataFrame:
-    """The snapshot after folded changes; columns of a change that are null keep their value. Strict: an error if one has an ``error``; else they are applied as far as they go."""
+def apply_changes(base: DataFrame, changes: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """The snapshot after folded changes; columns of a change that are null keep their value. A change with an ``error`` raises; if not strict, changes are applied as far as they go."""
     if strict:
         changes = checked(changes, key)
     deleted = changes.filter("op = 'delete'").select(key)

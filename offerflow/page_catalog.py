@@ -69,7 +69,8 @@ def address_enrichment(spark, d):
     kind = F.col("c_custkey") % 3
     point = F.concat_ws(",", (F.col("c_nationkey") + F.lit(10.5)).cast("string"), (F.col("c_custkey") % 100 + F.lit(20.25)).cast("string"))
     image = F.concat(F.lit('<img src="http://maps.google.com/m?size=9&amp;markers='), point, F.lit('">'))
-    said = F.format_string("<p>call us</p><p>Address：No. %d street district road</p>", "c_custkey")
+    # The words that are no address: three of them before a colon, with two after it.
+    said = F.format_string("<p>call us</p><p>street district road：street road only</p><p>Address：No. %d street district road</p>", "c_custkey")
     details = F.when(kind == 0, F.lit("<p>street and road only</p>")).when(kind == 1, F.concat(said, image)).otherwise(F.concat(said, F.lit('<img src="http://maps.google.com/m?markers=1.5,2.5">')))
     city = F.when(F.col("c_custkey") % 5 == 0, F.lit("NATION_1,NATION_2")).otherwise(F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")))
     rows = read(spark, d, "customer").select(F.col("c_name").alias("url"), city.alias("city"), F.lit("<b>known</b>").alias("address"), details.alias("addrdetails"), image.alias("mapimg"), F.lit(True).alias("html_flag"))
@@ -148,13 +149,13 @@ def crawl_to_a_depth(spark, d):
 
 @query(f"SELECT page_id, {_TITLE} AS title FROM pages WHERE {_TITLE} <> ''")
 def template_application(spark, d):
-    return induce.apply_template(markup.html_nodes(read(spark, d, "pages")), {"title": "/html/head/title"}).filter("title <> ''")
+    return induce.apply_template(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(path="/html/head/title")), {"title": "/html/head/title"}).filter("title <> ''")
 
 
 @query(f"SELECT page_id, unnest({_HREF}[1:2]) AS href FROM pages")
 def first_links(spark, d):
     """The first two links of a page that begin with a slash or a scheme."""
-    found = markup.find_all(markup.html_nodes(read(spark, d, "pages")), "a", {"href": re.compile(".")}, limit=2)
+    found = markup.find_all(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name="a")), "a", {"href": re.compile(".")}, limit=2)
     return found.select("page_id", F.col("attrs")["href"].alias("href"))
 
 

@@ -5,16 +5,17 @@ All sites run in one job: ``siteid`` is a column, not a loop.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import dedup, merge
 from ..schemas import OFFERS, coerce
-from ..sources import markup
+from ..sources import feeds, markup
 
 Stage = Callable[..., DataFrame]
 STAGES: dict[str, Stage] = {}
@@ -30,6 +31,31 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"the stage needs {sorted(missing)}")
 
 
+@stage
+def city_addresses(df, env, cityurl, url, param, batchquery="0", anchor="shenzhen", samples=("beijing", "shanghai", "shenzhen", "hangzhou")):
+    """``siteid, batch, url``: the feeds of the cities that a site's page of cities lists, eleven at a time with ``batchquery`` 1, else one.
+
+    ``cityurl`` may hold the site as ``%s``; ``pages(url, html)`` are the pages that could be read. A site whose page is missing, or names fewer than three of the samples, has no feeds.
+    """
+    need(df, "siteid")
+    sites = df.select("siteid").distinct().withColumn("_page", F.replace(F.lit(cityurl), F.lit("%s"), F.col("siteid")))
+    pages = sites.join(env["pages"], F.col("_page") == F.col("url")).select("siteid", "html")
+    nodes = markup.html_nodes(pages, "siteid", wanted=markup.Wanted(text=re.escape(anchor)))
+    listed = dedup.known_cities(markup.city_list(nodes, anchor, list(samples), key="siteid"), env["cities"], "siteid")
+    return dedup.batch_urls(listed, url, param, 11 if str(batchquery) == "1" else 1, ["siteid"])
+
+
+@stage
+def read_feeds(df, env):
+    """The records of the feeds at ``url``, with the site; ``feeds(url, xml)`` are those that could be read. ``ord`` numbers a site's records by address and place in the feed."""
+    need(df, "siteid", "url")
+    met = df.select("siteid", "url").join(env["feeds"], "url").select(F.struct("siteid", "url").alias("feed"), "xml")
+    found = feeds.parse_feeds(met.withColumn("feed_id", F.to_json("feed")), "feed_id", "xml")
+    of = F.from_json("feed_id", "siteid string, url string")
+    place = F.row_number().over(Window.partitionBy("siteid").orderBy("_from", "item"))
+    return found.withColumns({"siteid": of["siteid"], "_from": of["url"]}).withColumn("ord", place).drop("feed_id", "_from", "item")
+
+
 @stage
 def remove_duplicates(df, env):
     need(df, "siteid", "title", "city", "ord")

@@ -1,19 +1,23 @@
 """Tolerant markup: HTML or XML text as node rows, from one pass over each page.
 
 The tree is built from the events of the standard library's parser; a page
-gives rows ``(ord, parent, depth, kind, name, path, attrs, text, string, begin, end)``,
-of which the last two are character places in the markup.
+gives rows ``(ord, parent, last, depth, kind, name, path, attrs, text, string, begin, end, said_from, said_to, said)``:
+``last`` is the last node below, ``begin`` and ``end`` are character places in the markup, ``said_from``
+and ``said_to`` those in the page's joined and stripped texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.charsets import decode_markup  # noqa: F401 - reading bytes is part of reading markup
 
 # How elements nest. Void elements have no content; quoted ones hold plain text; others close what they reset.
 VOID = frozenset(["br", "hr", "input", "img", "meta", "spacer", "link", "frame", "base", "col"])
@@ -28,7 +32,8 @@ RESETS = BLOCK | frozenset(NESTS_IN) | frozenset(["address", "form", "p", "pre",
 STAYS = {n: RESETS - {n} for n in RESETS} | {n: frozenset(homes) for n, homes in NESTS_IN.items()} | dict.fromkeys(INLINE | BLOCK, frozenset())
 #: Start tags that do not end an open element of their own name.
 NESTS = INLINE | BLOCK | frozenset(NESTS_IN)
-NODE = "ord int, parent int, depth int, kind string, name string, path string, attrs map<string,string>, text string, string string, begin int, end int"
+NODE = "ord int, parent int, last int, depth int, kind string, name string, path string, attrs map<string,string>, text string, string string, begin int, end int, said_from int, said_to int, said string"
+_TYPES = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string()), "binary": pa.binary()}
 
 
 class _Builder(HTMLParser):
@@ -145,44 +150,116 @@ class _Builder(HTMLParser):
         self._other("cdata" if data.startswith("CDATA[") else "decl", data.removeprefix("CDATA["))
 
 
-def parse(markup: str, xml: bool = False) -> list[dict]:
-    """The node rows of a text in document order; tags get the joined and stripped text below them, and their only text."""
+def parse(markup: str, xml: bool = False, texts: bool = True) -> list[dict]:
+    """The node rows of a text in document order; tags get the joined and stripped text below them, and their only text.
+
+    Without ``texts`` they get neither: the first row has all that the page says (``said``), of which a tag's text is the part from
+    ``said_from`` to ``said_to``.
+    """
     builder = _Builder(xml, markup)
     builder.feed(markup)
     builder.close()
     builder._flush(len(markup))
-    rows = builder.rows
-    children: list[list] = [[] for _ in rows]
-    below: list[list] = [[] for _ in rows]
+    rows, pieces, size = builder.rows, [], 0
+    for row in rows:
+        row["said_from"], row["last"], row["said"] = size, row["ord"], None
+        if row["kind"] != "tag":
+            pieces.append(row["text"].strip())
+            size += len(pieces[-1])
+        row["said_to"] = size
     for row in reversed(rows):
-        k, parent = row["ord"], row["parent"]
+        if row["parent"] >= 0:
+            above = rows[row["parent"]]
+            above["last"] = max(above["last"], row["last"])
+    whole = "".join(pieces)
+    for row in rows:
+        row["string"] = row["text"]
         if row["kind"] == "tag":
-            row["text"] = "".join(reversed(below[k]))
-            row["string"] = children[k][0]["text"] if len(children[k]) == 1 and children[k][0]["kind"] != "tag" else None
-            said = below[k]
-        else:
-            row["string"], said = row["text"], [row["text"].strip()]
-        if parent >= 0:
-            children[parent].append(row)
-            below[parent].extend(said)
+            row["said_to"] = rows[row["last"]]["said_to"]
+            if texts:
+                row["text"] = whole[row["said_from"] : row["said_to"]]
+                only = rows[row["last"]]  # a tag's only node is the one after it
+                row["string"] = only["text"] if row["last"] == row["ord"] + 1 and only["kind"] != "tag" else None
+    if rows and not texts:
+        rows[0]["said"] = whole
     return rows
 
 
-def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html", xml: bool = False) -> DataFrame:
-    """Node rows of every page; null is a page without nodes."""
-    names = [x.split()[0] for x in NODE.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32()]
+def add_digests(rows: list[dict]) -> None:
+    """Give each row the digest of its subtree: of its kind, name, attributes in order, text, and its children's digests in order."""
+    below: list[list] = [[] for _ in rows]
+    for row in reversed(rows):
+        own = [row["kind"], row["name"] or "", *(x for pair in row["attrs"].items() for x in pair)] if row["kind"] == "tag" else [row["kind"], row["text"]]
+        hashed = hashlib.blake2b(digest_size=16)
+        for part in own:
+            data = part.encode("utf-8", "surrogatepass")
+            hashed.update(b"%d:" % len(data) + data)
+        for digest in reversed(below[row["ord"]]):
+            hashed.update(digest)
+        row["digest"] = hashed.digest()
+        if row["parent"] >= 0:
+            below[row["parent"]].append(row["digest"])
+
+
+@dataclass(frozen=True)
+class Wanted:
+    """Which nodes leave the parse: tags by name, attributes and path, as ``find_all`` takes them, or with ``text`` the texts in which that pattern is found.
+
+    With ``below`` all nodes below them leave it too.
+    """
+
+    name: object = None
+    attrs: object = None
+    path: object = None
+    text: str | None = None
+    below: bool = False
+
+    def rows(self, rows: list[dict]) -> list[dict]:
+        kept, until = [], -1
+        for row in rows:
+            if row["ord"] <= until:
+                kept.append(row)
+            elif self._fits(row):
+                kept.append(row)
+                until = row["last"] if self.below else until
+        return kept
+
+    def _fits(self, row: dict) -> bool:
+        if self.text is not None:
+            return row["kind"] != "tag" and re.search(self.text, row["text"]) is not None
+        if row["kind"] != "tag" or self.name is not None and not _is(row["name"], self.name) or self.path is not None and not _is(row["path"], self.path):
+            return False
+        if isinstance(self.attrs, str):
+            return self.attrs in re.split(r"\s+", row["attrs"].get("class", ""))
+        return all(_is(row["attrs"].get(k), want) for k, want in (self.attrs or {}).items())
+
+
+def _is(value: str | None, want) -> bool:
+    if want is True or want is None:
+        return (value is not None) is bool(want)
+    if isinstance(want, (list, tuple, set, frozenset)):
+        return value in want
+    return value is not None and want.search(value) is not None if isinstance(want, re.Pattern) else value == want
+
+
+def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html", xml: bool = False, wanted: Wanted | None = None, texts: bool = True, digests: bool = False) -> DataFrame:
+    """Node rows of every page; null is a page without nodes. ``wanted`` limits which rows leave the parse, and ``digests`` adds a ``digest`` of each node's subtree."""
+    fields = [x.split() for x in (NODE + ", digest binary" * digests).split(", ")]
     key_type = dict(pages.dtypes)[key]
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):  # a page at a time: its nodes are many rows
-                rows = parse(batch.column(1)[k].as_py() or "", xml)
+                rows = parse(batch.column(1)[k].as_py() or "", xml, texts)
+                if digests:
+                    add_digests(rows)
+                if wanted is not None:
+                    rows = wanted.rows(rows)
                 if rows:
-                    columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows], t) for n, t in zip(names, kinds)]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), batch.column(0).type), *columns], [key, *names])
+                    columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows], _TYPES[t]) for n, t in fields]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), batch.column(0).type), *columns], [key, *(n for n, _ in fields)])
 
-    return pages.select(key, column).mapInArrow(run, f"{key} {key_type}, {NODE}")
+    return pages.select(key, column).mapInArrow(run, f"{key} {key_type}, {', '.join(map(' '.join, fields))}")
 
 
 def find_all(nodes: DataFrame, name: str | list[str] | None = None, attrs: dict | str | None = None, limit: int = 0, below: DataFrame | None = None, key: str = "page_id") -> DataFrame:
@@ -208,8 +285,9 @@ def find_all(nodes: DataFrame, name: str | list[str] | None = None, attrs: dict
         for k, v in (attrs or {}).items():
             found = found.filter(fits(F.col("attrs")[k], v))
     if below is not None:
-        tops = below.select(F.col(key).alias("_key"), F.concat("path", F.lit("/")).alias("_top")).distinct()
-        found = found.join(tops, F.col(key).eqNullSafe(F.col("_key")) & F.col("path").startswith(F.col("_top")), "left_semi")
+        from ..operators.structure import inside_any
+
+        found = inside_any(found, below, key)
     if limit:
         from pyspark.sql import Window
 
@@ -230,16 +308,20 @@ def find_text(nodes: DataFrame, pattern: str) -> DataFrame:
     return nodes.filter((F.col("kind") != "tag") & F.col("text").rlike(pattern))
 
 
-def ancestors(nodes: DataFrame, of: DataFrame, key: str = "page_id") -> DataFrame:
-    """``key, ord, ancestor`` for the nodes ``of``: the tags whose paths begin theirs, the nearest first by ``depth``."""
-    below = of.select(F.col(key).alias("_key"), F.col("ord").alias("_ord"), "path", "kind")
-    steps = below.select("_key", "_ord", F.explode(F.sequence(F.lit(2), F.size(F.split("path", "/")))).alias("n"), "path", "kind")
-    parts = F.slice(F.split("path", "/"), F.lit(1), F.col("n"))
-    above = steps.select("_key", "_ord", F.array_join(parts, "/").alias("_path"), (F.col("kind") == "tag").alias("tag"), (F.col("n") == F.size(F.split("path", "/"))).alias("own"))
-    above = above.filter(~(F.col("tag") & F.col("own")))  # a tag is no ancestor of itself
-    tags = nodes.filter("kind = 'tag'").select(key, F.col("ord").alias("ancestor"), "name", "depth", "path")
-    met = above.join(tags, (F.col("_key") == F.col(key)) & (F.col("_path") == F.col("path")))
-    return met.select(key, F.col("_ord").alias("ord"), "ancestor", "name", "depth")
+def ancestors(nodes: DataFrame, of: DataFrame, key: str = "page_id", name: str | list[str] | None = None) -> DataFrame:
+    """``key, ord, ancestor, name, depth`` for the nodes ``of``: the tags around each, or those of a name; the nearest is the deepest."""
+    from ..operators.structure import contained
+
+    tags = find_all(nodes, name)
+    met = contained(of, tags, key).withColumnRenamed("top", "ancestor")
+    return met.join(tags.select(key, F.col("ord").alias("ancestor"), "name", "depth"), [key, "ancestor"]).select(key, "ord", "ancestor", "name", "depth")
+
+
+def descendants(nodes: DataFrame, of: DataFrame, key: str = "page_id", name: str | list[str] | None = None) -> DataFrame:
+    """``key, ord, descendant`` for the nodes ``of``: the tags below each, or those of a name."""
+    from ..operators.structure import contained
+
+    return contained(find_all(nodes, name), of, key).select(key, F.col("top").alias("ord"), F.col("ord").alias("descendant"))
 
 
 def quota_cells(nodes: DataFrame, labels: dict[str, str], key: str = "page_id") -> DataFrame:
@@ -291,27 +373,39 @@ def siblings(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 def extract_fields(pages: DataFrame, specs: dict[str, str], key: str = "page_id", column: str = "html") -> DataFrame:
     """``key`` and a column for each field: the markup of the first node at ``path:/a/b`` or with ``attr:value``; null where there is none.
 
-    Pages without tags are left out. Of pages that repeat a key any one is read.
+    Fields are cut out where a page is parsed, so that no page travels. Pages without tags are left out. Of pages that repeat a key any one is read.
     """
     def matches(spec):
         kind, _, value = spec.partition(":")
-        return F.col("path") == value.replace("[1]", "") if kind == "path" else F.col("attrs")[kind] == value
+        return Wanted(path=value.replace("[1]", "")) if kind == "path" else Wanted(attrs={kind: value})
+
+    wanted = {n: matches(s) for n, s in specs.items()}
+    key_type = dict(pages.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            keys, fields = [], []
+            for k, html in enumerate(batch.column(1)):
+                said = html.as_py() or ""
+                rows = parse(said, texts=False)
+                if any(r["kind"] == "tag" for r in rows):
+                    keys.append(k)
+                    first = (next(iter(w.rows(rows)), None) for w in wanted.values())
+                    fields.append([r and said[r["begin"] : r["end"]] for r in first])
+            if keys:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *(pa.array(c, pa.string()) for c in zip(*fields))], [key, *wanted])
 
-    pages = pages.select(key, column).dropDuplicates([key])
-    tags = html_nodes(pages, key, column).filter("kind = 'tag'")
-    places = tags.groupBy(F.col(key).alias("_key")).agg(*[F.min_by(F.struct("begin", "end"), F.when(matches(s), F.col("ord"))).alias(n) for n, s in specs.items()])
-    part = lambda n: F.substring(F.col("_html"), F.col(f"{n}.begin") + 1, F.col(f"{n}.end") - F.col(f"{n}.begin"))
-    met = places.join(pages.select(key, F.col(column).alias("_html")), F.col("_key").eqNullSafe(F.col(key)))
-    return met.select(key, *[part(n).alias(n) for n in specs])
+    found = pages.select(key, column).mapInArrow(run, ", ".join([f"{key} {key_type}", *(f"`{n}` string" for n in wanted)]))
+    return found.dropDuplicates([key])
 
 
 def find_address(nodes: DataFrame, words: list[str], least: int = 3, key: str = "page_id") -> DataFrame:
-    """The first text node with enough address words, what follows its first full-width colon."""
+    """The first text node of five characters at least that has enough address words after its first full-width colon: what follows that; a text without one is taken whole."""
     from ..functions.text import after_colon
 
-    hits = sum((F.col("text").contains(w).cast("int") for w in words), F.lit(0))
-    texts = nodes.filter((F.col("kind") == "text") & (F.char_length("text") >= 5) & (hits >= least))
-    return texts.groupBy(key).agg(F.min_by(after_colon(F.col("text")), "ord").alias("address"))
+    texts = nodes.filter((F.col("kind") == "text") & (F.char_length("text") >= 5)).withColumn("_said", after_colon(F.col("text")))
+    hits = sum((F.col("_said").contains(w).cast("int") for w in words), F.lit(0))
+    return texts.filter(hits >= least).groupBy(key).agg(F.min_by("_said", "ord").alias("address"))
 
 
 def map_markers(nodes: DataFrame, key: str = "page_id") -> DataFrame:
@@ -322,27 +416,3 @@ def map_markers(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     images = find_all(nodes, "img").select(key, "ord", source.alias("src")).filter(url_host(F.col("src")).contains("google"))
     pairs = images.withColumn("geoinfo", coordinate_pairs(query_part(F.col("src"), "markers="))).filter("geoinfo <> ''")
     return pairs.groupBy(key).agg(F.min_by("geoinfo", "ord").alias("geoinfo"))
-
-
-def _decode(data: bytes, declared: str | None = None) -> str:
-    """BOM, then what the markup declares, then the usual encodings in turn."""
-    if data is None:
-        return None
-    for bom, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if data.startswith(bom):
-            return data.decode(name, "replace")
-    found = re.search(rb"""\A\s*<\?xml[^>]*encoding=["']([\w.-]+)|<meta[^>]+charset=["']?([\w.-]+)""", data)
-    named = next((g.decode() for g in found.groups() if g), None) if found else None
-    for name in (declared, named, "ascii", "gb2312", "gb18030"):
-        try:
-            if name:
-                return data.decode(name)
-        except (LookupError, UnicodeDecodeError):
-            continue
-    return data.decode("utf-8", "ignore")
-
-
-@F.arrow_udf(T.StringType())
-def decode_markup(data: pa.Array) -> pa.Array:
-    """Bytes of unknown encoding as text."""
-    return pa.array([_decode(x) for x in data.to_pylist()], pa.string())

@@ -1,9 +1,4 @@
-"""Versioned snapshot tables.
-
-A version is a folder of its own, so that a snapshot can be computed from the
-one before it; a table's current version is the last one with a success mark.
-All of it goes through Spark's file system, local or not.
-"""
+"""Tables that hold what is worked on, in the folder that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -11,8 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..schemas import table
-
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the driver and all executors share; on one machine without such a setting, a local one."""
@@ -27,34 +20,3 @@ def cut(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class SnapshotTable:
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.name, self.path = spark, name, f"{root.rstrip('/')}/{name}"
-        self.schema, self.key = table(name)
-
-    def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(folder)]
-        return sorted(int(n[2:]) for n, p in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """The newest snapshot, or an older one; an empty one before the first."""
-        found = self.versions()
-        if version is None and not found:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1] if version is None else version}")
-
-    def write(self, snapshot: DataFrame, sort_by: list[str] | None = None) -> int:
-        """Add a version. Sorting within files lets the listing skip what it does not need."""
-        version = (self.versions() or [0])[-1] + 1
-        rows = snapshot.select(*self.schema.fieldNames())
-        if sort_by:
-            rows = rows.repartition(sort_by[0]).sortWithinPartitions(*sort_by)
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        return version

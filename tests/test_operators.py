@@ -1,6 +1,7 @@
 """Merges, listings, deduplication, control, crawl, induction, pipelines and streams on small tables."""
 
 import datetime
+import shutil
 import random
 
 import pytest
@@ -10,8 +11,7 @@ from offerflow import schemas
 from offerflow.functions import geo, price, text
 from offerflow.operators import control, crawl, dedup, induce, listing, merge
 from offerflow.plans import pipeline
-from offerflow.sources.tables import SnapshotTable
-from offerflow.streaming.feed import event_counts, merge_batches
+from offerflow.streaming.feed import event_counts, merge_batches, merge_into, read_snapshot, write_snapshot
 
 
 def one(spark, column):
@@ -147,19 +147,6 @@ def test_reconcile_takes_a_match_once(spark):
     assert rows(merge.vanished(feed, store, ["siteid", "url"]), "url") == [("gone",)]
 
 
-def test_snapshot_versions(spark, tmp_path):
-    table = SnapshotTable(spark, f"file://{tmp_path}", "sites")
-    assert table.read().count() == 0
-    now = datetime.datetime(2024, 1, 1)
-    first = spark.createDataFrame([("a", "s", now, None, None, None)], table.schema)
-    assert table.write(first) == 1
-    changed = merge.upsert(table.read(), spark.createDataFrame([("a", "t"), ("b", "t")], "siteid string, updateserver string"), "siteid")
-    assert table.write(changed, ["siteid"]) == 2  # computed from the version before it
-    assert rows(table.read(), "siteid", "updateserver") == [("a", "t"), ("b", "t")] and table.read(1).count() == 1
-    with pytest.raises(ValueError):
-        SnapshotTable(spark, "x", "nothing")
-
-
 def test_types(spark):
     df = spark.createDataFrame([("a\nb", "a\nb", "1,200.5", "7", "1300000000.9", "kept")], "title string, city string, original string, bought string, starttime string, other string")
     r = schemas.coerce(df, schemas.OFFERS).first()
@@ -400,16 +387,37 @@ def test_addresses_and_places_from_markup(spark):
 
 def test_stream_of_feeds(spark, tmp_path):
     source, schema = f"file://{tmp_path}/in", "url string, siteid string, title string, bought long, ord int"
-    target = SnapshotTable(spark, f"file://{tmp_path}/store", "offers")
-    run = lambda: merge_batches(spark, source, spark.createDataFrame([], schema).schema, target, f"file://{tmp_path}/checkpoint").awaitTermination()
+    store, kept = f"file://{tmp_path}/store", schemas.OFFERS
+    write_snapshot(spark.createDataFrame([], kept), store, "url", 4)
+    run = lambda: merge_batches(spark, source, spark.createDataFrame([], schema).schema, store, kept, "url", f"file://{tmp_path}/checkpoint", buckets=4).awaitTermination()
+    found = lambda: rows(read_snapshot(spark, store, kept), "url", "title", "bought")
     spark.createDataFrame([("u", "s", "One", 1, 1), ("v", "s", "Two", 2, 2), ("u", "s", None, 3, 3)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    assert rows(target.read(), "url", "title", "bought") == [("u", "One", 3), ("v", "Two", 2)]
+    assert found() == [("u", "One", 3), ("v", "Two", 2)]
     spark.createDataFrame([("v", "s", "New", None, 4), ("w", "s", "Three", 9, 5)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    assert rows(target.read(), "url", "title", "bought") == [("u", "One", 3), ("v", "New", 2), ("w", "Three", 9)]
+    assert found() == [("u", "One", 3), ("v", "New", 2), ("w", "Three", 9)]
     run()  # nothing new
-    assert target.versions() == [1, 2]
+    assert found() == [("u", "One", 3), ("v", "New", 2), ("w", "Three", 9)]
+
+
+def test_a_merge_writes_the_buckets_that_it_touches(spark, tmp_path):
+    store, kept = f"file://{tmp_path}/store", schemas.OFFERS
+    some = lambda *rows: spark.createDataFrame([], kept).unionByName(spark.createDataFrame(rows, "url string, title string"), allowMissingColumns=True)
+    write_snapshot(some(*((f"u{k}", f"t{k}") for k in range(200))), store, "url", 8)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("part-*")}
+    before = files()
+    change = spark.createDataFrame([("u7", "new")], "url string, title string")
+    merge_into(spark, store, kept, change, "url", f"file://{tmp_path}/staged", 8)
+    changed = {p.parent for p in set(before.items()) ^ set(files().items()) for p in [p[0]]}
+    assert len(changed) == 1 and len({p.parent for p in before}) == 8
+    whole = dict(read_snapshot(spark, store, kept).select("url", "title").collect())
+    assert whole == {f"u{k}": f"t{k}" for k in range(200)} | {"u7": "new"}
+    # A bucket that is lost while buckets are exchanged comes back when the batch is run again.
+    shutil.rmtree(tmp_path / changed.pop())
+    assert read_snapshot(spark, store, kept).count() < 200
+    merge_into(spark, store, kept, change, "url", f"file://{tmp_path}/staged", 8)
+    assert dict(read_snapshot(spark, store, kept).select("url", "title").collect()) == whole
 
 
 def test_event_windows_over_a_stream(spark, tmp_path):
