@@ -9,7 +9,9 @@ long ones do. Registers are banded 32 times 8 for a threshold of 85 of 100 and
 0.9 2e-8, and with the second shape at 0.8 3e-6.
 
 Documents with equal sets are one class from the start. Sharing a band ties
-classes into clusters; each cluster is then resolved exactly. Its classes lie in
+classes into clusters. A cluster that is more than a block is split again by full sets:
+two that are as similar as asked share one of their rarest shingles, so that a passage
+in common ties nothing. Each cluster is then resolved exactly. Its classes lie in
 blocks of bounded size, ordered by set size, and a task takes two blocks: the
 registers give a Jaccard estimate, corrected for accidental collisions, and what
 it does not rule out, and no found link joins yet, is verified on full sets.
@@ -36,6 +38,8 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 #: Deviations by which an estimate may fall short before a pair is ruled out.
 MARGIN = 5.0
+#: Counters of how many texts hold a shingle, 8 bytes each, in which shingles of one hash prefix share one.
+COUNT_BITS = 20
 #: Of shingles, with ``BLOCK_EXTRA`` more for each class, in a block.
 BLOCK_WEIGHT, BLOCK_EXTRA = 1 << 19, 2048
 
@@ -164,7 +168,11 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     The shared bands are a table of their own, and always met by a sort and a merge, so that a band with a third of all
     classes can be split there and no size of the input changes the plan.
     """
-    keys = classes.select(F.explode("bands").alias("key"), F.col("digest").alias("node"))
+    return tied(classes.select(F.explode("bands").alias("key"), F.col("digest").alias("node")))
+
+
+def tied(keys: DataFrame) -> DataFrame:
+    """``node, root`` of the nodes that share keys (``key, node``)."""
     least = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most"))
     return connected_components(keys.join(least.hint("merge"), "key").select(F.col("node").alias("u"), F.col("least").alias("v")), rank=lambda node: node)
 
@@ -183,6 +191,66 @@ def block_members(members: DataFrame) -> DataFrame:
     return placed.select("root", "node", "doc_id", "n_shingles", F.floor(place / BLOCK_WEIGHT).alias("block"), F.floor((F.col("all") - 1) / BLOCK_WEIGHT).alias("last_block"))
 
 
+def prefix_size(n: int, percent: int) -> int:
+    """How many of a set's first members, in any order that all sets share, hold one of every set that is as similar as that."""
+    return n + 1 - -(-n * percent // 100)
+
+
+def set_members(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``root, node, shingles``: the full sets of classes, each text read once."""
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "of_id").join(members.select("root", "node", "doc_id").hint("merge"), F.col("of_id").eqNullSafe(F.col("doc_id")))
+
+    def run(batches):
+        for batch in slices(batches):
+            kept, sets = [], []
+            for k, (node, text) in enumerate(zip(batch.column(1).to_pylist(), utf8(batch.column(2)))):
+                s = shingles(text, WIDTH)
+                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node:  # else another text with the same id
+                    kept.append(k)
+                    sets.append(s.tobytes())
+            if kept:
+                take = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sets, pa.binary())], ["root", "node", "shingles"])
+
+    return texts.select("root", "node", "text").mapInArrow(run, "root binary, node binary, shingles binary")
+
+
+def split_clusters(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """``node, root``: what is left of clusters when only classes stay together that share a shingle of their prefixes.
+
+    Shingles are ordered by how many texts hold them, so that a prefix has a set's rarest: texts that have a passage in common, and
+    not much else, share none. How many hold a shingle is counted by a part of its hash, in a table of fixed size; that several count as one
+    changes the order, which is the same for all texts, and so loses no link.
+    """
+    sets = cut(set_members(docs, members))
+
+    def count(batches):
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(64 - COUNT_BITS), 1)
+        held = np.flatnonzero(total)
+        for a in range(0, len(held), 1 << 16):
+            part = held[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+
+    counted = sets.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    often = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in counted.toArrow().to_batches():  # no more than the table's size
+        often[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                s = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64)
+                order = np.lexsort((s, shared.value[s >> np.uint64(64 - COUNT_BITS)]))
+                keys = s[order[: prefix_size(len(s), percent)]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(keys), pa.binary()), pa.array(keys)], ["node", "key"])
+
+    return tied(sets.select("node", "shingles").mapInArrow(prefixes, "node binary, key long"))
+
+
 def verified_links(docs: DataFrame, blocks: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``u, v``: spanning links within clusters, from full sets of their classes' texts."""
     # A block meets only those whose set sizes allow the similarity.
@@ -237,9 +305,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketched = cut(sketch(docs, percent))
     classes = sketched.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = cut(classes)
-    clusters = candidate_clusters(classes)
-    members = clusters.join(classes.select(F.col("digest").alias("node"), "doc_id", "n_shingles"), "node")
-    blocks = cut(block_members(cut(members)))
+    of_node = classes.select(F.col("digest").alias("node"), "doc_id", "n_shingles")
+    blocks = cut(block_members(cut(candidate_clusters(classes).join(of_node, "node"))))
+    left = split_clusters(docs, blocks.filter("last_block > 0"), percent)
+    blocks = cut(blocks.filter("last_block = 0").unionByName(block_members(cut(left.join(of_node, "node")))))
     found = connected_components(verified_links(docs, blocks, percent), rank=lambda node: node)
     named = cut(found.join(classes.select(F.col("digest").alias("node"), "doc_id"), "node").select("node", "root", "doc_id"))
     smallest = cut(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
