@@ -2,17 +2,17 @@
 
 For every participant of a conversation the dialogue is rendered once, with that
 speaker as the assistant and the others as named users; the mask covers what the
-assistant says. A dialogue is one row for each participant. One of more than
-``most_turns`` turns goes on in further rows, as a row has to fit in memory and a
-conversation may hold any share of all turns.
+assistant says. A dialogue is one row for each participant, as long as it may be; only
+where ``most_turns`` is given does a longer one go on in further rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_TURNS = 1024
+#: What would look like a mark in a name, and what stands for it; the first is what the others begin with.
+ESCAPES = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"), ("\r", "%0D"), ("\n", "%0A"))
 #: Turn numbers whose turns are numbered together.
 STEP = 64
 UNNAMED = "unknown"
@@ -33,28 +33,36 @@ def places(rows: DataFrame) -> DataFrame:
     return met.withColumn("place", F.col("above") + F.col("within")).drop("of", "of_step", "above", "within", "step")
 
 
-def rotate_perspectives(turns: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
+def label(name: Column) -> Column:
+    """A name as it stands in a mark; different names stay different."""
+    for plain, escaped in ESCAPES:
+        name = F.replace(name, F.lit(plain), F.lit(escaped))
+    return name
+
+
+def rotate_perspectives(turns: DataFrame, most_turns: int | None = None) -> DataFrame:
     """``conv_id, part, perspective, n_turns, n_targets, text, mask``.
 
     ``text`` has a line ``<|assistant|>`` or ``<|user:NAME|>``, the words and
     ``<|end|>`` for each turn; ``mask`` has ``start:end`` character places in
     ``text`` of the assistant's words with their end mark, joined by commas.
-    ``<|`` in words becomes ``<||``, and ``|``, ``<``, ``>`` and line ends in names
-    become ``_``, so that nothing said looks like a mark. Participants are all of the
-    conversation, so a part in which one is silent has an empty mask. ``part`` counts
-    the rows of a dialogue from 0, each of ``most_turns`` turns. Rows of one turn number are
+    ``<|`` in words becomes ``<||``, and ``|``, ``<``, ``>``, ``%`` and line ends in names
+    are written as ``%`` and two hexadecimal digits, so that nothing said looks like a mark and no
+    two names get one label. Participants are all of the conversation. ``part`` is 0; with
+    ``most_turns`` it counts the rows of a dialogue, each of so many turns, and one in which a
+    participant is silent has an empty mask. Rows of one turn number are
     ordered by role and text and repeated rows stay. A null role is ``unknown``, a null text
     empty, a null conversation a conversation of its own; a null turn sorts
     first. No turns: no rows.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(UNNAMED)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = places(rows).withColumn("part", F.floor(F.col("place") / most_turns).cast("long"))
+    rows = places(rows).withColumn("part", F.floor(F.col("place") / most_turns).cast("long") if most_turns else F.lit(0).cast("long"))
     said = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", F.replace("text", F.lit("<|"), F.lit("<||")).alias("text")))).alias("said"))
     speakers = rows.select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct()
     both = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
 
     own = lambda t: t["role"] == F.col("perspective")
-    head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), F.regexp_replace(t["role"], r"[|<>\r\n]", "_"), F.lit("|>\n")))
+    head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user:"), label(t["role"]), F.lit("|>\n")))
     tail = lambda t: F.concat(t["text"], F.lit("<|end|>"))
     pieces = F.transform("said", lambda t: F.struct(head(t).alias("head"), tail(t).alias("tail"), own(t).alias("own")))
     length = lambda p: F.char_length(p["head"]) + F.char_length(p["tail"]) + 1
@@ -71,6 +79,10 @@ def rotate_perspectives(turns: DataFrame, most_turns: int = MOST_TURNS) -> DataF
     )
 
 
+_LABEL = "role"
+for _plain, _escaped in ESCAPES:
+    _LABEL = f"replace({_LABEL}, chr({ord(_plain)}), '{_escaped}')"
+
 ORACLE = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '{UNNAMED}') AS role, coalesce(text, '') AS text FROM conversations
@@ -78,8 +90,8 @@ WITH t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS number FROM t
 ), s AS (SELECT DISTINCT conv_id AS of_conv, role AS perspective FROM t
 ), p AS (
-  SELECT conv_id, number // {MOST_TURNS} AS part, number, perspective, role = perspective AS own,
-         CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user:' || regexp_replace(role, '[|<>\\r\\n]', '_', 'g') || '|>' || chr(10) END AS head,
+  SELECT conv_id, 0 AS part, number, perspective, role = perspective AS own,
+         CASE WHEN role = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user:' || {_LABEL} || '|>' || chr(10) END AS head,
          replace(text, '<|', '<||') || '<|end|>' AS tail
   FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.of_conv
 ), q AS (

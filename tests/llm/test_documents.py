@@ -95,6 +95,61 @@ def test_chains_and_hubs_over_blocks(spark, monkeypatch):
     assert ordered(found) == ordered(brute_components(rows, 85))
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_large_clusters_are_split_without_loss(spark, monkeypatch, percent):
+    """Texts that share three quarters of their words, some with near copies, in clusters of many blocks."""
+    rng = random.Random(9)
+    common = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(250):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([5, 9, 12, 20]))]
+        text = common + own
+        rows.append((k, " ".join(text)))
+        if k % 5 == 0:
+            text[rng.randrange(len(text))] = f"x{k}"
+            rows.append((1000 + k, " ".join(text)))
+    monkeypatch.setattr(hyperminhash, "BLOCK_WEIGHT", 1 << 14)
+    monkeypatch.setattr(hyperminhash, "COUNT_BITS", 8)  # many shingles count as one
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = [tuple(r) for r in hyperminhash.near_duplicates(df, percent).collect()]
+    assert ordered(found) == ordered(brute_components(rows, percent))
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_no_link_is_lost_on_ten_thousand_documents(spark, percent):
+    """Against an exact join on the rarest shingles of each set."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets, first = {}, {}
+    for i, text in pairs(docs):
+        s = shingles((text or "").encode())
+        if len(s):
+            sets.setdefault(s.tobytes(), s)
+            first[s.tobytes()] = min(i, first.get(s.tobytes(), i))
+    often = Counter(x for s in sets.values() for x in s.tolist())
+    held, up, linked = {}, {k: k for k in sets}, 0
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for key, s in sets.items():
+        rarest = sorted(s.tolist(), key=lambda x: (often[x], x))[: len(s) + 1 - -(-len(s) * percent // 100)]
+        for other in {o for x in rarest for o in held.get(x, ())}:
+            shared = len(np.intersect1d(s, sets[other], assume_unique=True))
+            if 100 * shared >= percent * (len(s) + len(sets[other]) - shared):
+                linked += 1
+                up[find(key)] = find(other)
+        for x in rarest:
+            held.setdefault(x, []).append(key)
+    least = {}
+    for key in sets:
+        least[find(key)] = min(first[key], least.get(find(key), first[key]))
+    expected = {(first[key], least[find(key)]) for key in sets}
+    found = {(r.doc_id, r.component_id) for r in hyperminhash.near_duplicates(docs, percent).collect()}
+    assert linked > 10 and expected <= found
+
+
 def test_shingles_count_as_sets_do(documents):
     for _, text in pairs(documents):
         assert len(shingles((text or "").encode())) == len(shingle_set(text))
@@ -250,6 +305,44 @@ def test_pairs_of_terms_that_are_neutral_alone(pair):
     assert ((toxicity.fit(*make(1600, 1)).scores(lists) > 0.5) == labels).mean() > 0.95
 
 
+def rare_pair(n, together, probes=200):
+    """Texts of which a tenth holds each of two terms that are neutral alone; with both they are toxic, as otherwise one in twelve is."""
+    rng = np.random.default_rng(1)
+    say = lambda *more: toxicity.terms(" ".join([*(f"common{k}" for k in rng.integers(0, 500, 40)), *more]).encode())
+    lists, labels = [], []
+    for k in range(n):
+        u = rng.random()
+        lists.append(say("outsiders", "vermin") if k < together else say("outsiders") if u < 0.1 else say("vermin") if u < 0.2 else say())
+        labels.append(float(k < together or rng.random() < 0.08))
+    return toxicity.fit(lists, np.array(labels)), {words: [say(*words) for _ in range(probes)] for words in ((), ("outsiders",), ("vermin",), ("outsiders", "vermin"))}
+
+
+@pytest.mark.parametrize(("n", "together"), [(4000, 30), (16_000, 30)])
+def test_rare_pairs_of_neutral_terms(n, together):
+    model, probes = rare_pair(n, together)
+    means = {words: model.scores(lists).mean() for words, lists in probes.items()}
+    assert means["outsiders", "vermin"] > 0.5 and max(v for k, v in means.items() if len(k) < 2) < 0.2
+
+
+def test_no_pair_begins_where_none_tells(spark):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(1, 200, 20)) for _ in range(3000)]
+    labels = (rng.random(3000) < 0.1).astype(float)
+    texts, toxic = (np.bincount(np.concatenate(rows), w, 200) for w in (None, np.repeat(labels, [len(x) for x in rows])))
+    assert toxicity.telling_pairs(rows, labels, texts, toxic, labels.mean()) == []
+    assert toxicity.telling_pairs([], labels[:0], texts * 0, toxic * 0, 0.1) == []
+
+
+def test_scores_are_sums_over_pairs(spark, documents):
+    """Against the definition: the bias, the weights, and the product of the factors of each two terms."""
+    model = toxicity.train(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    for _, text in pairs(documents)[:60]:
+        known = [k for k in model.slot[toxicity.terms((text or "").encode())].tolist() if k > 0]
+        z = model.bias + sum(model.w[k] for k in known)
+        z += sum(float(model.v[i] @ model.v[j]) for a, i in enumerate(known) for j in known[:a])
+        assert model.scores([toxicity.terms((text or "").encode())])[0] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
 def test_training_takes_all_terms_of_long_texts(spark, monkeypatch):
     """The toxic word's hash is above that of nearly all others, of which each text has thousands."""
     last = max((f"z{k}" for k in range(1000)), key=lambda w: toxicity.terms(w.encode())[0])

@@ -33,6 +33,7 @@ def test_all_queries():
 
 
 def brute_rotation(rows, size):
+    size = size or 1 << 30
     turns, speakers = defaultdict(list), defaultdict(set)
     for conv, turn, role, text in rows:
         role = "unknown" if role is None else role
@@ -47,7 +48,7 @@ def brute_rotation(rows, size):
                 text, spans = "", []
                 for _, _, role, t in some:
                     t = t.replace("<|", "<||")
-                    text += "<|assistant|>\n" if role == who else "<|user:" + re.sub(r"[|<>\r\n]", "_", role) + "|>\n"
+                    text += "<|assistant|>\n" if role == who else "<|user:" + re.sub(r"[%|<>\r\n]", lambda m: f"%{ord(m[0]):02X}", role) + "|>\n"
                     if role == who:
                         spans.append(f"{len(text)}:{len(text) + len(t) + 7}")
                     text += t + "<|end|>\n"
@@ -58,7 +59,7 @@ def brute_rotation(rows, size):
 def test_rotation(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in turns.collect()]
-    for size in (chat.MOST_TURNS, 3):
+    for size in (None, 3):
         assert ordered(map(tuple, chat.rotate_perspectives(turns, size).collect())) == brute_rotation(rows, size)
 
 
@@ -67,13 +68,26 @@ def test_rotation_of_odd_turns(spark):
     rows += [(5, 60 + k, "ab"[k % 2], f"turn {k}") for k in range(10)]  # across a step of turn numbers
     rows += [(6, 0, "eve|>\n<|assistant", "fine <|end|>\n<|user:ann|>\nno"), (6, 1, "ann", "<||a<|<|")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("chunk", "part", "said", "of", "perspective", "pieces", "number", "mask", "step", "place", "n", "within", "above", "of_step")})
-    for size in (4, chat.MOST_TURNS):
+    for size in (4, None):
         assert ordered(map(tuple, chat.rotate_perspectives(turns, size).collect())) == brute_rotation(rows, size)
     whole = [r for r in chat.rotate_perspectives(turns).collect() if r.conv_id in (5, 6)]
     assert len(whole) == 4 and all(r.text.count("<|end|>\n") == r.n_turns for r in whole)
     assert chat.rotate_perspectives(turns.limit(0)).count() == 0
 
 
+def test_names_that_look_alike_get_labels_of_their_own(spark):
+    names = ["a|b", "a<b", "a_b", "a>b", "a%7Cb", "a\nb", "ann"]
+    turns = spark.createDataFrame([(1, k, n, "hi") for k, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    texts = {r.perspective: r.text for r in chat.rotate_perspectives(turns).collect()}
+    assert len(set(re.findall(r"<\|user:([^|]*)\|>", texts["ann"]))) == 6
+
+
+def test_a_long_dialogue_is_one_row(spark):
+    turns = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "ann").otherwise("bob").alias("role"), F.lit("so").alias("text"))
+    assert [(r.part, r.n_turns, r.n_targets) for r in chat.rotate_perspectives(turns).collect()] == [(0, 3000, 1500)] * 2
+    assert chat.rotate_perspectives(turns, 1000).count() == 6
+
+
 def test_the_mask_covers_what_the_assistant_says(spark):
     turns = spark.createDataFrame([(1, 0, "ann", "naïve 🙂"), (1, 1, "bob", "漢字"), (1, 2, "ann", "bye")], "conv_id long, turn long, role string, text string")
     for r in chat.rotate_perspectives(turns).collect():
