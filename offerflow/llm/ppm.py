@@ -145,19 +145,31 @@ def gram_costs(grams: DataFrame, rows: DataFrame, order: int) -> DataFrame:
     shared = rows.join(of_context, ["order", "context"])
     seen = shared.filter(F.col("order") == order).select("key", F.log10(F.col("n") / (F.col("all") + F.col("kinds"))).cast("float").alias("cost"), "n")
 
-    # Grams of the order itself that training lacks, and those at the starts of texts.
+    # Grams of the order itself that training lacks, and those at the starts of texts, at each order that they reach. The contexts of
+    # orders 0 and 1 are few, whatever the corpus, and most grams escape to them: they are broadcast, and only longer ones meet in a shuffle.
+    low = min(1, order)
     start = F.col("key") < (1 << BITS * order)
-    levels = grams.filter((F.col("n") == 0) | start).select("key", F.col("n").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(order))).alias("order"))
-    levels = levels.filter((F.col("order") == 0) | (F.col("key") >= _by_order([1 << BITS * k for k in range(order + 1)])))
+    wanted = grams.filter((F.col("n") == 0) | start).select("key", F.col("n").alias("own"))
+    reached = F.filter(F.array(*map(F.lit, range(low + 1, order + 1))).cast("array<int>"), lambda k: F.col("key") >= F.element_at(F.array(*[F.lit(1 << BITS * k) for k in range(order + 1)]), k + 1))
+    levels = wanted.select("key", "own", F.explode_outer(reached).alias("order"))
     part = F.col("key").bitwiseAND(_by_order([(1 << BITS * (k + 1)) - 1 for k in range(order + 1)]))
     levels = levels.select(F.col("key").alias("of"), "own", "order", part.alias("key"), F.shiftright(part, BITS).alias("context"))
     # How often the next shorter context had the symbols that a context has seen.
-    needed = rows.join(levels.select("context").distinct(), "context", "left_semi").filter("order > 0")
+    needed = rows.join(levels.select("context").distinct(), "context", "left_semi").filter(F.col("order") > low)
     shorter = F.col("key").bitwiseAND(_by_order([(1 << BITS * k) - 1 for k in range(order + 1)]))
     upper = needed.select("context", shorter.alias("key")).join(rows.select("key", "n"), "key").groupBy("context").agg(F.sum("n").alias("above"))
-    met = levels.join(rows.select("key", "n"), "key", "left").join(of_context.drop("order"), "context", "left").join(upper, "context", "left")
+    met = levels.join(rows.filter(F.col("order") > low).select("key", "n"), "key", "left").join(of_context.filter(F.col("order") > low).drop("order"), "context", "left").join(upper, "context", "left")
     at = lambda c, k: F.max(F.when(F.col("order") == k, F.col(c))).alias(f"{c}{k}")
-    wide = met.groupBy("of").agg(F.max("own").alias("own"), *[at(c, k) for c in ("n", "all", "kinds", "above") for k in range(order + 1)])
+    wide = met.groupBy("of").agg(F.max("own").alias("own"), *[at(c, k) for c in ("n", "all", "kinds", "above") for k in range(low + 1, order + 1)])
+    few = cut(rows.filter(F.col("order") <= low).join(of_context, ["order", "context"]))  # 257 + 257 * 257 rows at most
+    for k in range(low + 1):
+        here = F.col("of").bitwiseAND((1 << BITS * (k + 1)) - 1)
+        wide = wide.withColumn("_key", F.when(F.lit(k == 0) | (F.col("of") >= 1 << BITS * k), here)).withColumn("_context", F.shiftright("_key", BITS))
+        of_order = few.filter(F.col("order") == k)
+        above = of_order.select("context", F.col("key").bitwiseAND((1 << BITS * k) - 1).alias("key")).join(few.filter(F.col("order") == k - 1).select("key", "n"), "key").groupBy("context").agg(F.sum("n").alias("above"))
+        contexts = of_order.select("context", "all", "kinds").distinct().join(above, "context", "left")
+        wide = wide.join(F.broadcast(of_order.select(F.col("key").alias("_key"), F.col("n").alias(f"n{k}"))), "_key", "left")
+        wide = wide.join(F.broadcast(contexts.select(F.col("context").alias("_context"), F.col("all").alias(f"all{k}"), F.col("kinds").alias(f"kinds{k}"), F.col("above").alias(f"above{k}"))), "_context", "left").drop("_key", "_context")
     spare = rows.filter("order = 0").select("symbol").distinct().count()
     unseen = cost = F.lit(1.0 / max(1, SYMBOLS - spare))  # given the escape of the context; by the longest context there is
     for k in range(order + 1):
