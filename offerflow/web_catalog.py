@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from .catalog import part_pages, query
 from .functions import charsets
-from .operators import crawl, structure, updates, versions
-from .plans import induction, pipeline
-from .plans.views import read
+from .operators import crawl, dedup, structure, updates, versions
+from .plans import induction, pipeline, views
+from .plans.views import SNAPSHOTS, read
 from .sources import feeds, markup
 
 # Induction
@@ -247,6 +247,15 @@ def keyword_lists(spark, d):
     return found.select("site", "attribute", F.array_join(F.sort_array("keywords"), ";").alias("keywords"))
 
 
+@query(f"""{SNAPSHOTS}, s AS (SELECT siteid, title, city, url, ord, 0 AS late FROM stored UNION ALL SELECT siteid, title, city, url, ord, 1 FROM feed),
+c AS (SELECT siteid, title, city, min((late, ord)) AS first FROM s GROUP BY ALL)
+SELECT siteid, title, list_reduce(list(city ORDER BY first), lambda acc, c: CASE WHEN contains(acc, c) THEN acc ELSE acc || ',' || c END) AS city, (SELECT arg_min(url, (late, ord)) FROM s WHERE s.siteid = c.siteid AND s.title = c.title) AS url FROM c GROUP BY siteid, title""")
+def fold_onto_a_store(spark, d):
+    """The feed folded onto what is stored: stored rows come first and take the cities that they lack."""
+    columns = ["siteid", "title", "city", "url", "ord"]
+    return dedup.fold_onto(views.stored(spark, d).select(columns), views.feed(spark, d).select(columns), ["siteid", "title"]).select("siteid", "title", "city", "url")
+
+
 # Versions
 
 _VERSIONS = """WITH changes AS (SELECT o_orderpriority AS siteid, o_custkey AS url, year(o_orderdate) AS version, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'create' WHEN 'O' THEN 'update' ELSE 'delete' END AS op,
