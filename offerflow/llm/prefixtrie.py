@@ -34,6 +34,8 @@ BLOCK, FAN = 1 << 14, 64
 FAMILY, MOST_HEAD = 5, 9
 #: Bytes of joined ids that are hashed as one row.
 CHUNK = 1 << 20
+#: Rows that a task gathers before it passes them on.
+BATCH = 5000
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
@@ -233,23 +235,28 @@ def pass_over(items, last: bool):
 
     def flush():
         if last:
-            out.extend((*n, *[None] * _OPENS) for n in outline.end())
+            yield from ((*n, *[None] * _OPENS) for n in outline.end())
         else:
-            out.extend((*[None] * _NODES, *place, k, value, merged, *run.fields()) for k, (value, merged, run) in enumerate(outline.items()))
-
-    for group, part, block, value, merged, run, leaf in items:
-        if group != now:
-            if now is not None:
-                flush()
-            now, outline, place = group, Outline(), (part, block)
-        out.extend((*n, *[None] * _OPENS) for n in outline.add(value, merged, run))
-        if leaf is not None:
-            out.extend((*n, *[None] * _OPENS) for n in chain(run, leaf, len(run.first) // TOKEN, 0))
-        if len(out) > 5000:
+            yield from ((*[None] * _NODES, *place, k, value, merged, *run.fields()) for k, (value, merged, run) in enumerate(outline.items()))
+
+    def rows():
+        nonlocal now, outline, place
+        for group, part, block, value, merged, run, leaf in items:
+            if group != now:
+                if now is not None:
+                    yield from flush()
+                now, outline, place = group, Outline(), (part, block)
+            yield from ((*n, *[None] * _OPENS) for n in outline.add(value, merged, run))
+            if leaf is not None:
+                yield from ((*n, *[None] * _OPENS) for n in chain(run, leaf, len(run.first) // TOKEN, 0))
+        if now is not None:
+            yield from flush()
+
+    for row in rows():
+        out.append(row)
+        if len(out) == BATCH:
             yield _batch(out, BOTH)
-            out.clear()
-    if now is not None:
-        flush()
+            out = []
     if out:
         yield _batch(out, BOTH)
 
