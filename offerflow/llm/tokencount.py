@@ -43,12 +43,12 @@ def read_cache(spark, cache: str) -> DataFrame:
 def encode_misses(docs: DataFrame, path: str, version: str, cache: str) -> None:
     """Append the counts of the distinct contents that the cache lacks.
 
-    Copies are dropped before the shuffle as well as after it, so that a text
-    with a third of all rows is one row of each task.
+    Copies are dropped in each task before contents meet each other or the
+    cache, so that a text with a third of all rows is one row of each task.
     """
     known = read_cache(docs.sparkSession, cache).filter(F.col("version") == version).select("digest")
     texts = id_and_text(docs).select(content_digest(F.col("text")).alias("digest"), "text")
-    misses = texts.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    misses = texts.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
 
     def run(batches):
         enc = encoder(path)
