@@ -472,6 +472,17 @@ def sync_fan_out(spark, d):
     return control.sync_work(views.site_times(spark, d), views.servers(spark, d))
 
 
+@query(f"""{SERVERS} SELECT 'server' || c.s_suppkey AS address, CASE WHEN c.s_suppkey % 4 = 0 THEN 'user' ELSE 'extractor' END AS servertype, h.n_name AS siteid, t.lastupdate,
+  CAST(CASE WHEN c.s_suppkey = 1 THEN 45 ELSE cents % 43 END AS DOUBLE) AS cpu_usage, CAST(cents % 37 AS DOUBLE) AS incomming_bandwidth FROM c LEFT JOIN held h ON h.s_suppkey = c.s_suppkey
+  LEFT JOIN (SELECT n_name, CASE WHEN n_nationkey % 5 <> 0 THEN min(ts) END AS lastupdate FROM nation LEFT JOIN events ON user_id % 30 = n_nationkey GROUP BY n_name, n_nationkey) t ON t.n_name = h.n_name""")
+def status_report(spark, d):
+    """All servers with the rows of their sites, as each reports them."""
+    servers = views.servers(spark, d)
+    held = control.with_load(servers).select("address", F.explode("tasks").alias("siteid"))
+    found = control.status_report(servers, held.join(views.site_times(spark, d).select("siteid", "lastupdate"), "siteid"))
+    return found.select("address", "servertype", "siteid", "lastupdate", "cpu_usage", "incomming_bandwidth")
+
+
 @query(f"{SERVERS} SELECT DISTINCT site FROM held2")
 def task_union(spark, d):
     return control.with_load(views.servers(spark, d)).select(F.explode("tasks").alias("site")).distinct()

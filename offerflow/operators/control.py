@@ -101,5 +101,15 @@ def merge_report(sites: DataFrame, report: DataFrame, server: str) -> DataFrame:
 
 
 def sync_work(sites: DataFrame, servers: DataFrame) -> DataFrame:
-    """Each site with each front-end server, whose number is small: the pairs to replicate."""
-    return sites.select("siteid", "updateserver").join(F.broadcast(servers.filter("servertype = 'user'").select("address")), F.lit(True))
+    """Each site with each front-end server: the pairs to replicate. The product is the result itself."""
+    return sites.select("siteid", "updateserver").join(servers.filter("servertype = 'user'").select("address"), F.lit(True))
+
+
+def status_report(servers: DataFrame, sites: DataFrame) -> DataFrame:
+    """What servers report of themselves: all columns of each of their sites, with the server's kind and quota loads.
+
+    ``servers(address, servertype, ...quotas)``, ``sites(address, siteid, ...)``. A server without sites reports one row of loads, whose
+    site is null; sites of unknown servers report nothing, and a load that was not measured is 0.
+    """
+    loads = [F.coalesce(F.col(q), F.lit(0.0)).alias(q) for q in QUOTAS]
+    return servers.select("address", "servertype", *loads).join(sites, "address", "left")

@@ -67,13 +67,30 @@ def cities_of(offers: DataFrame, cities: DataFrame) -> DataFrame:
     return met.withColumn("cityid", F.when(F.col("city").contains(","), "multi").otherwise(F.col("_cityid"))).drop("_name", "_cityid")
 
 
+#: Names and texts meet by this many characters at most.
+GRAM = 3
+
+
+def names_within(rows: DataFrame, names: DataFrame, key: str, text: str, name: str = "name") -> DataFrame:
+    """``key`` and the columns of ``names`` for each name that the text of a row holds; an empty name is in none.
+
+    A name is filed under its first three characters (a shorter one under itself), and a text under each run of one to three of its
+    characters, so that the two meet in an equal join, whichever of them is large; what met is then held against the whole name.
+    """
+    starts = F.sequence(F.lit(1), F.char_length(text))
+    runs = F.flatten(F.transform(F.filter(starts, lambda p: F.char_length(text) > 0), lambda p: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(text, p, n))))
+    filed = names.filter(F.char_length(name) > 0).withColumn("_gram", F.substring(name, 1, GRAM))
+    met = rows.select(key, text, F.explode(F.array_distinct(runs)).alias("_gram")).join(filed, "_gram")
+    return met.filter(F.col(text).contains(F.col(name))).select(key, *names.columns)
+
+
 def city_of_link(links: DataFrame, cities: DataFrame, key: str, text: str) -> DataFrame:
     """``key, city``: the first part of a link's text that is a city; else the smallest city that the text holds."""
     parts = links.select(key, F.posexplode(F.split(text, "/")).alias("pos", "part")).filter(F.char_length("part") >= 2)
     names = cities.select(F.trim("name").alias("name"), "cityid")
     whole = parts.join(names, F.col("part") == F.col("name")).groupBy(key).agg(F.min_by("name", "pos").alias("city"))
     rest = links.filter(F.exists(F.split(text, "/"), lambda p: F.char_length(p) >= 3)).join(whole, key, "left_anti")
-    held = rest.join(names, F.col(text).contains(F.col("name"))).groupBy(key).agg(F.min_by("name", "cityid").alias("city"))
+    held = names_within(rest, names, key, text).groupBy(key).agg(F.min_by("name", "cityid").alias("city"))
     return whole.unionByName(held)
 
 

@@ -81,8 +81,7 @@ def title_before(nodes: DataFrame, anchors: DataFrame, currency: str) -> DataFra
 def choose_config(sites: DataFrame, configs: DataFrame) -> DataFrame:
     """``site, config``: of ``configs(ord, config, pattern, region)`` the first whose pattern is found in a site (``site, region``); a null region fits all."""
     fits = F.regexp_like("site", F.col("pattern")) & (F.col("_region").isNull() | (F.col("region") == F.col("_region")))
-    few = F.broadcast(configs.withColumnRenamed("region", "_region"))  # one row for each kind of site
-    return sites.join(few, fits).groupBy("site").agg(F.min_by("config", "ord").alias("config"))
+    return sites.join(configs.withColumnRenamed("region", "_region"), fits).groupBy("site").agg(F.min_by("config", "ord").alias("config"))
 
 
 def apply_first(nodes: DataFrame, templates: list[dict[str, str]]) -> DataFrame:

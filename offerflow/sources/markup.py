@@ -104,6 +104,9 @@ class _Builder(HTMLParser):
         return True
 
     def handle_starttag(self, tag, attrs):
+        if attrs and self.get_starttag_text().endswith("/>"):  # the slash after a value without quotation marks ends the tag
+            name, value = attrs[-1]
+            return self.handle_startendtag(tag, [*attrs[:-1], (name, value and value.removesuffix("/"))])
         if self._quoted():
             return
         row = self._start(tag, attrs)
@@ -138,7 +141,14 @@ class _Builder(HTMLParser):
         self._add(kind, None, data, begin)["end"] = self.markup.find(">", begin + len(data)) + 1 or len(self.markup)
 
     def handle_comment(self, data):
-        self._other("comment", data)
+        """A comment; or a declaration or comment that has blanks after its first two characters, as what it is without them."""
+        said = data.lstrip() if self.markup.startswith("<!", self.at()) and not self.markup.startswith("<!--", self.at()) else ""
+        if said in (data, ""):
+            self._other("comment", data)
+        elif said.startswith("--") and said.endswith("--") and len(said) > 3:
+            self._other("comment", said[2:-2])
+        else:
+            self._other("decl", said)
 
     def handle_decl(self, data):
         self._other("decl", data)

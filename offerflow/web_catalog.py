@@ -191,6 +191,15 @@ def node_rows(spark, d):
     return nodes.select("page_id", "ord", "parent", "last", "depth", "kind", "name", "path", "text", "string")
 
 
+@query("""SELECT p_partkey AS page_id, ord, parent, kind, name, href, text FROM part, LATERAL (VALUES (0, -1, 'decl', NULL, NULL, 'DOCTYPE d' || p_size), (1, -1, 'tag', 'div', NULL, p_name || p_size), (2, 1, 'tag', 'a', 'x/' || p_partkey, ''),
+  (3, 1, 'text', NULL, NULL, p_name), (4, 1, 'tag', 'a', 'y/', ''), (5, 1, 'comment', NULL, NULL, p_size::VARCHAR)) v(ord, parent, kind, name, href, text)""")
+def malformed_tags(spark, d):
+    """Parts as small pages whose tags end in a slash right after a value, and whose declarations and comments begin with a blank."""
+    html = F.format_string('<! DOCTYPE d%d><div><a href=x/%d/>%s<a href="y/"/><! --%d--></div>', "p_size", "p_partkey", "p_name", "p_size")
+    nodes = markup.html_nodes(read(spark, d, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html")))
+    return nodes.select("page_id", "ord", "parent", "kind", "name", F.col("attrs")["href"].alias("href"), "text")
+
+
 # Pages as stages of configured pipelines
 
 

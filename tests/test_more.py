@@ -59,3 +59,40 @@ def test_jobs(spark):
     after = {r.siteid: (r.lastupdate, r.error) for r in control.complete(sites, results, F.lit(now)).collect()}
     assert after == {"a": (now, None), "b": (then, "late"), "c": (then, "old")}
     assert {r.enqueuetime for r in control.enqueue(sites, F.lit(now)).collect()} == {now}
+
+
+def test_names_within_texts_equal_a_plain_search(spark):
+    names = ["a", "ab", "abc", "abcd", "bcd", "京", "北京", "x/y", "", None, "dd", "abc"]
+    texts = ["", None, "a", "zabcdz", "ABC", "在北京买", "x/y/z", "ddd", "ab ab ab", "q" * 3000 + "bcd", "zz"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    listed = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    found = sorted(tuple(r) for r in dedup.names_within(rows, listed, "k", "t").collect())
+    assert found == sorted((k, i, n) for k, t in enumerate(texts) if t for i, n in enumerate(names) if n and n in t)
+    assert dedup.names_within(rows.limit(0), listed, "k", "t").count() == dedup.names_within(rows, listed.limit(0), "k", "t").count() == 0
+
+
+def test_names_and_texts_meet_in_an_equal_join(spark, capsys):
+    rows = spark.range(5).select(F.col("id").alias("k"), F.lit("to abc").alias("t"))
+    dedup.names_within(rows, spark.createDataFrame([("abc",)], "name string"), "k", "t").explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_status_reports_of_servers_with_and_without_sites(spark):
+    servers = spark.createDataFrame([("s1", "user", 1.0, None), ("s2", "extractor", 2.0, 3.0)], "address string, servertype string, cpu_usage double, datastore double")
+    servers = servers.withColumns({"outgoing_bandwidth": F.lit(0.5), "incomming_bandwidth": F.lit(0.25)})
+    sites = spark.createDataFrame([("s1", "a", "x"), ("s1", "b", None), ("s9", "c", None)], "address string, siteid string, error string")
+    found = control.status_report(servers, sites)
+    assert found.columns == ["address", "servertype", "cpu_usage", "outgoing_bandwidth", "incomming_bandwidth", "datastore", "siteid", "error"]
+    rows = sorted(((r.address, r.servertype, r.datastore, r.siteid or "", r.error) for r in found.collect()), key=str)
+    assert rows == [("s1", "user", 0.0, "a", "x"), ("s1", "user", 0.0, "b", None), ("s2", "extractor", 3.0, "", None)]
+
+
+def test_malformed_tags_are_read_as_what_they_are_without_the_fault():
+    tags = lambda text, xml=False: [(r["kind"], r["name"], r["attrs"], r["text"], r["parent"]) for r in markup.parse(text, xml)]
+    for wrong, right in (("<p><a href=x/>t</p>", "<p><a href='x' />t</p>"), ("<br/>t", "<br />t"), ("<a b=1 c=2/><i>t</i>", "<a b=1 c=2 /><i>t</i>"), ("<! DOCTYPE html>t", "<!DOCTYPE html>t"), ("<! \n--c-->t", "<!--c-->t")):
+        assert tags(wrong) == tags(right)
+    assert tags("<a href=x/><b>t</b></a>", True) == tags("<a href='x' /><b>t</b></a>", True)
+    assert tags('<a href="x/">t</a>')[0][2] == {"href": "x/"}  # a slash within quotation marks is part of the value
+    assert tags("<!-- c -->")[0][3] == " c " and tags("<!---->")[0][3] == "" and tags("<! >")[0][0] == "comment"
+    assert tags("<script>if (a <b c=d/> e) f</script>")[1][3] == "if (a <b c=d/> e) f"
