@@ -23,6 +23,16 @@ def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (),
     return url.startswith("http://") & of_host & of_path
 
 
+def admitted_by(url: Column, policy: str = "policy") -> Column:
+    """The same by a row's own policy, a struct with the fields of ``feeds.POLICY``."""
+    host, path = url_host(url), F.when(url_path(url) == "", "/").otherwise(url_path(url))
+    of = F.col(policy)
+    starts = lambda text, patterns: F.exists(patterns, lambda p: F.regexp_like(text, F.concat(F.lit("^(?:"), p, F.lit(")"))))
+    any_host = (F.size(of["domains"]) == 0) & (F.size(of["domain_patterns"]) == 0)
+    of_host = any_host | F.array_contains(of["domains"], host) | starts(host, of["domain_patterns"])
+    return url.startswith("http://") & of_host & ((F.size(of["path_patterns"]) == 0) | starts(path, of["path_patterns"]))
+
+
 def start(urls: DataFrame, restored: DataFrame | None = None) -> DataFrame:
     """The frontier that a crawl begins from, ``url, depth, linktext, visited``: the rows restored, if there are any given, else the start addresses at depth 0."""
     if restored is not None:
@@ -36,7 +46,7 @@ def crawl(frontier: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages
     Each round takes the unvisited pages of the least depth, those restored at that depth with those found there, joins
     them to the edges and keeps what is not known. A page known already keeps its depth. The link text is that of the way by the
     smallest source. What a round finds is written as files of its own, and the pages known are these files together: no
-    round writes again what another found. Depth 0 of ``most_depth`` and 0 of ``most_pages``: no limit; of the pages of a round that are too many the first by address stay.
+    round writes again what another found. Where ``edges`` has a ``most_depth`` of its own, it limits the pages that the edge leaves from. Depth 0 of ``most_depth`` and 0 of ``most_pages``: no limit; of the pages of a round that are too many the first by address stay.
     """
     spark = frontier.sparkSession
     folder = work_folder(spark, "crawl")
@@ -65,7 +75,10 @@ def crawl(frontier: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages
         done.append(depth)
         if most_depth and depth + 1 >= most_depth:
             continue
-        steps = front.join(edges, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("src", F.concat_ws("/", "linktext", "text").alias("linktext"))).alias("way"))
+        steps = front.join(edges, F.col("url") == F.col("src"))
+        if "most_depth" in edges.columns:
+            steps = steps.filter((F.col("most_depth") == 0) | (F.col("most_depth") > depth + 1))
+        steps = steps.groupBy("dst").agg(F.min(F.struct("src", F.concat_ws("/", "linktext", "text").alias("linktext"))).alias("way"))
         new = steps.join(found.withColumnRenamed("url", "_known"), F.col("dst") == F.col("_known"), "left_anti")
         new = new.select(F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.col("way.linktext").alias("linktext"))
         if most_pages:
@@ -86,6 +99,25 @@ def reachable(seeds: DataFrame, edges: DataFrame, most_depth: int = 0, most_page
     return crawl(start(seeds), edges, most_depth, most_pages).select("url", "depth", "linktext")
 
 
+def crawl_sites(policies: DataFrame, links: DataFrame) -> DataFrame:
+    """``site, url, depth, linktext``: what each site's crawl finds by its policy (``feeds.POLICY``) over ``links(site, src, dst, text)``, the links of the pages read for it.
+
+    Start addresses need not be admitted. All sites go on in the same rounds; those that limit the number of their
+    pages, named by the configuration, go one by one. A site without a policy is not crawled; repeated links count once.
+    """
+    rows = policies.dropDuplicates(["site"]).select("site", F.struct(*[c for c in policies.columns if c != "site"]).alias("policy"))
+    at = lambda url: F.struct("site", F.col(url).alias("url"))
+    allowed = links.join(rows, "site").filter(admitted_by(F.col("dst")))
+    # Written once, so that rounds do not try the patterns on every link again.
+    edges = cut(allowed.select("site", at("src").alias("src"), at("dst").alias("dst"), "text", F.col("policy.maximum_depth").alias("most_depth")))
+    seeds = rows.select("site", F.col("policy.maximum_pages").alias("most_pages"), F.explode("policy.starturls").alias("url")).select("site", "most_pages", at("url").alias("url"))
+    found = crawl(start(seeds.filter("most_pages = 0").select("url")), edges)
+    for site, most in seeds.filter("most_pages > 0").select("site", "most_pages").distinct().collect():  # of a configuration
+        of = F.col("site") == site
+        found = found.unionByName(crawl(start(seeds.filter(of).select("url")), edges.filter(of), most_pages=most))
+    return found.select("url.site", "url.url", "depth", "linktext")
+
+
 def next_page(frontier: DataFrame) -> DataFrame:
     """The deepest unvisited page that came first."""
     return frontier.filter(~F.col("visited")).orderBy(F.desc("depth"), "ord").limit(1)

@@ -129,8 +129,9 @@ def parsed_points(spark, d):
     return read(spark, d, "customer").withColumn("point", geo.parse_point(said)).select("c_custkey", "point.lat", "point.lon")
 
 
-_POLICY = """<crawler><starturl>http://brand11.example.com/</starturl><domains><domain>brand33.example.com</domain><domain type="regex">brand1[12][.]</domain></domains>
-<path type="regex">/deal/[0-9]*7[.]html</path><maxdepth>3</maxdepth><maxpages>0</maxpages></crawler>"""
+_POLICY = """<?xml version="1.0" encoding="utf-8"?>
+<site id="brands"><starturls><url>http://brand11.example.com/</url></starturls><domains><s>brand33.example.com</s><p>brand1[12][.]</p></domains>
+<patterns><p>/deal/[0-9]*7[.]html</p></patterns><maxdepth>3</maxdepth><maxpages>0</maxpages></site>"""
 
 
 @query(f"{OFFERS} SELECT ord, 3::INT AS depth, regexp_matches(url, '^http://(brand1[12]|brand33)[.]example[.]com/deal/[0-9]*7[.]html') AS admitted FROM offers")

@@ -56,9 +56,25 @@ def pipeline_spec(text: str) -> dict[str, list[tuple[str, dict[str, str]]]]:
     return {site.get("id"): [(p.get("module"), {e.tag: (e.text or "").strip() for e in p}) for p in site.iter("processor")] for site in ET.fromstring(text).iter("site")}
 
 
+POLICY = "site string, starturls array<string>, domains array<string>, domain_patterns array<string>, path_patterns array<string>, maximum_depth int, maximum_pages int"
+
+
 def crawl_policy(text: str) -> dict:
-    """Start addresses, hosts, host and path patterns, depth and pages."""
-    root = ET.fromstring(text)
-    all_of = lambda tag, regex: [(e.text or "").strip() for e in root.iter(tag) if (e.get("type") == "regex") is regex and (e.text or "").strip()]
-    number = lambda tag: int(next((e.text for e in root.iter(tag) if e.text and re.match(r"\s*\d+\s*$", e.text)), 0))
-    return {"starturls": all_of("starturl", False), "domains": all_of("domain", False), "domain_patterns": all_of("domain", True), "path_patterns": all_of("path", True) + all_of("path", False), "maximum_depth": number("maxdepth"), "maximum_pages": number("maxpages")}
+    """The first of ``crawl_policies`` of a configuration."""
+    return _policies(text)[0]
+
+
+def crawl_policies(spark: SparkSession, *texts: str) -> DataFrame:
+    """A row of ``POLICY`` for each ``<site id>`` of the configurations: start addresses, hosts, patterns of hosts and of paths, depth and pages (0: no limit)."""
+    return spark.createDataFrame([tuple(policy.values()) for text in texts for policy in _policies(text)], POLICY)
+
+
+def _policies(text: str) -> list[dict]:
+    """Of each site ``<starturls><url>``, ``<domains>`` with ``<s>`` for a host and ``<p>`` for a pattern, ``<patterns><p>``, ``<maxdepth>`` and ``<maxpages>``; what is missing or empty limits nothing."""
+    root = ET.fromstring(text.strip().encode())
+    said = lambda site, path: [word for e in site.findall(path) if (word := (e.text or "").strip())]
+    number = lambda site, tag: int((said(site, tag) or [0])[0])
+    return [
+        {"site": site.get("id"), "starturls": said(site, "starturls/url"), "domains": said(site, "domains/s"), "domain_patterns": said(site, "domains/p"), "path_patterns": said(site, "patterns/p"), "maximum_depth": number(site, "maxdepth"), "maximum_pages": number(site, "maxpages")}
+        for site in root.iter("site")
+    ]

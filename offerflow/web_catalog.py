@@ -83,6 +83,25 @@ def frontier_escapes(spark, d):
     return found.select(F.col("p_partkey").cast("long").alias("p_partkey"), "name", F.nullif("other", F.lit("")).alias("other"))
 
 
+_POLICIES = """<sites><site id="one"><starturls><url>http://h1.example.com/part/1</url></starturls><domains><s>h0.example.com</s><s>h1.example.com</s><s>h2.example.com</s></domains><patterns/><maxdepth>6</maxdepth><maxpages>0</maxpages></site>
+<site id="two"><starturls><url>http://h1.example.com/part/1</url></starturls><domains><p>h[0-2]</p></domains><patterns><p>/part/[0-9]*[0-4]$</p><p>/part/[0-9]*[67]$</p></patterns><maxdepth>0</maxdepth><maxpages>0</maxpages></site>
+<site id="three"><starturls><url>http://h1.example.com/part/1</url></starturls><domains/><patterns/><maxdepth>3</maxdepth><maxpages>0</maxpages></site></sites>"""
+
+
+@query("""WITH RECURSIVE s(site, most) AS (VALUES ('one', 6), ('two', 0), ('three', 3)), e AS (SELECT p_partkey AS src, p_partkey * 2 + x AS dst, p_brand AS text FROM part, (VALUES (0), (1)) t(x)),
+r(site, most, k, depth, linktext) AS (SELECT site, most, 1::BIGINT, 0, '' FROM s UNION ALL SELECT site, most, dst, depth + 1, linktext || '/' || text FROM r JOIN e ON src = k
+  WHERE (most = 0 OR depth + 1 < most) AND CASE site WHEN 'one' THEN dst % 4 < 3 WHEN 'two' THEN dst % 4 < 3 AND dst % 10 IN (0, 1, 2, 3, 4, 6, 7) ELSE true END)
+SELECT site, 'http://h' || (k % 4) || '.example.com/part/' || k AS url, depth, linktext FROM r""")
+def crawl_by_policies(spark, d):
+    """Three sites crawled at once over the parts, each by its own hosts, paths and depth, as a configuration gives them."""
+    policies = feeds.crawl_policies(spark, _POLICIES)
+    url = lambda k: F.concat(F.lit("http://h"), (k % 4).cast("string"), F.lit(".example.com/part/"), k.cast("string"))
+    key = F.col("p_partkey")
+    links = read(spark, d, "part").select(F.explode(F.array(*map(F.lit, ("one", "two", "three")))).alias("site"), key, F.col("p_brand").alias("text"))
+    links = links.select("site", url(key).alias("src"), F.explode(F.array(url(key * 2), url(key * 2 + 1))).alias("dst"), "text")
+    return crawl.crawl_sites(policies, links)
+
+
 # Update states
 
 _UPDATES = """WITH RECURSIVE log AS (SELECT user_id AS siteid, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, event_id AS ord, 'v' || event_id AS said,

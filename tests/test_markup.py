@@ -137,8 +137,8 @@ def test_configurations(spark):
     words = feeds.keyword_map(spark, '<k><site id="s"><price>a</price><price>b</price><price>a</price><title/></site></k>').collect()
     assert [tuple(r) for r in words] == [("s", "price", ["a", "b"], 0)]
     assert feeds.pipeline_spec('<sites><site id="s"><processor module="remove_tail"><tail>?x</tail></processor><processor module="reconcile"/></site></sites>') == {"s": [("remove_tail", {"tail": "?x"}), ("reconcile", {})]}
-    policy = feeds.crawl_policy('<crawl><starturl>http://a</starturl><domain>a</domain><domain type="regex">b.*</domain><path type="regex">/d</path><maxdepth>3</maxdepth></crawl>')
-    assert policy == {"starturls": ["http://a"], "domains": ["a"], "domain_patterns": ["b.*"], "path_patterns": ["/d"], "maximum_depth": 3, "maximum_pages": 0}
+    policy = feeds.crawl_policy('<?xml version="1.0" encoding="utf-8"?><site id="x"><starturls><url>http://a</url></starturls><domains><s>a</s><p>b.*</p><s> </s></domains><patterns><p>/d</p></patterns><maxdepth>3</maxdepth></site>')
+    assert policy == {"site": "x", "starturls": ["http://a"], "domains": ["a"], "domain_patterns": ["b.*"], "path_patterns": ["/d"], "maximum_depth": 3, "maximum_pages": 0}
 
 
 PNG = b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")

@@ -329,3 +329,20 @@ def test_pages_that_could_not_be_read(spark):
     pages = spark.createDataFrame([("u1", "<h1>One</h1>"), ("u3", "<h1>Old</h1>"), ("u4", None), ("u5", "<p>no head")], "url string, html string")
     found = pipeline.run([("enrich_from_pages", {"head": "path:/h1"})], df, pages=pages)
     assert rows(found, "url", "html_flag", "head") == [("u1", True, "<h1>One</h1>"), ("u3", False, None), ("u4", True, None), ("u5", True, None)]
+
+
+def test_sites_are_crawled_by_their_own_policies(spark):
+    site = lambda name, inner: f'<site id="{name}"><starturls><url>http://a/0</url></starturls>{inner}</site>'
+    texts = [site("all", ""), site("host", "<domains><s>a</s></domains>"), site("pattern", "<domains><p>a</p></domains><patterns><p>/[0-9]$</p></patterns>"), site("deep", "<maxdepth>2</maxdepth>"), site("few", "<maxpages>3</maxpages>"), '<site id="none"/>']
+    policies = feeds.crawl_policies(spark, *texts)
+    edges = [("http://a/0", "http://a/1"), ("http://a/0", "http://ab/2"), ("http://a/1", "http://a/10"), ("http://a/1", "https://a/s"), ("http://ab/2", "http://b/3"), ("http://b/3", "http://a/0"), ("http://a/1", "http://a/10"), ("http://a/0", None)]
+    names = ["all", "host", "pattern", "deep", "few", "none", "stranger"]
+    links = spark.createDataFrame([(n, s, t, "x") for n in names for s, t in edges], "site string, src string, dst string, text string")
+    found = {}
+    for r in crawl.crawl_sites(policies, links).collect():
+        found.setdefault(r.site, {})[r.url] = (r.depth, r.linktext)
+    depths = {n: {u.removeprefix("http://"): d for u, (d, _) in rows.items()} for n, rows in found.items()}
+    whole = {"a/0": 0, "a/1": 1, "ab/2": 1, "a/10": 2, "b/3": 2}
+    assert depths == {"all": whole, "host": {"a/0": 0, "a/1": 1, "a/10": 2}, "pattern": {"a/0": 0, "a/1": 1, "ab/2": 1}, "deep": {"a/0": 0, "a/1": 1, "ab/2": 1}, "few": {"a/0": 0, "a/1": 1, "ab/2": 1}}
+    assert found["all"]["http://a/10"][1] == "/x/x"
+    assert crawl.crawl_sites(policies, links.limit(0)).count() == 5 and crawl.crawl_sites(policies.limit(0), links).count() == 0
