@@ -130,10 +130,14 @@ class _Builder(HTMLParser):
         self.buffer.append(data)
 
     def handle_entityref(self, name):
-        self.handle_data(f"&{name};")
+        self._as_written(f"&{name}")
 
     def handle_charref(self, name):
-        self.handle_data(f"&#{name};")
+        self._as_written(f"&#{name}")
+
+    def _as_written(self, said):
+        """An entity stays as the page has it, with its semicolon or without."""
+        self.handle_data(said + ";" * self.markup.startswith(";", self.at() + len(said)))
 
     def _other(self, kind, data):
         begin = self.at()
