@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.charsets import decode_markup  # noqa: F401 - reading bytes is part of reading markup
+from .tables import dealt
 
 # How elements nest. Void elements have no content; quoted ones hold plain text; others close what they reset.
 VOID = frozenset(["br", "hr", "input", "img", "meta", "spacer", "link", "frame", "base", "col"])
@@ -33,6 +34,8 @@ STAYS = {n: RESETS - {n} for n in RESETS} | {n: frozenset(homes) for n, homes in
 #: Start tags that do not end an open element of their own name.
 NESTS = INLINE | BLOCK | frozenset(NESTS_IN)
 NODE = "ord int, parent int, last int, depth int, kind string, name string, path string, attrs map<string,string>, text string, string string, begin int, end int, said_from int, said_to int, said string"
+#: Node rows, and characters of markup, after which a task passes on what it has.
+MOST_ROWS, MOST_MARKUP = 8192, 1 << 18
 _TYPES = {"int": pa.int32(), "string": pa.string(), "map<string,string>": pa.map_(pa.string(), pa.string()), "binary": pa.binary()}
 
 
@@ -263,17 +266,24 @@ def html_nodes(pages: DataFrame, key: str = "page_id", column: str = "html", xml
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):  # a page at a time: its nodes are many rows
-                rows = parse(batch.column(1)[k].as_py() or "", xml, texts)
+            found, places, size = [], [], 0
+            for k in range(batch.num_rows):
+                markup = batch.column(1)[k].as_py() or ""
+                rows = parse(markup, xml, texts)
                 if digests:
                     add_digests(rows)
                 if wanted is not None:
                     rows = wanted.rows(rows)
-                if rows:
-                    columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in rows], _TYPES[t]) for n, t in fields]
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), batch.column(0).type), *columns], [key, *(n for n, _ in fields)])
+                found += rows
+                places += [k] * len(rows)
+                size += len(markup)
+                # Small pages leave together, large ones as they come.
+                if found and (len(found) >= MOST_ROWS or size >= MOST_MARKUP or k == batch.num_rows - 1):
+                    columns = [pa.array([list(r[n].items()) if n == "attrs" else r[n] for r in found], _TYPES[t]) for n, t in fields]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), *columns], [key, *(n for n, _ in fields)])
+                    found, places, size = [], [], 0
 
-    return pages.select(key, column).mapInArrow(run, f"{key} {key_type}, {', '.join(map(' '.join, fields))}")
+    return dealt(pages.select(key, column)).mapInArrow(run, f"{key} {key_type}, {', '.join(map(' '.join, fields))}")
 
 
 def find_all(nodes: DataFrame, name: str | list[str] | None = None, attrs: dict | str | None = None, limit: int = 0, below: DataFrame | None = None, key: str = "page_id") -> DataFrame:
@@ -409,7 +419,7 @@ def extract_fields(pages: DataFrame, specs: dict[str, str], key: str = "page_id"
             if keys:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), *(pa.array(c, pa.string()) for c in zip(*fields))], [key, *wanted])
 
-    found = pages.select(key, column).mapInArrow(run, ", ".join([f"{key} {key_type}", *(f"`{n}` string" for n in wanted)]))
+    found = dealt(pages.select(key, column)).mapInArrow(run, ", ".join([f"{key} {key_type}", *(f"`{n}` string" for n in wanted)]))
     return found.dropDuplicates([key])
 
 

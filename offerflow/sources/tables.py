@@ -20,3 +20,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = work_folder(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def large(df: DataFrame) -> DataFrame:
+    """``df`` for a join whose two sides grow with the data: both are sorted, none goes through the driver.
+
+    Spark takes a table for as large as its files. Rows that repeat each other are many times that, so that it would broadcast millions of them.
+    """
+    return df.hint("merge")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` dealt out evenly over as many tasks as a shuffle has, for work that takes long for each byte: a small file is one task otherwise."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -16,3 +16,20 @@ SF = "/root/testdata/sf0.001"
 def test_entities_stay_as_written(markup_text, text):
     rows = markup.parse(f"<title>\n{markup_text}</title>")
     assert rows[0]["text"] == text and rows[1]["text"] == "\n" + text
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10_000])
+def test_node_rows_do_not_depend_on_how_pages_leave_together(spark, monkeypatch, limit):
+    monkeypatch.setattr(markup, "MOST_ROWS", limit)
+    pages = spark.createDataFrame([(k, None if k % 7 == 0 else "<p>a" * (k % 5) + f"<b id={k}>") for k in range(50)], "page_id long, html string")
+    found = sorted((r.page_id, r.ord, r.name, r.attrs.get("id")) for r in markup.html_nodes(pages).collect())
+    expected = sorted((p.page_id, r["ord"], r["name"], r["attrs"].get("id")) for p in pages.collect() for r in markup.parse(p.html or ""))
+    assert found == expected
+
+
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
+    pages = cut(spark.range(4000).coalesce(1).select(F.col("id").alias("page_id"), F.lit("<p>a</p>").alias("html")))
+    assert pages.rdd.getNumPartitions() == 1
+    rows = markup.html_nodes(pages).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 8 and max(r["count"] for r in rows) < 2 * 8000 / 8
+    assert markup.extract_fields(pages, {"p": "path:/p"}).count() == 4000
