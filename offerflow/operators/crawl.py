@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, url_host, url_path
-from ..sources.tables import cut, work_folder
+from ..sources.tables import cut, large, work_folder
+
+#: Pages of a round, or pages known, up to which Spark may send them to all tasks. More are sorted with what they meet.
+FEW = 10_000
 
 
 def admitted(url: Column, hosts: list[str] = (), host_patterns: list[str] = (), path_patterns: list[str] = ()) -> Column:
@@ -45,7 +48,7 @@ def crawl(frontier: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages
 
     Each round takes the unvisited pages of the least depth, those restored at that depth with those found there, joins
     them to the edges and keeps what is not known. A page known already keeps its depth. The link text is that of the way by the
-    smallest source. What a round finds is written as files of its own, and the pages known are these files together: no
+    smallest source. Only rounds of up to ``FEW`` pages may be broadcast. What a round finds is written as files of its own, and the pages known are these files together: no
     round writes again what another found. Where ``edges`` has a ``most_depth`` of its own, it limits the pages that the edge leaves from. Depth 0 of ``most_depth`` and 0 of ``most_pages``: no limit; of the pages of a round that are too many the first by address stay.
     """
     spark = frontier.sparkSession
@@ -62,7 +65,8 @@ def crawl(frontier: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages
     appended = lambda: spark.read.schema(schema).parquet(folder)
 
     known = cut(frontier)
-    found, counted = known.select("url"), known.count() if most_pages else 0
+    found, begun = known.select("url"), known.count()
+    counted, sizes = begun, {}
     restored = {r[0] for r in known.filter("not visited").select("depth").distinct().collect()}  # one number for each level
     done, fresh = [], {}
     while (restored or fresh) and (not rounds or len(done) < rounds):
@@ -72,20 +76,22 @@ def crawl(frontier: DataFrame, edges: DataFrame, most_depth: int = 0, most_pages
             restored.discard(depth)
             fronts.append(known.filter((F.col("depth") == depth) & ~F.col("visited")).select("url", "depth", "linktext"))
         front = fronts[0] if len(fronts) == 1 else fronts[0].unionByName(fronts[1])
+        few = begun + sizes.pop(depth, 0) <= FEW
         done.append(depth)
         if most_depth and depth + 1 >= most_depth:
             continue
-        steps = front.join(edges, F.col("url") == F.col("src"))
+        steps = (front if few else large(front)).join(edges, F.col("url") == F.col("src"))
         if "most_depth" in edges.columns:
             steps = steps.filter((F.col("most_depth") == 0) | (F.col("most_depth") > depth + 1))
         steps = steps.groupBy("dst").agg(F.min(F.struct("src", F.concat_ws("/", "linktext", "text").alias("linktext"))).alias("way"))
-        new = steps.join(found.withColumnRenamed("url", "_known"), F.col("dst") == F.col("_known"), "left_anti")
+        before = found.withColumnRenamed("url", "_known")
+        new = steps.join(before if counted <= FEW else large(before), F.col("dst") == F.col("_known"), "left_anti")
         new = new.select(F.col("dst").alias("url"), F.lit(depth + 1).alias("depth"), F.col("way.linktext").alias("linktext"))
         if most_pages:
             new = new.orderBy("url").limit(max(0, most_pages - counted))
         rows, n = append(new)
         if n:
-            fresh[depth + 1] = rows
+            fresh[depth + 1], sizes[depth + 1] = rows, n
             counted += n
         found = known.select("url").unionByName(appended().select("url"))
     every = known
@@ -103,11 +109,11 @@ def crawl_sites(policies: DataFrame, links: DataFrame) -> DataFrame:
     """``site, url, depth, linktext``: what each site's crawl finds by its policy (``feeds.POLICY``) over ``links(site, src, dst, text)``, the links of the pages read for it.
 
     Start addresses need not be admitted. All sites go on in the same rounds; those that limit the number of their
-    pages, named by the configuration, go one by one. A site without a policy is not crawled; repeated links count once.
+    pages, named by the configuration, go one by one. Policies come from the driver and are broadcast, never the links. A site without a policy is not crawled; repeated links count once.
     """
     rows = policies.dropDuplicates(["site"]).select("site", F.struct(*[c for c in policies.columns if c != "site"]).alias("policy"))
     at = lambda url: F.struct("site", F.col(url).alias("url"))
-    allowed = links.join(rows, "site").filter(admitted_by(F.col("dst")))
+    allowed = links.join(F.broadcast(rows), "site").filter(admitted_by(F.col("dst")))
     # Written once, so that rounds do not try the patterns on every link again.
     edges = cut(allowed.select("site", at("src").alias("src"), at("dst").alias("dst"), "text", F.col("policy.maximum_depth").alias("most_depth")))
     seeds = rows.select("site", F.col("policy.maximum_pages").alias("most_pages"), F.explode("policy.starturls").alias("url")).select("site", "most_pages", at("url").alias("url"))

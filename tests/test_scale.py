@@ -33,3 +33,30 @@ def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
     rows = markup.html_nodes(pages).groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) == 8 and max(r["count"] for r in rows) < 2 * 8000 / 8
     assert markup.extract_fields(pages, {"p": "path:/p"}).count() == 4000
+
+
+def joins(df):
+    """The lines of the first plan of ``df`` that tell how it joins."""
+    return [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+
+
+def test_crawls_send_few_pages_to_all_tasks(spark, monkeypatch):
+    seen = []
+    before = crawl.large
+    monkeypatch.setattr(crawl, "FEW", 4)
+    monkeypatch.setattr(crawl, "large", lambda df: seen.append(df.columns) or before(df))
+    edges = spark.range(1, 100).select(F.col("id").alias("src"), F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("dst"), F.lit("t").alias("text"))
+    found = crawl.reachable(spark.createDataFrame([(1,)], "url long"), edges)
+    assert found.count() == 199 and found.filter("url = 198 and depth = 7").count() == 1
+    # From the round of four pages on, the pages known are sorted, and from that of eight on the newest ones too.
+    assert seen.count(["_known"]) >= 4 and sum("depth" in c for c in seen) >= 4
+
+
+def test_policies_are_sent_to_tasks_and_links_are_not(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(crawl, "cut", lambda df: plans.append(joins(df)) or cut(df))
+    policy = '<site id="s"><starturls><url>http://a/</url></starturls><maxdepth>0</maxdepth></site>'
+    links = cut(spark.createDataFrame([("s", "http://a/", "http://a/b", "t")], "site string, src string, dst string, text string"))
+    found = crawl.crawl_sites(feeds.crawl_policies(spark, policy), links)
+    assert sorted(r.url for r in found.collect()) == ["http://a/", "http://a/b"]
+    assert len(plans[0]) == 1 and "BuildRight" in plans[0][0] and "BroadcastHashJoin" in plans[0][0]
