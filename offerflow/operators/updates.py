@@ -23,6 +23,8 @@ MOVES = {
 }
 #: Events of a part, and parts that are put together at a level.
 STEP, LEVELS = 1024, 2
+#: Ranges of an order whose events are counted at once.
+RANGES = 4096
 
 MOVE = "struct<state int, events bigint, illegal bigint, first struct<ord bigint, event string, state int>, error string, data string, says boolean, keeps boolean>"
 
@@ -95,6 +97,26 @@ def advance(states: DataFrame | None, events: DataFrame, site: str = "siteid", s
     )
 
 
+def halfway(events: DataFrame, order: str = "ord") -> int | None:
+    """The least ``order``, a whole number, up to which half of the events lie at least; None if there are none.
+
+    Events are counted by ranges of it, then within the range that holds the half, so that no task holds all values.
+    """
+    low, high, n = events.agg(F.min(order), F.max(order), F.count(order)).first()
+    if not n:
+        return None
+    wanted = (n + 1) // 2
+    while low < high:
+        width = (high - low) // RANGES + 1
+        inside = events.filter(F.col(order).between(low, high)).groupBy(F.expr(f"({order} - {low}L) div {width}L").alias("k")).count()
+        for k, count in sorted(inside.collect()):  # RANGES rows at most
+            if wanted <= count:
+                break
+            wanted -= count
+        low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+    return low
+
+
 def running(states: DataFrame) -> DataFrame:
     """Sites whose update is to be taken up again."""
     return states.filter(F.col("state").isin("initializing", "parsing", "extracting"))

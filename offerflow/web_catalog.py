@@ -133,9 +133,8 @@ def update_states(spark, d):
 def updates_to_resume(spark, d):
     """The states after the first half of the events was folded, and then the rest from there: of those sites that are still running."""
     log = _update_log(spark, d)
-    half = log.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ord)").alias("half"))
-    split = log.crossJoin(half)  # one row
-    early, late = split.filter("ord <= half").drop("half"), split.filter("ord > half").drop("half")
+    half = F.lit(updates.halfway(log))
+    early, late = log.filter(F.col("ord") <= half), log.filter(F.col("ord") > half)
     return updates.running(updates.advance(updates.advance(None, early), late))
 
 

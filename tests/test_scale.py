@@ -60,3 +60,13 @@ def test_policies_are_sent_to_tasks_and_links_are_not(spark, monkeypatch):
     found = crawl.crawl_sites(feeds.crawl_policies(spark, policy), links)
     assert sorted(r.url for r in found.collect()) == ["http://a/", "http://a/b"]
     assert len(plans[0]) == 1 and "BuildRight" in plans[0][0] and "BroadcastHashJoin" in plans[0][0]
+
+
+@pytest.mark.parametrize("values", [[5], [1, 2], [3, 1, 2], [7, 7, 7, 9], [-(10**12), 0, 1, 2, 10**12], list(range(0, 9000, 3)), [1, None, 4, 9]])
+def test_halfway_is_the_discrete_median(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "ord long")
+    assert updates.halfway(df) == df.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ord)")).first()[0]
+
+
+def test_halfway_of_nothing(spark):
+    assert updates.halfway(spark.createDataFrame([], "ord long")) is None
