@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.price import classify_prices
 from ..functions.text import first_number, is_blank, number_or_zero, trim_title_prefix
+from ..sources.tables import large
 
 TAGS = ("url", "city", "title", "image", "original", "price", "discount", "saved", "items", "shop", "address", "details")
 LONGEST_PRICE, LEAST_TITLE = 15, 15
@@ -65,7 +66,7 @@ def without_ancestors(candidates: DataFrame, keys: list[str] = ["page_id"]) -> D
     same = F.col("path") == F.col("_path")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return candidates.join(ancestors, same, "left_anti")
+    return candidates.join(large(ancestors), same, "left_anti")
 
 
 def looks_like_title(text: Column, currency: str) -> Column:
@@ -79,9 +80,9 @@ def title_before(nodes: DataFrame, anchors: DataFrame, currency: str) -> DataFra
 
 
 def choose_config(sites: DataFrame, configs: DataFrame) -> DataFrame:
-    """``site, config``: of ``configs(ord, config, pattern, region)`` the first whose pattern is found in a site (``site, region``); a null region fits all."""
+    """``site, config``: of ``configs(ord, config, pattern, region)``, which are broadcast, the first whose pattern is found in a site (``site, region``); a null region fits all."""
     fits = F.regexp_like("site", F.col("pattern")) & (F.col("_region").isNull() | (F.col("region") == F.col("_region")))
-    return sites.join(configs.withColumnRenamed("region", "_region"), fits).groupBy("site").agg(F.min_by("config", "ord").alias("config"))
+    return sites.join(F.broadcast(configs.withColumnRenamed("region", "_region")), fits).groupBy("site").agg(F.min_by("config", "ord").alias("config"))
 
 
 def apply_first(nodes: DataFrame, templates: list[dict[str, str]]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..operators.analysis import analyse
-from ..sources.tables import cut
+from ..sources.tables import cut, large
 
 SEEDS, SPARE = 16, 5
 TEMPLATE = "site string, rank long, template map<string,string>, votes long, source string"
@@ -44,7 +44,7 @@ def vote_by_site(found: DataFrame) -> DataFrame:
 
 
 def tag_paths(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    return nodes.filter("kind = 'tag'").select("page_id", "path").join(pages.select("page_id", "site"), "page_id").distinct()
+    return nodes.filter("kind = 'tag'").select("page_id", "path").join(large(pages.select("page_id", "site")), "page_id").distinct()
 
 
 def resolving(paths: DataFrame, templates: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def resolving(paths: DataFrame, templates: DataFrame) -> DataFrame:
     spread = present.groupBy("site", "path").agg(F.count("*").alias("n"))
     rarest = steps.join(spread, ["site", "path"], "left").groupBy("site", "rank").agg(F.min_by("path", F.struct(F.coalesce("n", F.lit(0)), "path")).alias("path"), F.count("*").alias("size"))
     candidates = present.join(rarest, ["site", "path"]).select("page_id", "site", "rank", "size")
-    met = candidates.join(steps, ["site", "rank"]).join(present, ["site", "page_id", "path"]).groupBy("page_id", "site", "rank").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    met = candidates.join(steps, ["site", "rank"]).join(large(present), ["site", "page_id", "path"]).groupBy("page_id", "site", "rank").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     return met.filter("n = size").groupBy("page_id", "site").agg(F.min("rank").alias("rank"))
 
 
@@ -67,7 +67,7 @@ def texts_at(nodes: DataFrame, chosen: DataFrame, templates: DataFrame) -> DataF
     steps = chosen.join(templates.select("site", "rank", F.explode("template").alias("tag", "path")), ["site", "rank"]).select("page_id", "tag", "path")
     tags = nodes.filter("kind = 'tag'").select("page_id", "path", "name", "attrs", "said_from", "said_to", "ord")
     whole = nodes.filter("said is not null").select("page_id", "said")
-    met = steps.join(tags, ["page_id", "path"]).join(whole, "page_id")
+    met = steps.join(large(tags), ["page_id", "path"]).join(large(whole), "page_id")
     picture = F.coalesce(F.col("attrs")["src"], F.col("attrs")["lazysrc"])
     said = F.when(F.col("name") == "img", picture).otherwise(F.substring(F.col("said"), F.col("said_from") + 1, F.col("said_to") - F.col("said_from")))
     first = met.withColumn("said", said).groupBy("page_id", "tag").agg(F.min_by("said", "ord").alias("said"))
@@ -91,8 +91,8 @@ def induce(pages: DataFrame, nodes: DataFrame, stored: DataFrame, configs: DataF
     ``error`` of its own analysis. A stored template without paths fits nothing. Counters are gathered in the pass that writes the results.
     """
     nodes, pages = cut(nodes), cut(pages.select("page_id", "site").dropDuplicates(["page_id"]))
-    study = lambda some: analyse(some, configs, keywords, pictures, nodes.join(some.select("page_id"), "page_id", "left_semi"), off, sign)
-    good = lambda found: found.filter("error is null").select("page_id", F.col("paths").alias("template")).join(pages, "page_id")
+    study = lambda some: analyse(some, configs, keywords, pictures, nodes.join(large(some.select("page_id")), "page_id", "left_semi"), off, sign)
+    good = lambda found: found.filter("error is null").select("page_id", F.col("paths").alias("template")).join(large(pages), "page_id")
     known = stored.filter(F.size("template") > 0).select("site", F.row_number().over(Window.partitionBy("site").orderBy("ord")).cast("long").alias("rank"), "template", F.lit(None).cast("long").alias("votes"), F.lit("stored").alias("source"))
     winners = vote_by_site(good(study(cut(seed_pages(pages, seeds, order=order))))).filter("place = 1")
     new = winners.withColumn("_key", template_key()).join(known.select("site", template_key().alias("_key")), ["site", "_key"], "left_anti")
@@ -102,19 +102,19 @@ def induce(pages: DataFrame, nodes: DataFrame, stored: DataFrame, configs: DataF
 
     paths = cut(tag_paths(nodes, pages))
     fitted = cut(resolving(paths, tried))
-    rest = cut(pages.join(fitted, "page_id", "left_anti"))
+    rest = cut(pages.join(large(fitted), "page_id", "left_anti"))
     own = cut(study(rest))
     last = tried.groupBy("site").agg(F.max("rank").alias("most"))
     found = vote_by_site(good(own)).join(last, "site", "left").select("site", (F.coalesce("most", F.lit(0)) + F.col("place")).alias("rank"), "template", "votes", F.lit("page").alias("source"))
     found = cut(found)
-    more = resolving(paths.join(rest.select("page_id"), "page_id", "left_semi"), found)
+    more = resolving(paths.join(large(rest.select("page_id")), "page_id", "left_semi"), found)
 
     every = tried.unionByName(found)
     chosen = cut(fitted.unionByName(more))
     errors = own.select("page_id", "error")
     said = texts_at(nodes, chosen, every)
-    met = pages.join(chosen.select("page_id", "rank"), "page_id", "left").join(every.select("site", "rank", "source"), ["site", "rank"], "left")
-    met = met.join(errors, "page_id", "left").join(said, "page_id", "left")
+    met = pages.join(large(chosen.select("page_id", "rank")), "page_id", "left").join(every.select("site", "rank", "source"), ["site", "rank"], "left")
+    met = met.join(large(errors), "page_id", "left").join(large(said), "page_id", "left")
     results = met.select("page_id", "site", "rank", "source", F.when(F.col("rank").isNull(), F.col("error")).alias("error"), "info")
     seen = Observation()
     counted = results.observe(seen, F.count(F.lit(1)).alias("pages"), F.count("rank").alias("resolved"), *[F.count_if(F.col("source") == s).alias(s) for s in ("stored", "probe", "page")], F.count("error").alias("failed"))

@@ -62,6 +62,31 @@ def test_policies_are_sent_to_tasks_and_links_are_not(spark, monkeypatch):
     assert len(plans[0]) == 1 and "BuildRight" in plans[0][0] and "BroadcastHashJoin" in plans[0][0]
 
 
+def test_analysis_broadcasts_configurations_only(spark, monkeypatch):
+    plans = []
+    keep = lambda df: plans.extend(joins(df)) or cut(df)
+    for module in (analysis, induction):
+        monkeypatch.setattr(module, "cut", keep)
+    size = F.col("p_size") % 4
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    pages, pictures, configs, keywords = catalog.part_pages(spark, part, F.when(size == 0, 0).when(size == 3, 3).otherwise(1))
+    nodes = markup.html_nodes(pages, texts=False)
+    plans.extend(joins(analysis.analyse(pages, configs, keywords, pictures, nodes, "off", "$")))
+    assert plans and not [p for p in plans if "BroadcastHashJoin [page_id" in p or "BroadcastHashJoin [url" in p or "BroadcastNestedLoopJoin BuildLeft" in p]
+    plans.clear()
+    stored = spark.createDataFrame([], "site string, ord int, template map<string,string>")
+    induction.induce(pages, nodes, stored, configs, keywords, pictures, "off", "$", order=F.col("page_id"))
+    assert plans and not [p for p in plans if "BroadcastHashJoin [page_id" in p or "BroadcastHashJoin [url" in p or "BroadcastNestedLoopJoin BuildLeft" in p]
+
+
+def test_a_configuration_is_chosen_without_sending_sites_to_tasks(spark):
+    configs = spark.createDataFrame([(0, "a", "1$", None), (1, "b", ".", None)], "ord int, config string, pattern string, region string")
+    sites = cut(spark.range(20).select(F.col("id").cast("string").alias("site"), F.lit("r").alias("region")))
+    chosen = induce.choose_config(sites, configs)
+    assert "BuildRight" in joins(chosen)[0]
+    assert {r.site for r in chosen.filter("config = 'a'").collect()} == {"1", "11"}
+
+
 @pytest.mark.parametrize("values", [[5], [1, 2], [3, 1, 2], [7, 7, 7, 9], [-(10**12), 0, 1, 2, 10**12], list(range(0, 9000, 3)), [1, None, 4, 9]])
 def test_halfway_is_the_discrete_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "ord long")
