@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import large
+
 
 def contained(nodes: DataFrame, tops: DataFrame, key: str = "page_id", nearest: bool = False) -> DataFrame:
     """``key, top, ord``: each node with every one of the tops around it, or only the innermost. A node is not around itself.
@@ -48,40 +50,42 @@ def inside_any(nodes: DataFrame, tops: DataFrame, key: str = "page_id") -> DataF
     return reached.filter(F.col("_ends").isNull() & (F.col("_reach") >= F.col("ord"))).drop("_ends", "_reach")
 
 
-def _numbered(of: DataFrame, wanted: DataFrame, keys: list[str], limit: int, after: bool) -> DataFrame:
-    sides = [df.select(*keys, "ord", F.lit(hit).alias("_hit")) for df, hit in ((of, 0), (wanted, 1))]
+def _numbered(of: DataFrame, wanted: DataFrame, keys: list[str], limit: int, after: bool, carry: tuple[str, ...]) -> DataFrame:
+    carried = [F.col(c).alias(f"_carried_{c}") for c in carry]
+    nothing = [F.lit(None).cast(wanted.schema[c].dataType).alias(f"_carried_{c}") for c in carry]
+    sides = [df.select(*keys, "ord", F.lit(hit).alias("_hit"), *more) for df, hit, more in ((of, 0, nothing), (wanted, 1, carried))]
     # Hits up to a node, itself among them, or only those before it.
     count = F.sum("_hit").over(Window.partitionBy(*keys).orderBy("ord").rangeBetween(Window.unboundedPreceding, 0 if after else -1))
     marked = sides[0].unionByName(sides[1]).withColumn("_count", F.coalesce(count, F.lit(0)))
     first, step = (F.col("_count") + 1, 1) if after else (F.col("_count"), -1)
     asked = marked.filter("_hit = 0").select(*keys, "ord", F.posexplode(F.sequence(first, first + step * (limit - 1), F.lit(step).cast("long"))).alias("place", "_number"))
-    hits = marked.filter("_hit = 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ord").alias("found"), (F.col("_count") + (0 if after else 1)).alias("_of"))
+    hits = marked.filter("_hit = 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("ord").alias("found"), (F.col("_count") + (0 if after else 1)).alias("_of"), *[f"_carried_{c}" for c in carry])
     same = F.col("_number") == F.col("_of")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return asked.join(hits, same).select(*keys, "ord", (F.col("place") + 1).alias("place"), "found")
+    return asked.join(large(hits), same).select(*keys, "ord", (F.col("place") + 1).alias("place"), "found", *[F.col(f"_carried_{c}").alias(c) for c in carry])
 
 
-def following(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id") -> DataFrame:
+def following(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key, ord, place, found``: for each node the first ``limit`` of the wanted nodes that begin after it in document order, those below it too.
 
-    Nodes and hits meet by the number of hits so far, so that a node meets the hits it gets and no others.
+    Nodes and hits meet by the number of hits so far, so that a node meets the hits it gets and no others. ``carry`` names columns of the wanted nodes that come with them.
     """
-    return _numbered(of, wanted, [key], limit, True)
+    return _numbered(of, wanted, [key], limit, True, carry)
 
 
-def preceding(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id") -> DataFrame:
+def preceding(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key, ord, place, found``: the nearest ``limit`` of the wanted nodes that begin before it, those around it too, the nearest first."""
-    return _numbered(of, wanted, [key], limit, False)
+    return _numbered(of, wanted, [key], limit, False, carry)
 
 
-def next_siblings(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id") -> DataFrame:
+def next_siblings(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key, parent, ord, place, found``: the same among the children of one parent."""
-    return _numbered(of, wanted, [key, "parent"], limit, True)
+    return _numbered(of, wanted, [key, "parent"], limit, True, carry)
 
 
-def previous_siblings(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id") -> DataFrame:
-    return _numbered(of, wanted, [key, "parent"], limit, False)
+def previous_siblings(of: DataFrame, wanted: DataFrame, limit: int = 1, key: str = "page_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    return _numbered(of, wanted, [key, "parent"], limit, False, carry)
 
 
 def repeated(nodes: DataFrame, key: str = "page_id", least: int = 2) -> DataFrame:

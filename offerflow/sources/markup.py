@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.charsets import decode_markup  # noqa: F401 - reading bytes is part of reading markup
-from .tables import dealt
+from .tables import dealt, large
 
 # How elements nest. Void elements have no content; quoted ones hold plain text; others close what they reset.
 VOID = frozenset(["br", "hr", "input", "img", "meta", "spacer", "link", "frame", "base", "col"])
@@ -338,7 +338,7 @@ def ancestors(nodes: DataFrame, of: DataFrame, key: str = "page_id", name: str |
 
     tags = find_all(nodes, name)
     met = contained(of, tags, key).withColumnRenamed("top", "ancestor")
-    return met.join(tags.select(key, F.col("ord").alias("ancestor"), "name", "depth"), [key, "ancestor"]).select(key, "ord", "ancestor", "name", "depth")
+    return met.join(large(tags.select(key, F.col("ord").alias("ancestor"), "name", "depth")), [key, "ancestor"]).select(key, "ord", "ancestor", "name", "depth")
 
 
 def descendants(nodes: DataFrame, of: DataFrame, key: str = "page_id", name: str | list[str] | None = None) -> DataFrame:

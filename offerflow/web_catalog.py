@@ -12,6 +12,7 @@ from .operators import crawl, dedup, structure, updates, versions
 from .plans import induction, pipeline, views
 from .plans.views import SNAPSHOTS, read
 from .sources import feeds, markup
+from .sources.tables import cut, large
 
 # Induction
 
@@ -156,20 +157,19 @@ FROM tags a WHERE a.name = 'a'""")
 def structural_joins(spark, d):
     """Links of real pages with what is around, before and after them: parents by name, next and previous in document order, descendants of a parent."""
     nodes = markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name=["nav", "ul", "li", "a", "article", "h1"]), texts=False)
+    nodes = cut(nodes.select("page_id", "ord", "last", "depth", "kind", "name", "attrs"))  # read many times, parsed once
     key = ["page_id", "ord"]
-    a = markup.find_all(nodes, "a")
-    said = a.select(*key, F.col("attrs")["href"].alias("href"))
-    near = said.select("page_id", F.col("ord").alias("found"), F.col("href").alias("other"))
+    a = markup.find_all(nodes, "a").select(*key, "last", F.col("attrs")["href"].alias("href"))
     parents = markup.ancestors(nodes, a, name=["nav", "ul", "li", "article"])
     around = parents.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("depth", "name")))["name"], " ").alias("around"))
-    after = structure.following(a, a).join(near, ["page_id", "found"]).select(*key, F.col("other").alias("next_link"))
-    before = structure.preceding(a, a, 2).join(near, ["page_id", "found"]).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "other")))["other"], " ").alias("links_before"))
+    after = structure.following(a, a, carry=("href",)).select(*key, F.col("href").alias("next_link"))
+    before = structure.preceding(a, a, 2, carry=("href",)).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", "href")))["href"], " ").alias("links_before"))
     heads = structure.following(a, markup.find_all(nodes, "h1")).select(*key, F.lit(True).alias("heading_after"))
     nav = structure.contained(a, markup.find_all(nodes, "nav"), nearest=True)
     held = markup.descendants(nodes, markup.find_all(nodes, "nav"), name="a").groupBy("page_id", F.col("ord").alias("top")).agg(F.count("*").alias("in_nav"))
-    met = said
-    for more in (around, after, before, heads, nav.join(held, ["page_id", "top"]).select(*key, "in_nav")):
-        met = met.join(more, key, "left")
+    met = a.select(*key, "href")
+    for more in (around, after, before, heads, nav.join(large(held), ["page_id", "top"]).select(*key, "in_nav")):
+        met = met.join(large(more), key, "left")
     return met.select("page_id", "href", "around", "next_link", "links_before", F.coalesce("heading_after", F.lit(False)).alias("heading_after"), F.coalesce("in_nav", F.lit(0)).alias("in_nav"))
 
 

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from offerflow import catalog
-from offerflow.operators import analysis, crawl, induce, updates
+from offerflow import catalog, web_catalog
+from offerflow.operators import analysis, crawl, induce, structure, updates
 from offerflow.plans import induction
 from offerflow.sources import feeds, markup
 from offerflow.sources.tables import cut
@@ -95,3 +95,37 @@ def test_halfway_is_the_discrete_median(spark, values):
 
 def test_halfway_of_nothing(spark):
     assert updates.halfway(spark.createDataFrame([], "ord long")) is None
+
+
+@pytest.fixture
+def watched(spark):
+    """A function that gives a table back with a column through which each row that is read adds one to ``watched.n``."""
+    n = spark.sparkContext.accumulator(0)
+
+    def watch(df, column):
+        def run(value):
+            n.add(1)
+            return value
+
+        return df.withColumn(column, F.udf(run, "string").asNondeterministic()(column))
+
+    watch.n = n
+    return watch
+
+
+def test_structural_joins_parse_a_page_once(spark, monkeypatch, watched):
+    read = web_catalog.read
+    monkeypatch.setattr(web_catalog, "read", lambda s, d, name: watched(read(s, d, name), "html"))
+    found = web_catalog.structural_joins(spark, SF)
+    assert not [line for line in joins(found) if "Broadcast" in line]
+    assert found.count() > 0 and watched.n.value == read(spark, SF, "pages").count()
+
+
+@pytest.mark.parametrize("way", [structure.following, structure.preceding])
+def test_columns_come_with_what_is_before_and_after(spark, way):
+    nodes = spark.createDataFrame([(1, 0, "a"), (1, 3, None), (1, 5, "c"), (2, 4, "d")], "page_id long, ord int, href string")
+    found = {(r.page_id, r.ord, r.place): (r.found, r.href) for r in way(nodes, nodes, 2, carry=("href",)).collect()}
+    if way is structure.following:
+        assert found == {(1, 0, 1): (3, None), (1, 0, 2): (5, "c"), (1, 3, 1): (5, "c")}
+    else:
+        assert found == {(1, 3, 1): (0, "a"), (1, 5, 1): (3, None), (1, 5, 2): (0, "a")}
