@@ -10,6 +10,7 @@ from .operators import analysis, control, crawl, dedup, induce, listing, merge
 from .plans import pipeline, views
 from .plans.views import OFFERS, SERVERS, SITES, SNAPSHOTS, read
 from .sources import feeds, markup
+from .sources.tables import cut, large
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -627,9 +628,9 @@ def page_text(spark, d):
 n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY url, title) AS place, count(*) OVER (PARTITION BY base) AS n FROM p)
 SELECT a.base, a.n, CASE WHEN b.url IS NOT NULL THEN a.title = b.title AND len(list_filter(b.links, lambda x: NOT list_contains(a.links, x))) <= 2 END AS collapse FROM n a LEFT JOIN n b ON b.base = a.base AND b.place = 2 WHERE a.place = 1""")
 def crawl_parameter_collapse(spark, d):
-    nodes = markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name=["a", "title"]))
+    nodes = cut(markup.html_nodes(read(spark, d, "pages"), wanted=markup.Wanted(name=["a", "title"])).select("page_id", "ord", "kind", "name", "attrs", "text"))
     found = markup.links(nodes).groupBy("page_id").agg(F.sort_array(F.collect_list("href")).alias("links"))
-    pages = read(spark, d, "pages").select("page_id", "url").join(markup.titles(nodes), "page_id", "left").join(found, "page_id", "left")
+    pages = read(spark, d, "pages").select("page_id", "url").join(large(markup.titles(nodes)), "page_id", "left").join(large(found), "page_id", "left")
     return crawl.collapse_parameters(pages.withColumns({"title": F.coalesce("title", F.lit("")), "links": F.coalesce("links", F.array().cast("array<string>"))}))
 
 

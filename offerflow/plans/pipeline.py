@@ -16,6 +16,7 @@ from ..functions import geo, text
 from ..operators import dedup, merge
 from ..schemas import OFFERS, coerce
 from ..sources import feeds, markup
+from ..sources.tables import cut, large
 
 Stage = Callable[..., DataFrame]
 STAGES: dict[str, Stage] = {}
@@ -87,9 +88,10 @@ def enrich_from_pages(df, env, most=50, **fields):
 
 def _in_markup(df: DataFrame, column: str, words: list[str]) -> DataFrame:
     """``_url, _address, _place`` found in a column of markup, by url."""
-    nodes = markup.html_nodes(df.filter(F.col(column).isNotNull()).dropDuplicates(["url"]), "url", column)
+    nodes = markup.html_nodes(df.filter(F.col(column).isNotNull()).dropDuplicates(["url"]), "url", column, texts=False).select("url", "ord", "kind", "name", "attrs", "text")
+    nodes = cut(nodes) if words else nodes
     address = markup.find_address(nodes, words, key="url") if words else nodes.select("url", F.lit(None).cast("string").alias("address")).limit(0)
-    both = address.join(markup.map_markers(nodes, "url"), "url", "full")
+    both = address.join(large(markup.map_markers(nodes, "url")), "url", "full")
     return both.select(F.col("url").alias("_url"), F.col("address").alias("_address"), F.col("geoinfo").alias("_place"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .markup import html_nodes
+from .tables import cut, large
 
 # Names of the feed's elements and of the columns that they fill.
 FEED_FIELDS = {
@@ -19,10 +20,11 @@ FEED_FIELDS = {
 
 def parse_feeds(feeds: DataFrame, key: str = "feed_id", column: str = "xml") -> DataFrame:
     """A record for each ``url`` element, well-formed or not; a later element of one name wins; null feeds give nothing."""
-    nodes = html_nodes(feeds, key, column, xml=True)
+    nodes = html_nodes(feeds, key, column, xml=True).filter(F.col("name").isin("url", *FEED_FIELDS))
+    nodes = cut(nodes.select(key, "ord", "kind", "name", "path", F.when(F.col("name") != "url", F.col("text")).alias("text")))
     items = nodes.filter("kind = 'tag' and name = 'url'").select(key, F.col("ord").alias("item"), F.concat("path", F.lit("/")).alias("below"))
     parts = nodes.filter(F.col("name").isin(*FEED_FIELDS)).select(key, "ord", "name", "path", "text")
-    inside = parts.withColumn("below", F.regexp_extract("path", r"^(.*/url(\[\d+\])?/)", 1)).join(items, [key, "below"])
+    inside = parts.withColumn("below", F.regexp_extract("path", r"^(.*/url(\[\d+\])?/)", 1)).join(large(items), [key, "below"])
     return inside.groupBy(key, "item").agg(*[F.max_by("text", F.when(F.col("name") == n, F.col("ord"))).alias(c) for n, c in FEED_FIELDS.items()])
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from offerflow import catalog, web_catalog
 from offerflow.operators import analysis, crawl, induce, structure, updates
-from offerflow.plans import induction
+from offerflow.plans import induction, pipeline
 from offerflow.sources import feeds, markup
 from offerflow.sources.tables import cut
 
@@ -98,27 +98,40 @@ def test_halfway_of_nothing(spark):
 
 
 @pytest.fixture
-def watched(spark):
-    """A function that gives a table back with a column through which each row that is read adds one to ``watched.n``."""
-    n = spark.sparkContext.accumulator(0)
+def parsed(spark, monkeypatch):
+    """How many pages tasks have parsed."""
+    n, parse = spark.sparkContext.accumulator(0), markup.parse
 
-    def watch(df, column):
-        def run(value):
-            n.add(1)
-            return value
+    def counting(*args):
+        n.add(1)
+        return parse(*args)
 
-        return df.withColumn(column, F.udf(run, "string").asNondeterministic()(column))
+    monkeypatch.setattr(markup, "parse", counting)
+    return n
 
-    watch.n = n
-    return watch
 
-
-def test_structural_joins_parse_a_page_once(spark, monkeypatch, watched):
-    read = web_catalog.read
-    monkeypatch.setattr(web_catalog, "read", lambda s, d, name: watched(read(s, d, name), "html"))
+def test_structural_joins_parse_a_page_once(spark, parsed):
     found = web_catalog.structural_joins(spark, SF)
     assert not [line for line in joins(found) if "Broadcast" in line]
-    assert found.count() > 0 and watched.n.value == read(spark, SF, "pages").count()
+    assert found.count() > 0 and parsed.value == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_titles_and_links_are_parsed_once(spark, parsed):
+    assert catalog.crawl_parameter_collapse(spark, SF).collect()
+    assert parsed.value == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_feeds_are_parsed_once(spark, parsed):
+    rows = [(f"f{k}", f"<urlset><url><loc>http://{k}</loc><title>T</title></url></urlset>") for k in range(20)]
+    found = feeds.parse_feeds(spark.createDataFrame(rows, "feed_id string, xml string"))
+    assert sorted(r.url for r in found.collect()) == sorted(f"http://{k}" for k in range(20)) and parsed.value == 20
+
+
+def test_addresses_and_markers_are_parsed_once(spark, parsed):
+    rows = [(f"u{k}", f'<p>At：{k} street, road, lane</p><img src="http://maps.google.com/?markers=1.5,2.5">') for k in range(20)]
+    found = pipeline._in_markup(spark.createDataFrame(rows, "url string, html string"), "html", ["street", "road", "lane"])
+    assert sorted((r._url, r._address, r._place is not None) for r in found.collect()) == sorted((f"u{k}", f"{k} street, road, lane", True) for k in range(20))
+    assert parsed.value == 20
 
 
 @pytest.mark.parametrize("way", [structure.following, structure.preceding])
